@@ -73,10 +73,9 @@ def percent(part: Column, whole: Column, digits: int = 0) -> Column:
     scale = 100 * 10**digits
     scaled = part.cast("long") * scale
     whole = whole.cast("long")
-    # integer quotient plus the half-even correction from the remainder
-    quotient = F.floor(scaled / whole)
-    quotient = F.when(quotient * whole > scaled, quotient - 1).otherwise(quotient)
-    twice = (scaled - quotient * whole) * 2
+    rest = scaled % whole
+    quotient = ((scaled - rest) / whole).cast("long")
+    twice = rest * 2
     up = (twice > whole) | ((twice == whole) & (F.pmod(quotient, F.lit(2)) == 1))
     units = quotient + up.cast("long")
     if not digits:
