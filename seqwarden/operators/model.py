@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqwarden.operators.windows import context_windows
-from seqwarden.plans.skew import KeyProfile, null_safe, small
+from seqwarden.plans.skew import KeyProfile, null_safe
+from seqwarden.session import materialize
 
 
 def count_model(samples: DataFrame, key: str) -> DataFrame:
@@ -97,11 +98,12 @@ def detect(
     unknown context is an anomaly.
     """
     samples = context_windows(df, session, seq, key, width, profile)
-    top = top_k_table(model, k)
+    # written once: training is not repeated, and Spark broadcasts the table only if its files are small
+    top = materialize(top_k_table(model, k), "top")
     if backoff:
         return _flag_with_backoff(samples, top, key)
     known = F.coalesce(F.array_contains("top", F.col(key)), F.lit(False))
-    return samples.join(small(top), "ctx", "left").withColumn("flag", ~known).drop("top")
+    return samples.join(top, "ctx", "left").withColumn("flag", ~known).drop("top")
 
 
 def _flag_with_backoff(samples: DataFrame, top: DataFrame, key: str) -> DataFrame:
@@ -111,7 +113,7 @@ def _flag_with_backoff(samples: DataFrame, top: DataFrame, key: str) -> DataFram
     lengths = pairs.withColumn("_len", F.explode(F.sequence(F.lit(0), width))).withColumn(
         "_suffix", F.slice("ctx", F.size("ctx") - F.col("_len") + 1, F.col("_len"))
     )
-    found = lengths.join(small(top.withColumnRenamed("ctx", "_suffix")), "_suffix", "left")
+    found = lengths.join(top.withColumnRenamed("ctx", "_suffix"), "_suffix", "left")
     hit = F.array_contains("top", F.col("_key"))
     decided = found.groupBy("ctx", "_key").agg(
         F.coalesce(F.max_by(hit, F.when(F.col("top").isNotNull(), F.col("_len"))), F.lit(False)).alias("_hit")

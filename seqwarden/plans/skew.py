@@ -60,13 +60,6 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger table is joined by shuffle."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], profile: KeyProfile) -> DataFrame:
     """Add ``_chunk``: 0 for ordinary keys, an order-preserving piece for hot ones."""
     hot = profile.hot if profile.n_hot > BROADCAST_ROWS else F.broadcast(profile.hot)
