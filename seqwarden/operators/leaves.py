@@ -166,10 +166,14 @@ def outcomes(threshold: float):
                 touched = score > equal
                 best[touched], equal[touched] = cluster, score[touched]
             else:
-                # a generalized template only loses equal positions, so only its own messages can move
-                touched = best == cluster
-                mine = np.flatnonzero(touched)
-                fewer = mine[(x[mine] == clusters.table[cluster]).sum(axis=1) < equal[mine]]
+                # its own messages may lose equal positions; others gain where they hold the wildcard itself
+                score = (x == clusters.table[cluster]).sum(axis=1)
+                own = best == cluster
+                won = ~own & ((score > equal) | ((score == equal) & (cluster < best)))
+                fewer = np.flatnonzero(own & (score < equal))
+                touched = own | won
+                best[won] = cluster
+                equal[touched] = score[touched]
                 equal[fewer] = -1
                 for k in range(clusters.n if len(fewer) else 0):
                     score = (x[fewer] == clusters.table[k]).sum(axis=1)

@@ -31,6 +31,7 @@ from seqwarden.session import materialize
 
 CANDIDATES_PER_ROUND = 10_000
 MESSAGES_PER_SLICE = 50_000
+SMALL_TABLE_ROWS = 200_000
 UNKNOWN_KEY = -1
 
 
@@ -67,7 +68,7 @@ def order_value(df: DataFrame, order: Sequence[str]) -> Column:
     types = [df.schema[c].dataType for c in order]
     if len(order) == 2 and all(isinstance(t, (T.IntegerType, T.LongType)) for t in types):
         high, low = (F.col(c).cast("decimal(19,0)") for c in order)
-        return (high * F.lit(10**19).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+        return (high * F.lit("10000000000000000000").cast("decimal(20,0)") + low).cast("decimal(38,0)")
     return F.struct(*order)
 
 
@@ -98,14 +99,14 @@ def _with_token(routed: DataFrame, level: int) -> DataFrame:
     return routed.withColumn("_tok", F.try_element_at(F.split("_prefix", " "), F.lit(level + 1)))
 
 
-def route_prefixes(prefixes: DataFrame, spec: MiningSpec, fits_one_task: bool) -> DataFrame:
+def route_prefixes(prefixes: DataFrame, spec: MiningSpec, small: bool) -> DataFrame:
     """``_leaf`` per distinct ``_prefix``, given the first position ``_first`` of each.
 
     A node keeps a token if it is among its first ``max_children`` and did not come
     after the wildcard itself.
     """
     routed = prefixes.withColumn("_leaf", F.element_at(F.split("_prefix", " "), 1))
-    step = _route_level_by_windows if fits_one_task else _route_level_by_join
+    step = _route_level_by_windows if small else _route_level_by_join
     for level in range(1, spec.depth):
         routed = step(_with_token(routed, level), spec.max_children)
     return routed
@@ -137,13 +138,16 @@ def routed_messages(work: DataFrame, spec: MiningSpec, rows_per_task: int) -> Da
     distinct = materialize(
         work.groupBy("_msg").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")), "messages"
     )
-    fits_one_task = distinct.count() <= rows_per_task
+    small = distinct.count() <= min(rows_per_task, SMALL_TABLE_ROWS)
+    if small:
+        # counted above: few enough rows for one task, which then needs no shuffle at all
+        distinct = distinct.coalesce(1)
     distinct = distinct.withColumn("_prefix", prefix_text(spec.depth))
     prefixes = distinct.groupBy("_prefix").agg(F.min("_first").alias("_first"))
-    routes = route_prefixes(prefixes, spec, fits_one_task).select("_prefix", "_leaf")
+    routes = route_prefixes(prefixes, spec, small).select("_prefix", "_leaf")
     routed = distinct.join(routes, "_prefix").drop("_prefix")
     count, rows = F.count(F.lit(1)), F.sum("_n")
-    if fits_one_task:
+    if small:
         leaf = Window.partitionBy("_leaf")
         return materialize(routed.withColumn("_m", count.over(leaf)).withColumn("_rows", rows.over(leaf)), "routed")
     routed = materialize(routed, "routed")

@@ -1,9 +1,11 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sequential_mining import mine
 
+from seqwarden.operators.leaves import changing_rows, outcomes
 from seqwarden.operators.templates import MiningSpec, apply_templates, catalogue, mine_templates
 
 MESSAGES = [
@@ -55,18 +57,46 @@ def random_case(rng):
     return [" ".join(rng.choice(words) for _ in range(rng.choice(lengths))) for _ in range(rng.randint(5, 60))]
 
 
-@pytest.mark.parametrize("rows_per_task", [10**6, 0])
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed,rows_per_task", [(0, 10**6), (1, 10**6), (2, 1), (3, 1)])
 def test_equals_the_sequential_pass(spark, seed, rows_per_task):
     """Folding whole routes, and solving every shared route by rounds, both give the sequential result."""
     rng = random.Random(seed)
-    cases = [random_case(rng) for _ in range(8)]
-    spec = MiningSpec(rng.randint(2, 5), rng.choice([0.2, 0.4, 0.6, 0.8]), rng.choice([1, 2, 3, 100]))
-    # many cases in one run: a leading word of its own per case would change the routes, so one run per case
-    for messages in cases[: 2 if rows_per_task == 0 else 4]:
-        want = mine([m.split() for m in messages], spec.depth, spec.threshold, spec.max_children)
-        got = mined(spark, messages, spec=spec, masked=False, rows_per_task=max(rows_per_task, 1), candidates_per_round=3)
-        assert got == want
+    messages = random_case(rng) + random_case(rng)
+    spec = MiningSpec(rng.randint(2, 4), rng.choice([0.2, 0.4, 0.6]), rng.choice([1, 2, 3]))
+    want = mine([m.split() for m in messages], spec.depth, spec.threshold, spec.max_children)
+    got = mined(spark, messages, spec=spec, masked=False, rows_per_task=rows_per_task, candidates_per_round=20)
+    assert got == want
+
+
+def solve_by_rounds(messages, threshold, batch):
+    """The rounds of a large route on one machine, with the functions that Spark runs."""
+    first = {}
+    for i, m in enumerate(messages):
+        first.setdefault(m, i)
+    distinct = pd.DataFrame({"_leaf": "x", "_msg": list(first)})
+    candidates = pd.DataFrame({"_leaf": "x", "_msg": list(first), "_pos": list(first.values())})[:batch]
+    while True:
+        log = changing_rows(threshold)(candidates)
+        stretches = outcomes(threshold)(distinct, log).to_numpy().tolist()
+        def rows(m, a, b):
+            return [i for i, t in enumerate(messages) if t == m and i >= a and (b is None or i < b)]
+        missed = sorted((min(r), m) for _, m, a, b, c in stretches if c is None and (r := rows(m, a, b)))
+        if not missed:
+            joined = {i: c for _, m, a, b, c in stretches if c is not None for i in rows(m, a, b)}
+            rank = {c: k for k, c in enumerate(sorted(set(joined.values())))}
+            return [rank[joined[i]] for i in range(len(messages))]
+        more = pd.DataFrame([("x", m, p) for p, m in missed[:batch]], columns=["_leaf", "_msg", "_pos"])
+        candidates = pd.concat([log, more])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_rounds_reach_the_sequential_result(seed):
+    rng = random.Random(seed)
+    length, words = rng.randint(1, 5), ["a", "b", "c", "d", "<*>"]
+    messages = [" ".join(rng.choice(words) for _ in range(length)) for _ in range(rng.randint(2, 50))]
+    threshold = rng.choice([0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    want, _, _ = mine([m.split() for m in messages], depth=1, threshold=threshold)
+    assert solve_by_rounds(messages, threshold, rng.choice([1, 3, 1000])) == want
 
 
 def test_order_columns(spark):
