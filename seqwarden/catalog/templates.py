@@ -77,7 +77,7 @@ l1 AS (SELECT l0.*, r0 || ' ' || CASE WHEN r <= 3 THEN k ELSE '<*>' END AS r1 FR
 f2 AS (SELECT r1, t[2] AS k, row_number() OVER (PARTITION BY r1 ORDER BY min(f)) AS r FROM l1 GROUP BY 1, 2),
 l2 AS (SELECT l1.*, r1 || ' ' || CASE WHEN r <= 3 THEN k ELSE '<*>' END AS r2 FROM l1 JOIN f2 USING (r1) WHERE f2.k = t[2]),
 f3 AS (SELECT r2, t[3] AS k, row_number() OVER (PARTITION BY r2 ORDER BY min(f)) AS r FROM l2 WHERE len(t) >= 3 GROUP BY 1, 2)
-SELECT message, CASE WHEN len(t) < 3 THEN r2 ELSE r2 || ' ' || CASE WHEN r <= 3 THEN k ELSE '<*>' END END AS route,
+SELECT message, CASE WHEN len(t) < 3 THEN l2.r2 ELSE l2.r2 || ' ' || CASE WHEN r <= 3 THEN k ELSE '<*>' END END AS route,
   f AS first_pos, n FROM l2 LEFT JOIN f3 ON f3.r2 = l2.r2 AND f3.k = t[3]"""
 
 

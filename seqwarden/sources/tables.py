@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqwarden.fixed_values import RULE_LINE
+
+REPORT_RULE = f"\n\n{RULE_LINE}\n\n"
 MODEL_FIELDS = ("num_keys", "window_size", "vocab_fingerprint")
 MODEL_DEFAULTS: dict[str, int] = {"top_k": 9, "min_support": 1, "epoch": 0}
 
@@ -80,5 +83,5 @@ def require_same_vocabulary(meta: Mapping[str, object], templates: DataFrame) ->
 
 
 def save_reports(reports: DataFrame, path: str, text: str = "report", mode: str = "errorifexists") -> None:
-    """Report texts, one file entry per incident; the incident table stays the product."""
-    reports.select(F.col(text).alias("value")).write.mode(mode).option("lineSep", "\n\n").text(path)
+    """Report texts in the order of the rows, each closed by the rule line; the table stays the product."""
+    reports.select(F.col(text).alias("value")).write.mode(mode).option("lineSep", REPORT_RULE).text(path)
