@@ -313,8 +313,8 @@ def mine_templates(
     if not mint_empty:
         blanks = blanks.select(*df.columns, F.lit(UNKNOWN_KEY).cast("long").alias("key"))
     elif spec.threshold == 0.0:
-        only = numbered.filter(F.col("route") == "0").select("key")
-        blanks = blanks.select(*df.columns).crossJoin(F.broadcast(only))  # at most one row
+        only = numbered.filter(F.col("route") == "0").select("route", "key")  # at most one row
+        blanks = blanks.withColumn("route", F.lit("0")).join(only, "route").select(*df.columns, "key")
     else:
         blanks = blanks.join(numbered.select(F.col("_cluster").alias("_pos"), "key"), "_pos").select(*df.columns, "key")
     texts = _template_tokens(assigned.select("_cluster", "_msg").distinct())
