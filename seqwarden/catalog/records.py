@@ -12,6 +12,7 @@ from seqwarden.catalog import Query
 from seqwarden.fixed_values import KEEP_LIST_COLUMNS
 from seqwarden.operators import flatten as fl
 from seqwarden.operators import prepare
+from seqwarden.plans.skew import spread
 from seqwarden.session import scratch_dir
 from seqwarden.sources import json_events, tables
 
@@ -55,7 +56,7 @@ def nested_json(df: DataFrame) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_json(audit_events(spark, sf_dir)).select("ordinal", F.parse_json("value").alias("raw"))
+    return nested_json(spread(audit_events(spark, sf_dir))).select("ordinal", F.parse_json("value").alias("raw"))
 
 
 FLAT = f"""{EV}, flat AS (SELECT ordinal AS "eventID", strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS "eventTime",

@@ -12,7 +12,7 @@ from seqwarden.fixed_values import MASK_PATTERNS
 from seqwarden.functions.text import log_string, mask, tokens
 from seqwarden.operators import sessions
 from seqwarden.operators import templates as tm
-from seqwarden.plans.skew import profile_keys
+from seqwarden.plans.skew import profile_keys, spread
 
 PARTS = ("event_source", "event_name", "source_ip", "user_arn")
 
@@ -35,7 +35,7 @@ lf AS (SELECT *, len(t) AS n, array_to_string(t, ' ') AS msg,
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = audit_events(spark, sf_dir, "ordinal", "ts", "user_id", "split", *PARTS)
-    return df.withColumn("message", log_string(*PARTS)).drop("event_source", "source_ip", "user_arn")
+    return spread(df).withColumn("message", log_string(*PARTS)).drop("event_source", "source_ip", "user_arn")
 
 
 def positioned_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ Q13 = f"""WITH {EV}, {TOK} SELECT ordinal, CAST(n AS INTEGER) AS n_tokens, array
 def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
     # addresses stay unmasked, so most nodes have more children than they may keep
     work = tm.with_message(logs(spark, sf_dir), "message", masked=False).select("_msg", F.col("ordinal").alias("_pos"))
-    routed = tm.routed_messages(work, tm.MiningSpec(max_children=3), tm.ROWS_PER_TASK)
+    routed = tm.routed_messages(work, tm.MiningSpec(max_children=3))
     return routed.select(
         F.col("_msg").alias("message"), F.col("_leaf").alias("route"), F.col("_first").alias("first_pos"), F.col("_n").alias("n")
     )
@@ -104,7 +104,8 @@ Q15B = f"WITH {EV}, {TOK}, {VOCAB} SELECT CAST(key AS BIGINT) AS key, template,
 
 
 def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     mined = tm.mine_templates(lines, "text", ["doc_id", "line"], mint_empty=False)
     return mined.templates.select("key", "template", "size", "route")
 

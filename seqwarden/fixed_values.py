@@ -59,6 +59,8 @@ MASK_PATTERNS = (
     r"\b\d+\.\d+\.\d+\b",
     r"\b\d+\b",
 )
+# a text without the literal cannot match the pattern of the same place
+MASK_LITERALS = (".", "-", "arn:aws:", "AKIA", "AIDA", "AROA", "ASIA", "", "0x", ".", "")
 
 # ---- fixed values: template mining and next-key model ----
 DEPTH = 4

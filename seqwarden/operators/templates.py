@@ -31,7 +31,6 @@ from seqwarden.session import materialize
 
 CANDIDATES_PER_ROUND = 10_000
 MESSAGES_PER_SLICE = 50_000
-SMALL_TABLE_ROWS = 200_000
 UNKNOWN_KEY = -1
 
 
@@ -99,29 +98,19 @@ def _with_token(routed: DataFrame, level: int) -> DataFrame:
     return routed.withColumn("_tok", F.try_element_at(F.split("_prefix", " "), F.lit(level + 1)))
 
 
-def route_prefixes(prefixes: DataFrame, spec: MiningSpec, small: bool) -> DataFrame:
+def route_prefixes(prefixes: DataFrame, spec: MiningSpec) -> DataFrame:
     """``_leaf`` per distinct ``_prefix``, given the first position ``_first`` of each.
 
     A node keeps a token if it is among its first ``max_children`` and did not come
     after the wildcard itself.
     """
-    routed = prefixes.withColumn("_leaf", F.element_at(F.split("_prefix", " "), 1))
-    step = _route_level_by_windows if small else _route_level_by_join
+    routed = prefixes.select("_prefix", "_first", F.element_at(F.split("_prefix", " "), 1).alias("_leaf"))
     for level in range(1, spec.depth):
-        routed = step(_with_token(routed, level), spec.max_children)
+        routed = _route_level(_with_token(routed, level), spec.max_children)
     return routed
 
 
-def _route_level_by_windows(routed: DataFrame, max_children: int) -> DataFrame:
-    node = Window.partitionBy("_leaf")
-    routed = routed.withColumn("_p", F.min("_first").over(Window.partitionBy("_leaf", "_tok")))
-    routed = routed.withColumn("_r", F.dense_rank().over(node.orderBy(F.col("_p").asc_nulls_last())))
-    routed = routed.withColumn("_wild", F.min(F.when(F.col("_tok") == WILDCARD, F.col("_p"))).over(node))
-    kept = (F.col("_r") <= max_children) & (F.col("_wild").isNull() | (F.col("_p") <= F.col("_wild")))
-    return routed.select("_prefix", "_first", _next_node(kept))
-
-
-def _route_level_by_join(routed: DataFrame, max_children: int) -> DataFrame:
+def _route_level(routed: DataFrame, max_children: int) -> DataFrame:
     firsts = routed.filter(F.col("_tok").isNotNull()).groupBy("_leaf", "_tok").agg(F.min("_first").alias("_p"))
     node = Window.partitionBy("_leaf")
     # the rank filter also runs before the shuffle, so no task receives all tokens of a large node
@@ -133,27 +122,27 @@ def _route_level_by_join(routed: DataFrame, max_children: int) -> DataFrame:
     return materialize(joined.select("_prefix", "_first", _next_node(F.col("_kept"))), "routes")
 
 
-def routed_messages(work: DataFrame, spec: MiningSpec, rows_per_task: int) -> DataFrame:
-    """Distinct messages with first position, row count, route, and the route's size; written once."""
-    distinct = materialize(
-        work.groupBy("_msg").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")), "messages"
-    )
-    small = distinct.count() <= min(rows_per_task, SMALL_TABLE_ROWS)
-    if small:
-        # counted above: few enough rows for one task, which then needs no shuffle at all
-        distinct = distinct.coalesce(1)
-    distinct = distinct.withColumn("_prefix", prefix_text(spec.depth))
-    prefixes = distinct.groupBy("_prefix").agg(F.min("_first").alias("_first"))
-    routes = route_prefixes(prefixes, spec, small).select("_prefix", "_leaf")
-    routed = distinct.join(routes, "_prefix").drop("_prefix")
-    count, rows = F.count(F.lit(1)), F.sum("_n")
-    if small:
-        leaf = Window.partitionBy("_leaf")
-        return materialize(routed.withColumn("_m", count.over(leaf)).withColumn("_rows", rows.over(leaf)), "routed")
-    routed = materialize(routed, "routed")
-    return materialize(
-        routed.join(routed.groupBy("_leaf").agg(count.alias("_m"), rows.alias("_rows")), "_leaf"), "sized"
+def routed_messages(work: DataFrame, spec: MiningSpec) -> DataFrame:
+    """Distinct messages with first position, row count ``_n`` and route ``_leaf``.
+
+    ``_m`` and ``_rows`` are the distinct messages and rows of the whole route. Messages
+    are written once; routes and their sizes come from the far smaller prefix table.
+    """
+    count, first = F.count(F.lit(1)), F.min("_pos").alias("_first")
+    messages = work.groupBy("_msg").agg(first, count.alias("_n")).withColumn("_prefix", prefix_text(spec.depth))
+    messages = materialize(messages, "messages")
+    prefixes = materialize(
+        messages.groupBy("_prefix").agg(
+            F.min("_first").alias("_first"), count.alias("_pm"), F.sum("_n").alias("_pn")
+        ),
+        "prefixes",
     )
+    sizes = [F.sum("_pm").alias("_m"), F.sum("_pn").alias("_rows")]
+    routes = route_prefixes(prefixes, spec).select("_prefix", "_leaf")
+    sized = routes.join(prefixes.select("_prefix", "_pm", "_pn"), "_prefix")
+    per_leaf = sized.groupBy("_leaf").agg(*sizes)
+    routes = materialize(routes.join(per_leaf, "_leaf"), "routed")
+    return messages.join(routes, "_prefix").drop("_prefix")
 
 
 def _fold_routes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -237,7 +226,7 @@ def _without_slice(fn):
 
 def _assignments(work: DataFrame, spec: MiningSpec, rows_per_task: int, batch: int) -> DataFrame:
     """Stretches ``(_leaf, _msg, _from, _to, _cluster, _n)`` for all non-empty messages, written once."""
-    messages = routed_messages(work, spec, rows_per_task).filter(F.col("_msg") != "")
+    messages = routed_messages(work, spec).filter(F.col("_msg") != "")
     alone = messages.filter(F.col("_m") == 1).select(
         "_leaf",
         "_msg",
@@ -288,7 +277,8 @@ def mine_templates(
     gives them the unknown key instead.
     """
     work = with_message(df, message, masked).withColumn("_pos", order_value(df, order))
-    narrow = work.select("_msg", "_pos")
+    # masked once: the written pairs are far smaller than the rows, and repeated texts are stored once
+    narrow = materialize(work.select("_msg", "_pos"), "work")
     assigned = _assignments(narrow, spec, rows_per_task, candidates_per_round)
     clusters = assigned.groupBy("_cluster", F.col("_leaf").alias("route")).agg(F.sum("_n").alias("size"))
     empty = narrow.filter(F.col("_msg") == "")

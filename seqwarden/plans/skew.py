@@ -56,6 +56,15 @@ def profile_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_P
     return KeyProfile(row.n_rows, row.n_keys, row.max_rows, row.n_hot, rows_per_task, hot)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on an input that comes in fewer pieces than there are cores.
+
+    For a scan before heavy text work. Large inputs have many more pieces and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
