@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqwarden.plans.skew import null_safe
-
 
 def guarded_ratio(numerator: Column, denominator: Column) -> Column:
     """``numerator / denominator``, or 0.0 where the denominator is 0."""
@@ -23,10 +21,9 @@ def align(predicted: DataFrame, truth: DataFrame, on: Sequence[str], strict: boo
     """
     if not strict:
         return predicted.join(truth, list(on))
-    joined = predicted.join(truth, null_safe(predicted, truth, on), "full_outer")
-    keys = [F.coalesce(predicted[c], truth[c]).alias(c) for c in on]
-    unmatched = predicted["predicted"].isNull() | truth["truth"].isNull()
-    return joined.select(*keys, predicted["predicted"], truth["truth"], unmatched.alias("unmatched"))
+    both = predicted.select(*on, "predicted").unionByName(truth.select(*on, "truth"), allowMissingColumns=True)
+    merged = both.groupBy(*on).agg(F.max("predicted").alias("predicted"), F.max("truth").alias("truth"))
+    return merged.withColumn("unmatched", F.col("predicted").isNull() | F.col("truth").isNull())
 
 
 def evaluate(flags: DataFrame, predicted: str = "predicted", truth: str = "truth") -> DataFrame:

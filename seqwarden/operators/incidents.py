@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqwarden import fixed_values as fv
 from seqwarden.functions.text import percent
 from seqwarden.operators.evaluate import guarded_ratio
-from seqwarden.plans.skew import null_safe, positions_within
+from seqwarden.plans.skew import join_on, positions_within
 
 PAGE_EVENTS = 10_000
 CONTEXT = ("event_time", "source_ip", "user_arn", "event_name")
@@ -32,13 +32,10 @@ def template_text(flags: DataFrame, templates: DataFrame, key: str = "key") -> D
 
 def with_context(flags: DataFrame, metadata: DataFrame, session: Sequence[str], seq: str) -> DataFrame:
     """Add time, address, identity and event name by position; what is missing becomes ``N/A``."""
-    joined = flags.join(metadata, null_safe(flags, metadata, [*session, seq]), "left")
-    extra = [
-        F.coalesce(metadata[c].cast("string"), F.lit(fv.MISSING_CONTEXT)).alias(c)
-        for c in CONTEXT
-        if c in metadata.columns
-    ]
-    return joined.select(*[flags[c] for c in flags.columns if c not in CONTEXT], *extra)
+    on = [*session, seq]
+    extra = [c for c in CONTEXT if c in metadata.columns]
+    joined = join_on(flags.drop(*CONTEXT), metadata.select(*on, *extra), on, "left")
+    return joined.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(fv.MISSING_CONTEXT)) for c in extra})
 
 
 def flagged_events(rows: DataFrame, templates: DataFrame, session: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -120,12 +117,8 @@ def incidents(
         .agg(F.array_sort(F.collect_list(event)).alias("events"))
     )
     heads = incident_headers(rows, session)
-    joined = pages.join(heads, null_safe(pages, heads, session))
-    own = [pages[c] for c in (*session, "page", "events")]
-    last = F.floor((heads["n_flagged"] - 1) / page_events).cast("long") == pages["page"]
-    return joined.select(
-        *own, *[heads[c] for c in heads.columns if c not in session], last.alias("is_last_page")
-    )
+    last = F.floor((F.col("n_flagged") - 1) / page_events).cast("long") == F.col("page")
+    return join_on(pages, heads, session).withColumn("is_last_page", last)
 
 
 def _session_text(session: Sequence[str]) -> Column:

@@ -6,6 +6,7 @@ frequent targets per context, ties broken by the smaller key.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqwarden.operators.windows import context_windows
-from seqwarden.plans.skew import KeyProfile, null_safe
+from seqwarden.plans.skew import KeyProfile, join_on
 from seqwarden.session import materialize
 
 
@@ -66,9 +67,10 @@ def rank_next_keys(model: DataFrame, k: int) -> DataFrame:
 
 
 def top_k_table(model: DataFrame, k: int) -> DataFrame:
-    """One row per context: its top keys as an array of at most ``k``."""
+    """One row per context: its top keys, best first, as an array of at most ``k``."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "target")))
     ranked = rank_next_keys(model, k)
-    return ranked.groupBy("ctx").agg(F.array_sort(F.collect_list("target")).alias("top"))
+    return ranked.groupBy("ctx").agg(F.transform(ordered, lambda e: e["target"]).alias("top"))
 
 
 def check_key_range(df: DataFrame, key: str, num_keys: int) -> None:
@@ -90,44 +92,47 @@ def detect(
     k: int = 9,
     backoff: bool = False,
     profile: KeyProfile | None = None,
+    num_keys: int | None = None,
 ) -> DataFrame:
     """Scored rows (``seq >= width``) with ``flag``: the key is outside the top ``k``.
 
     Earlier rows cannot be predicted and are normal; see :func:`with_all_rows`. With
-    ``backoff`` the longest context suffix known to the model decides; without, an
-    unknown context is an anomaly.
+    ``backoff`` the longest context suffix known to the model ranks first, and shorter
+    ones fill the places it leaves open; without, an unknown context is an anomaly.
+    A ``k`` that covers all ``num_keys`` keys of the vocabulary flags nothing.
     """
     samples = context_windows(df, session, seq, key, width, profile)
+    if num_keys is not None and k >= num_keys:
+        warnings.warn(f"k={k} covers all {num_keys} keys, so nothing can be flagged", stacklevel=2)
+        return samples.withColumn("flag", F.lit(False))
     # written once: training is not repeated, and Spark broadcasts the table only if its files are small
     top = materialize(top_k_table(model, k), "top")
     if backoff:
-        return _flag_with_backoff(samples, top, key)
+        return _flag_with_backoff(samples, top, key, k)
     known = F.coalesce(F.array_contains("top", F.col(key)), F.lit(False))
     return samples.join(top, "ctx", "left").withColumn("flag", ~known).drop("top")
 
 
-def _flag_with_backoff(samples: DataFrame, top: DataFrame, key: str) -> DataFrame:
+def _flag_with_backoff(samples: DataFrame, top: DataFrame, key: str, k: int) -> DataFrame:
     # decided once per distinct (context, key); the suffixes never multiply the event rows
     pairs = samples.select("ctx", F.col(key).alias("_key")).distinct()
-    width = F.size("ctx")
-    lengths = pairs.withColumn("_len", F.explode(F.sequence(F.lit(0), width))).withColumn(
+    lengths = pairs.withColumn("_len", F.explode(F.sequence(F.lit(0), F.size("ctx")))).withColumn(
         "_suffix", F.slice("ctx", F.size("ctx") - F.col("_len") + 1, F.col("_len"))
     )
-    found = lengths.join(top.withColumnRenamed("ctx", "_suffix"), "_suffix", "left")
-    hit = F.array_contains("top", F.col("_key"))
-    decided = found.groupBy("ctx", "_key").agg(
-        F.coalesce(F.max_by(hit, F.when(F.col("top").isNotNull(), F.col("_len"))), F.lit(False)).alias("_hit")
-    )
-    flags = decided.select("ctx", F.col("_key").alias(key), (~F.col("_hit")).alias("flag"))
-    return samples.join(flags, ["ctx", key])
+    found = lengths.join(top.withColumnRenamed("ctx", "_suffix"), "_suffix")
+    # at most one short list per context length
+    lists = F.array_sort(F.collect_list(F.struct((-F.col("_len")).alias("l"), "top")))
+    ranked = F.slice(F.array_distinct(F.flatten(F.transform(lists, lambda e: e["top"]))), 1, k)
+    hits = found.groupBy("ctx", "_key").agg(F.array_contains(ranked, F.col("_key")).alias("_hit"))
+    flags = hits.select("ctx", F.col("_key").alias(key), "_hit")
+    return samples.join(flags, ["ctx", key], "left").withColumn("flag", ~F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def with_all_rows(df: DataFrame, scored: DataFrame, session: Sequence[str], seq: str) -> DataFrame:
     """Flags for every event: the first ``width`` of a session are normal."""
     on = [*session, seq]
-    flags = scored.select(*on, "flag")
-    joined = df.join(flags, null_safe(df, flags, on), "left")
-    return joined.select(*[df[c] for c in df.columns], F.coalesce(flags["flag"], F.lit(False)).alias("flag"))
+    joined = join_on(df, scored.select(*on, F.col("flag").alias("_flag")), on, "left")
+    return joined.select(*df.columns, F.coalesce("_flag", F.lit(False)).alias("flag"))
 
 
 def predicted_anti_join(df_scored: DataFrame, model: DataFrame, key: str, k: int) -> DataFrame:

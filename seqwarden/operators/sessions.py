@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqwarden.plans.skew import (
     ROWS_PER_TASK,
     KeyProfile,
-    null_safe,
+    join_on,
     positions_overall,
     positions_within,
     profile_keys,
@@ -53,8 +53,7 @@ def assign_sessions(
     profile = profile_keys(df, keys, rows_per_task)
     ordinals = session_ordinals(df, keys, order, session_id, profile)
     positioned = with_positions(df, keys, order, seq, profile)
-    joined = positioned.join(ordinals, null_safe(positioned, ordinals, keys))
-    return joined.select(*[positioned[c] for c in df.columns], ordinals[session_id], positioned[seq])
+    return join_on(positioned, ordinals, keys).select(*df.columns, session_id, seq)
 
 
 def session_ordinals(

@@ -65,23 +65,28 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys are equal. The right side's keys are renamed first, so
+    both sides may come from one table; the result has the left columns and the right's others."""
+    theirs = {k: f"_right_{k}" for k in keys}
+    renamed = right.select(*[F.col(c).alias(theirs.get(c, c)) for c in right.columns])
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(r)) for k, r in theirs.items()))
+    return left.join(renamed, on, how).drop(*theirs.values())
 
 
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], profile: KeyProfile) -> DataFrame:
     """Add ``_chunk``: 0 for ordinary keys, an order-preserving piece for hot ones."""
-    hot = profile.hot if profile.n_hot > BROADCAST_ROWS else F.broadcast(profile.hot)
-    on = null_safe(df, hot, keys)
+    hot = profile.hot.select(*keys)
+    hot = hot if profile.n_hot > BROADCAST_ROWS else F.broadcast(hot)
     pieces = max(2, -(-2 * profile.n_rows // profile.rows_per_task))
     # written once: the range bounds come from a sample, so the piece numbers must not be recomputed
     hot_rows = materialize(
-        df.join(hot, on, "left_semi")
+        join_on(df, hot, keys, "left_semi")
         .repartitionByRange(int(pieces), *keys, *order)
         .withColumn(CHUNK, F.spark_partition_id() + 1),
         "chunks",
     )
-    cold_rows = df.join(hot, on, "left_anti").withColumn(CHUNK, F.lit(0))
+    cold_rows = join_on(df, hot, keys, "left_anti").withColumn(CHUNK, F.lit(0))
     return cold_rows.unionByName(hot_rows)
 
 
@@ -112,9 +117,8 @@ def positions_within(
         .drop("_n")
     )
     offsets = offsets if profile.n_hot > BROADCAST_ROWS else F.broadcast(offsets)
-    shifted = numbered.join(offsets, null_safe(numbered, offsets, [*keys, CHUNK]), "left")
-    columns = [numbered[c] for c in df.columns]
-    return shifted.select(*columns, (numbered[out] + F.coalesce(offsets["_offset"], F.lit(0))).alias(out))
+    shifted = join_on(numbered, offsets, [*keys, CHUNK], "left")
+    return shifted.select(*df.columns, (F.col(out) + F.coalesce("_offset", F.lit(0))).alias(out))
 
 
 def positions_overall(
