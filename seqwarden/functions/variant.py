@@ -30,9 +30,12 @@ def has_explicit_null(raw: ColumnOrName, path: Sequence[str]) -> Column:
 
 def scalar_text(value: Column, dtype: T.DataType) -> Column:
     """Text of a scalar; booleans read True and False."""
+    text = value.cast("string")
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(value.cast("string"))
-    return value.cast("string")
+        return F.initcap(text)
+    if isinstance(dtype, T.VariantType):
+        return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return text
 
 
 def list_text(value: Column, element: T.DataType) -> Column:

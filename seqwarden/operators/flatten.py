@@ -42,8 +42,8 @@ def leaf_paths(schema: T.StructType, prefix: tuple[str, ...] = ()) -> list[tuple
 def _cell_type(dtype: T.DataType) -> str:
     if isinstance(dtype, T.ArrayType):
         return "array<variant>" if _mixed(dtype.elementType) else dtype.simpleString()
-    # a column of nulls only, or of mixed kinds, is read as text
-    return "string" if isinstance(dtype, (T.NullType, T.VariantType)) else dtype.simpleString()
+    # a column of nulls only has no kind of its own
+    return "string" if isinstance(dtype, T.NullType) else dtype.simpleString()
 
 
 def _mixed(dtype: T.DataType) -> bool:
@@ -65,10 +65,12 @@ def name_map(schema: T.StructType) -> dict[str, str]:
 def flatten(events: DataFrame, schema: T.StructType, raw: str = "raw") -> DataFrame:
     """One column per leaf of ``schema``; the other columns of ``events`` stay."""
     name_map(schema)
-    cells = [
-        F.try_variant_get(raw, json_path(path), _cell_type(dtype)).alias(column_name(".".join(path)))
-        for path, dtype in leaf_paths(schema)
-    ]
+    cells = []
+    for path, dtype in leaf_paths(schema):
+        cell = F.try_variant_get(raw, json_path(path), _cell_type(dtype))
+        # values of mixed kinds become text, so that they can be grouped and compared
+        cell = scalar_text(cell, dtype) if isinstance(dtype, T.VariantType) else cell
+        cells.append(cell.alias(column_name(".".join(path))))
     return events.select(*[c for c in events.columns if c != raw], *cells)
 
 

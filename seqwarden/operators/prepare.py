@@ -60,12 +60,14 @@ def with_time(df: DataFrame, column: str = "eventTime", strict: bool = True) ->
     return df.withColumn(column, utc_time(column, strict))
 
 
-def fill_missing(df: DataFrame, time: str = "eventTime", sentinel: str = NULL_TEXT) -> DataFrame:
-    """Every column but the time as text, null replaced by the sentinel."""
+def fill_missing(
+    df: DataFrame, time: str = "eventTime", sentinel: str = NULL_TEXT, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Every column but the time and those to keep as text, null replaced by the sentinel."""
     return df.select(
         *[
             F.col(f.name)
-            if f.name == time
+            if f.name == time or f.name in keep
             else F.coalesce(scalar_text(F.col(f.name), f.dataType), F.lit(sentinel)).alias(f.name)
             for f in df.schema.fields
         ]
