@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from seqwarden.functions.text import contains_any, log_string, mask, pick, seconds_between, similarity, generalize, tokens, utc_time
 from seqwarden.functions.variant import field, has_explicit_null
 from seqwarden.operators import flatten as fl
-from seqwarden.operators import prepare, quality, sessions
+from seqwarden.operators import prepare, quality
 from seqwarden.plans import flow
-from seqwarden.sources import json_events, tables
+from seqwarden.sources import json_events
+from seqwarden.streaming.lines import stream_jsonl, stream_keys
 
 
 def event(i, time, name, ip, agent, kind, user=None, arn="arn:aws:iam::811596193553:user/x", **more):
@@ -186,3 +187,20 @@ def test_checks(spark):
     assert failed(good.drop("inv", "t")) == {"noise filter", "temporal order", "session integrity"}
     with pytest.raises(quality.ChecksFailed):
         quality.require_passed(quality.run_checks(late, quality.shared_checks(cols, noise), "x"))
+
+
+def test_stream_of_lines(spark, tmp_path):
+    path = write(tmp_path / "in", "a.jsonl", lines(A, B, C))
+    events = [(f"{e['eventSource']} {e['eventName']} <*> <*>", i) for i, e in enumerate((A, B))]
+    templates = spark.createDataFrame(
+        [(k, t, t.split(), 1, "4 " + " ".join(t.split()[:3])) for t, k in events],
+        "key long, template string, tokens array<string>, size long, route string",
+    )
+    keyed = stream_keys(stream_jsonl(spark, path), templates)
+    query = keyed.writeStream.format("memory").queryName("keyed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        query.processAllAvailable()
+        got = {r.event_id: r.key for r in spark.table("keyed").collect()}
+    finally:
+        query.stop()
+    assert got == {"aaaa-aaaa": 0, "bbbb-bbbb": 1, "cccc-cccc": -1}
