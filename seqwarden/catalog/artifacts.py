@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwarden.adapter import audit_events
 from seqwarden.catalog import Query
-from seqwarden.catalog.sequences import EV, SESSION, TOP, WIDTH, WIN, ctx_text, positioned
+from seqwarden.catalog.sequences import EV, SESSION, TOP, WIDTH, WIN, ctx_text, positioned, split_positions
 from seqwarden.operators import model, prepare, sessions, windows
 from seqwarden.session import scratch_dir
 from seqwarden.sources import tables
@@ -74,10 +74,9 @@ Q36 = f"""WITH {EV} SELECT user_id, string_agg(CAST(key AS VARCHAR), ' ' ORDER B
 
 def q36b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model written with its metadata, loaded with defaults, and continued with the same counts."""
-    df, profile = positioned(spark, sf_dir, "event_name")
-    train = df.filter(F.col("split") == "train")
+    train, _, profile = split_positions(spark, sf_dir)
     counts = model.count_model(windows.context_windows(train, SESSION, "seq", "key", WIDTH, profile), "key")
-    words = vocabulary(df)
+    words = vocabulary(audit_events(spark, sf_dir, "key", "event_name"))
     path = _folder(spark, "model")
     meta = {"num_keys": words.count(), "window_size": WIDTH, "vocab_fingerprint": tables.fingerprint(words)}
     tables.save_model(counts, meta, path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwarden import fixed_values as fv
 from seqwarden.catalog import Query
-from seqwarden.catalog.sequences import EV, FLAGS, K, SESSION, TOP, WIDTH, WIN, positioned
+from seqwarden.catalog.sequences import EV, FLAGS, K, SESSION, TOP, WIDTH, WIN, positioned, split_positions
 from seqwarden.operators import incidents as inc
 from seqwarden.operators import model, windows
 from seqwarden.session import materialize, scratch_dir
@@ -32,16 +32,13 @@ BASE = f"WITH {EV}, {WIN}, {TOP}, {FLAGS}, {ALL}"
 
 def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All test events with flag and context."""
-    df, profile = positioned(spark, sf_dir, "event_name", "source_ip", "user_arn")
-    df = df.withColumn("event_time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    narrow = df.select("user_id", "seq", "key", "split")
-    samples = windows.context_windows(narrow.filter(F.col("split") == "train"), SESSION, "seq", "key", WIDTH, profile)
-    test = df.filter(F.col("split") == "test")
-    scored = model.detect(
-        narrow.filter(F.col("split") == "test"), model.count_model(samples, "key"), SESSION, "seq", "key", WIDTH, K, profile=profile
-    )
+    train, test, profile = split_positions(spark, sf_dir, "event_name", "source_ip", "user_arn")
+    samples = windows.context_windows(train.select("user_id", "seq", "key"), SESSION, "seq", "key", WIDTH, profile)
+    test = test.withColumn("event_time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    counts = model.count_model(samples, "key")
+    flags = model.detect(test, counts, SESSION, "seq", "key", WIDTH, K, profile=profile, all_rows=True)
     # the flags are a product of their own; incidents read the written table several times
-    return materialize(model.with_all_rows(test, scored, SESSION, "seq"), "flags")
+    return materialize(flags.drop("ctx"), "flags")
 
 
 def inline_templates(rows: DataFrame) -> DataFrame:

@@ -41,25 +41,33 @@ def positioned(spark: SparkSession, sf_dir: str, *extra: str):
     return sessions.with_positions(df, SESSION, ORDER, "seq", profile), profile
 
 
+def split_positions(spark: SparkSession, sf_dir: str, *extra: str):
+    """Training and test events with positions. A session lies in one split, so the split is
+    taken before the shuffle and each side moves only its own rows."""
+    columns = dict.fromkeys(["ordinal", "ts", "user_id", "key", "split", *extra])
+    df = audit_events(spark, sf_dir, *columns)
+    profile = profile_keys(df, SESSION)
+    train, test = (
+        sessions.with_positions(df.filter(F.col("split") == s), SESSION, ORDER, "seq", profile)
+        for s in ("train", "test")
+    )
+    return train, test, profile
+
+
 def ctx_text(column: str = "ctx"):
     return F.array_join(F.transform(column, lambda k: k.cast("string")), ",")
 
 
 def train_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, profile = positioned(spark, sf_dir)
-    train = df.filter(F.col("split") == "train")
+    train, _, profile = split_positions(spark, sf_dir)
     return model.count_model(windows.context_windows(train, SESSION, "seq", "key", WIDTH, profile), "key")
 
 
 def flagged(spark: SparkSession, sf_dir: str, *extra: str, k: int = K, backoff: bool = False) -> DataFrame:
-    df, profile = positioned(spark, sf_dir, *extra)
-    samples = windows.context_windows(
-        df.filter(F.col("split") == "train"), SESSION, "seq", "key", WIDTH, profile
-    )
-    counts = model.count_model(samples, "key")
+    train, test, profile = split_positions(spark, sf_dir, *extra)
+    counts = model.count_model(windows.context_windows(train, SESSION, "seq", "key", WIDTH, profile), "key")
     if backoff:
         counts = model.with_suffixes(counts)
-    test = df.filter(F.col("split") == "test")
     return model.detect(test, counts, SESSION, "seq", "key", WIDTH, k, backoff, profile)
 
 
@@ -175,8 +183,7 @@ SELECT count(*) AS n_scored, count(*) FILTER (WHERE flag) AS n_flagged,
 
 
 def q08c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, profile = positioned(spark, sf_dir)
-    train, test = (df.filter(F.col("split") == s) for s in ("train", "test"))
+    train, test, profile = split_positions(spark, sf_dir)
     counts = model.count_model(windows.context_windows(train, SESSION, "seq", "key", WIDTH, profile), "key")
     samples = windows.context_windows(test, SESSION, "seq", "key", WIDTH, profile)
     return model.predicted_anti_join(samples, counts, "key", K).select("user_id", "seq", "key")
@@ -188,8 +195,7 @@ SELECT user_id, CAST(seq AS BIGINT) AS seq, key FROM flags WHERE flag"""
 
 def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pairs seen at least twice only, so that some contexts do fall back
-    df, profile = positioned(spark, sf_dir)
-    train, test = (df.filter(F.col("split") == s) for s in ("train", "test"))
+    train, test, profile = split_positions(spark, sf_dir)
     samples = windows.context_windows(train, SESSION, "seq", "key", WIDTH, profile)
     counts = model.prune(model.with_suffixes(model.count_model(samples, "key")), 2)
     out = model.detect(test, counts, SESSION, "seq", "key", WIDTH, 1, True, profile)
@@ -264,10 +270,8 @@ SELECT ctx, target, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2"""
 
 
 def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, profile = positioned(spark, sf_dir)
-    samples = windows.context_windows(
-        df.filter(F.col("split") == "train"), SESSION, "seq", "key", WIDTH, profile
-    )
+    train, _, profile = split_positions(spark, sf_dir)
+    samples = windows.context_windows(train, SESSION, "seq", "key", WIDTH, profile)
     halves = [model.count_model(samples.filter(F.col("ordinal") % 2 == r), "key") for r in (0, 1)]
     return model.merge_models(*halves).select(ctx_text().alias("ctx"), "target", "n")
 
@@ -276,22 +280,16 @@ Q28 = Q06
 
 
 def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, profile = positioned(spark, sf_dir)
-    train, test = (
-        windows.context_windows(df.filter(F.col("split") == s), SESSION, "seq", "key", WIDTH, profile)
-        for s in ("train", "test")
-    )
+    *sides, profile = split_positions(spark, sf_dir)
+    train, test = (windows.context_windows(s, SESSION, "seq", "key", WIDTH, profile) for s in sides)
     fitted = model.fit_regression(train, "key", WIDTH, num_keys=5)
     flags = model.detect_with_regression(fitted, test, "key", WIDTH, K)
     return flags.select("user_id", "seq", "key", "flag")
 
 
 def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, profile = positioned(spark, sf_dir)
-    train, test = (
-        windows.context_windows(df.filter(F.col("split") == s), SESSION, "seq", "key", WIDTH, profile)
-        for s in ("train", "test")
-    )
+    *sides, profile = split_positions(spark, sf_dir)
+    train, test = (windows.context_windows(s, SESSION, "seq", "key", WIDTH, profile) for s in sides)
     scorer = model.first_order_scorer(model.count_model(train, "key"), num_keys=5, k=K)
     return model.score_with(test.select("user_id", "seq", "key", "ctx"), scorer, "key").drop("ctx")
 

@@ -93,29 +93,32 @@ def detect(
     backoff: bool = False,
     profile: KeyProfile | None = None,
     num_keys: int | None = None,
+    all_rows: bool = False,
 ) -> DataFrame:
     """Scored rows (``seq >= width``) with ``flag``: the key is outside the top ``k``.
 
-    Earlier rows cannot be predicted and are normal; see :func:`with_all_rows`. With
+    Earlier rows cannot be predicted; ``all_rows`` keeps them as normal. With
     ``backoff`` the longest context suffix known to the model ranks first, and shorter
     ones fill the places it leaves open; without, an unknown context is an anomaly.
     A ``k`` that covers all ``num_keys`` keys of the vocabulary flags nothing.
     """
-    samples = context_windows(df, session, seq, key, width, profile)
+    samples = context_windows(df, session, seq, key, width, profile, full_only=not all_rows)
+    scored = F.col(seq) >= width
     if num_keys is not None and k >= num_keys:
         warnings.warn(f"k={k} covers all {num_keys} keys, so nothing can be flagged", stacklevel=2)
         return samples.withColumn("flag", F.lit(False))
     # written once: training is not repeated, and Spark broadcasts the table only if its files are small
     top = materialize(top_k_table(model, k), "top")
     if backoff:
-        return _flag_with_backoff(samples, top, key, k)
-    known = F.coalesce(F.array_contains("top", F.col(key)), F.lit(False))
-    return samples.join(top, "ctx", "left").withColumn("flag", ~known).drop("top")
+        found = _hits_with_backoff(samples, samples.filter(scored), top, key, k)
+    else:
+        found = samples.join(top, "ctx", "left").withColumn("_hit", F.array_contains("top", F.col(key))).drop("top")
+    return found.withColumn("flag", scored & ~F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def _flag_with_backoff(samples: DataFrame, top: DataFrame, key: str, k: int) -> DataFrame:
+def _hits_with_backoff(samples: DataFrame, scored: DataFrame, top: DataFrame, key: str, k: int) -> DataFrame:
     # decided once per distinct (context, key); the suffixes never multiply the event rows
-    pairs = samples.select("ctx", F.col(key).alias("_key")).distinct()
+    pairs = scored.select("ctx", F.col(key).alias("_key")).distinct()
     lengths = pairs.withColumn("_len", F.explode(F.sequence(F.lit(0), F.size("ctx")))).withColumn(
         "_suffix", F.slice("ctx", F.size("ctx") - F.col("_len") + 1, F.col("_len"))
     )
@@ -125,7 +128,7 @@ def _flag_with_backoff(samples: DataFrame, top: DataFrame, key: str, k: int) ->
     ranked = F.slice(F.array_distinct(F.flatten(F.transform(lists, lambda e: e["top"]))), 1, k)
     hits = found.groupBy("ctx", "_key").agg(F.array_contains(ranked, F.col("_key")).alias("_hit"))
     flags = hits.select("ctx", F.col("_key").alias(key), "_hit")
-    return samples.join(flags, ["ctx", key], "left").withColumn("flag", ~F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return samples.join(flags, ["ctx", key], "left")
 
 
 def with_all_rows(df: DataFrame, scored: DataFrame, session: Sequence[str], seq: str) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqwarden.fixed_values import UNKNOWN_SESSION
 from seqwarden.plans.skew import (
     ROWS_PER_TASK,
     KeyProfile,
     join_on,
+    order_value,
     positions_overall,
     positions_within,
     profile_keys,
@@ -29,9 +31,8 @@ def with_positions(
 
 
 def session_firsts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per session with the order columns of its first event and its length."""
-    first = F.min(F.struct(*order)) if len(order) > 1 else F.struct(F.min(order[0]).alias(order[0]))
-    return df.groupBy(*keys).agg(first.alias("_first"), F.count(F.lit(1)).alias("n_events"))
+    """One row per session with the place of its first event and its length."""
+    return df.groupBy(*keys).agg(F.min(order_value(df, order)).alias("_first"), F.count(F.lit(1)).alias("n_events"))
 
 
 def assign_sessions(
@@ -41,19 +42,25 @@ def assign_sessions(
     session_id: str = "session_id",
     seq: str = "seq",
     rows_per_task: int = ROWS_PER_TASK,
+    missing: str = UNKNOWN_SESSION,
 ) -> DataFrame:
     """Session ordinal by first event, and position inside the session.
 
-    With none of the key columns present all rows form session 0. Only the one-row-
+    A missing key counts as the text ``missing``. With none of the key columns present all rows form session 0. Only the one-row-
     per-session table is ranked overall; events are never sorted globally.
     """
     keys = present_keys(df, keys)
     if not keys:
         return positions_overall(df.withColumn(session_id, F.lit(0).cast("long")), order, seq, rows_per_task=rows_per_task)
-    profile = profile_keys(df, keys, rows_per_task)
-    ordinals = session_ordinals(df, keys, order, session_id, profile)
-    positioned = with_positions(df, keys, order, seq, profile)
-    return join_on(positioned, ordinals, keys).select(*df.columns, session_id, seq)
+    # never null, so that the join below reuses the partitioning of the window
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = df.withColumns(
+        {n: F.coalesce(F.col(k).cast("string"), F.lit(missing)) for n, k in zip(names, keys)}
+    )
+    profile = profile_keys(keyed, names, rows_per_task)
+    ordinals = session_ordinals(keyed, names, order, session_id, profile)
+    positioned = with_positions(keyed, names, order, seq, profile)
+    return join_on(positioned, ordinals, names).select(*df.columns, session_id, seq)
 
 
 def session_ordinals(

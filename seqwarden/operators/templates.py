@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from seqwarden.fixed_values import DEPTH, MAX_CHILDREN, SIMILARITY, WILDCARD
 from seqwarden.functions.text import mask, same_positions, tokens
 from seqwarden.operators.leaves import changing_rows, fold_sorted, outcomes
-from seqwarden.plans.skew import ROWS_PER_TASK, positions_overall
+from seqwarden.plans.skew import ROWS_PER_TASK, order_value, positions_overall
 from seqwarden.session import materialize
 
 CANDIDATES_PER_ROUND = 10_000
@@ -55,22 +55,6 @@ class MiningSpec:
             raise ValueError(f"threshold must be between 0 and 1, got {self.threshold}")
 
 
-def order_value(df: DataFrame, order: Sequence[str]) -> Column:
-    """One comparable value for the order columns.
-
-    Two integer columns become one decimal, because a minimum over a fixed-width value
-    is combined in a hash map, while a struct would need sorting first. The second
-    column must not be negative.
-    """
-    if len(order) == 1:
-        return F.col(order[0])
-    types = [df.schema[c].dataType for c in order]
-    if len(order) == 2 and all(isinstance(t, (T.IntegerType, T.LongType)) for t in types):
-        high, low = (F.col(c).cast("decimal(19,0)") for c in order)
-        return (high * F.lit("10000000000000000000").cast("decimal(20,0)") + low).cast("decimal(38,0)")
-    return F.struct(*order)
-
-
 def message_tokens(text: str = "_msg") -> Column:
     return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 

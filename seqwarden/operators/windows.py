@@ -20,9 +20,12 @@ def context_windows(
     width: int,
     profile: KeyProfile | None = None,
     block_rows: int = BLOCK_ROWS,
+    full_only: bool = True,
 ) -> DataFrame:
     """Rows with a full context: ``ctx`` holds the ``width`` keys before ``key``.
 
+    ``full_only=False`` keeps the first rows of a session too, with nulls in ``ctx``.
+
     ``seq`` must be dense per session. If the profile shows a hot session, or none is
     given, sessions are cut into blocks of ``block_rows`` positions and the last
     ``width`` rows of a block are copied to the next one, so no task ever holds more
@@ -40,7 +43,8 @@ def context_windows(
         group.append("_block")
     window = Window.partitionBy(*group).orderBy(seq)
     context = F.array(*[F.lag(key, i).over(window) for i in range(width, 0, -1)])
-    out = df.withColumn("ctx", context).filter(F.col(seq) >= width)
+    out = df.withColumn("ctx", context)
+    out = out.filter(F.col(seq) >= width) if full_only else out
     if "_block" in group:
         out = out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
     return out

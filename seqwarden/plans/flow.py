@@ -120,11 +120,11 @@ def flag_sessions(test: DataFrame, fitted: Fitted, k: int = TOP_K, spec: tm.Mini
         "keyed",
     )
     model.check_key_range(keyed, "key", fitted.meta["num_keys"])
-    scored = model.detect(
-        keyed.select(*SESSION, "seq", "key"), fitted.counts, SESSION, "seq", "key", fitted.meta["window_size"], k, True,
-        profile_keys(keyed, SESSION), fitted.meta["num_keys"],
+    flags = model.detect(
+        keyed, fitted.counts, SESSION, "seq", "key", fitted.meta["window_size"], k, True,
+        profile_keys(keyed, SESSION), fitted.meta["num_keys"], all_rows=True,
     )
-    return materialize(model.with_all_rows(keyed, scored, SESSION, "seq"), "flags")
+    return materialize(flags.drop("ctx"), "flags")
 
 
 def incident_reports(flags: DataFrame, fitted: Fitted) -> DataFrame:

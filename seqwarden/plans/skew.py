@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqwarden.session import materialize
 
@@ -65,12 +66,47 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def _as_integer(column: str, dtype: T.DataType) -> Column | None:
+    if isinstance(dtype, (T.IntegerType, T.LongType)):
+        return F.col(column).cast("long")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{column}`)")
+    return None
+
+
+def order_value(df: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable value for the order columns.
+
+    Two integer or time columns become one decimal, because a minimum over a fixed-width
+    value is combined in a hash map, while a struct would need sorting first. The second
+    column must not be negative.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    parts = [_as_integer(c, df.schema[c].dataType) for c in order]
+    if len(order) == 2 and all(p is not None for p in parts):
+        high, low = (p.cast("decimal(19,0)") for p in parts)
+        return (high * F.lit("10000000000000000000").cast("decimal(20,0)") + low).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys are equal. The right side's keys are renamed first, so
-    both sides may come from one table; the result has the left columns and the right's others."""
+    both sides may come from one table; the result has the left columns and the right's others.
+
+    A key that cannot be null is compared plainly, which lets the join reuse a partitioning.
+    """
     theirs = {k: f"_right_{k}" for k in keys}
     renamed = right.select(*[F.col(c).alias(theirs.get(c, c)) for c in right.columns])
-    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(r)) for k, r in theirs.items()))
+
+    def equal(k: str) -> Column:
+        if left.schema[k].nullable and right.schema[k].nullable:
+            return F.col(k).eqNullSafe(F.col(theirs[k]))
+        return F.col(k) == F.col(theirs[k])
+
+    on = reduce(lambda a, b: a & b, (equal(k) for k in keys))
     return left.join(renamed, on, how).drop(*theirs.values())
 
 
