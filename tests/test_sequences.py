@@ -118,9 +118,12 @@ def test_flags(spark):
     scored = model.detect(df, counts, ["session"], "seq", "key", 3, 1)
     every = model.with_all_rows(df, scored, ["session"], "seq").orderBy("seq").collect()
     assert len(every) == len(broken) and not any(r.flag for r in every[:3])
-    for backoff, counted in ((False, counts), (True, model.with_suffixes(counts))):
-        same = model.detect(df, counted, ["session"], "seq", "key", 3, 1, backoff, all_rows=True).orderBy("seq").collect()
-        assert [r.flag for r in same] == [r.flag for r in every]
+    counted = model.with_suffixes(counts)
+    for backoff, table in ((False, counts), (True, counted)):
+        part = model.detect(df, table, ["session"], "seq", "key", 3, 1, backoff)
+        want = model.with_all_rows(df, part, ["session"], "seq").orderBy("seq").collect()
+        same = model.detect(df, table, ["session"], "seq", "key", 3, 1, backoff, all_rows=True).orderBy("seq").collect()
+        assert [r.flag for r in same] == [r.flag for r in want]
     with pytest.raises(ValueError):
         model.rank_next_keys(counts, 0)
 
