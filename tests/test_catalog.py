@@ -5,12 +5,14 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import DATA
+from seqwarden.catalog import all_queries
 
 SMALL = str(DATA / "sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {q.name: q.run for q in all_queries()}
+ORACLES = {q.name: q.oracle for q in all_queries() if q.oracle}
 # these have no equal statement in SQL; the first is compared with a sequential pass in test_templates
 ROWS_ONLY = {"q16_templates_general", "q30_regression_next_key"}
 
