@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seqwarden.catalog import Query
-from seqwarden.llm import simhash
+from seqwarden.llm import language, mixing, packing, pii, simhash
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PII_KEY = "a key for the sample tables"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out()))
+    predicted = language.identify(docs, model)
+    return predicted.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "coverage")
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def llm_queries() -> list[Query]:
     return [
+        Query("op1_feistel_pseudonyms", op1),
+        Query("op2_poisson_mixing", op2, mixing.mix_sql()),
         Query("op6_simhash_near_duplicates", op6),
+        Query("op8_language_bitmask_filters", op8),
+        Query("op9_best_fit_packing", op9),
+        Query("pipeline", corpus_pipeline.run),
     ]

@@ -158,3 +158,24 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
 def held_out(doc_id: str = "doc_id"):
     """True for the third of the documents that is kept from learning; null ids belong to it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, min_coverage: float, text: str = "text") -> DataFrame:
+    """The rows whose text has letters and of whose n-grams a language has ``min_coverage`` at least; all columns stay.
+
+    A model of no language keeps every text with a letter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index(text.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            keep = []
+            for x in batch.column(at):
+                t = x.as_py()
+                s = m.scores(t) if m.languages else np.ones(1) if len(grams(t or "")) else None
+                keep.append(s is not None and bool(s.max() >= min_coverage))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

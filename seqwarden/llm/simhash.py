@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwarden.llm.components import connected_components
@@ -117,3 +117,17 @@ def near_duplicates(
     return rows.join(final, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all columns.
+
+    The row with the component's smallest id stays; of several such rows the first by a hash
+    of the text. Rows with a null id stay only if no row of the component has an id, one of them.
+    """
+    found = materialize(near_duplicates(docs, doc_id, text, width, max_bits), "near")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fingerprint")
+    kept = kept.groupBy("_id").agg(F.min("fingerprint").alias("_fp"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"))
+    best = named.join(kept, F.col("_doc").eqNullSafe(F.col("_id"))).withColumn("_n", F.row_number().over(Window.partitionBy("_doc").orderBy("_hash")))
+    return best.filter("_n = 1").select("_row.*")
