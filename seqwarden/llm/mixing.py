@@ -106,7 +106,7 @@ cdf AS (
 lists AS (SELECT source, list(c) AS cs FROM cdf GROUP BY source),
 u AS (SELECT d.*, coalesce(d.doc_id::VARCHAR, '') AS id FROM documents d),
 counted AS (
-  SELECT u.*, len(list_filter(cs, c -> c <= ('0x' || left(md5('{seed}|draw|1|' || id), 13))::BIGINT / 4503599627370496.0)) AS copies
+  SELECT u.*, len(list_filter(cs, lambda c: c <= ('0x' || left(md5('{seed}|draw|1|' || id), 13))::BIGINT / 4503599627370496.0)) AS copies
   FROM u JOIN lists l ON u.source IS NOT DISTINCT FROM l.source),
 copies AS (SELECT *, unnest(range(copies)) AS replica FROM counted)
 SELECT doc_id, text, lang, source, n_chars, replica::INT AS replica,
