@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqwarden.catalog import Query
-from seqwarden.llm import language, mixing, packing, pii, simhash
+from seqwarden.llm import language, merkle, mixing, packing, pii, sharding, simhash, vectors
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PII_KEY = "a key for the sample tables"
@@ -26,10 +26,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), sharding.shard_names(256))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(~language.held_out()))
@@ -41,12 +49,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> list[Query]:
     return [
         Query("op1_feistel_pseudonyms", op1),
         Query("op2_poisson_mixing", op2, mixing.mix_sql()),
+        Query("op3_lookup_sharding", op3),
         Query("op6_simhash_near_duplicates", op6),
+        Query("op7_pstable_vector_links", op7),
         Query("op8_language_bitmask_filters", op8),
         Query("op9_best_fit_packing", op9),
+        Query("op10_merkle_fingerprints", op10, merkle.fingerprints_sql()),
         Query("pipeline", corpus_pipeline.run),
     ]
