@@ -16,7 +16,7 @@ from seqwarden.session import materialize
 WIDTH = 2.0  # of a quantised projection
 FOREIGN = 0.486  # probability that orthogonal unit vectors share one quantised projection of this width
 BUCKET = 256  # foreign vectors that a bucket may hold on average
-MISS = 0.02  # links at exactly the threshold that all tables may miss
+MISS = 0.003  # links at exactly the threshold that all tables may miss
 BLOCK = 2048  # rows of a bucket that one task compares with each other
 STRIP = 512
 ROW = "bucket long, class long, n long, tables binary, v binary"
@@ -101,11 +101,11 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     k, tables = plan(count, threshold)
     rng = np.random.default_rng(seed)
     shared = spark.sparkContext.broadcast(
-        (rng.standard_normal((dims, k * tables)), rng.uniform(0, WIDTH, k * tables), rng.integers(1, 1 << 62, (tables, k)) * 2 + 1)
+        (rng.standard_normal((dims, k * tables)), rng.uniform(0, WIDTH, k * tables), rng.integers(1, 1 << 62, (tables, k)) * 2 + 1, rng.integers(1, 1 << 62, tables))
     )  # dims x k x tables numbers
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, odd = shared.value
+        a, b, odd, salt = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -115,7 +115,7 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
                 cells = np.floor((v @ a + b) / WIDTH).astype(np.int64).reshape(len(v), tables, k)
                 with np.errstate(over="ignore"):
-                    bucket = (cells * odd[None]).sum(axis=2) + np.arange(tables) * odd[:, 0]
+                    bucket = (cells * odd[None]).sum(axis=2) + salt
                     bucket ^= bucket >> 29
                 cls, n = (part.column(i).to_numpy() for i in (0, 1))
                 own = [x.tobytes() for x in bucket]
