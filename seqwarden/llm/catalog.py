@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqwarden.catalog import Query
-from seqwarden.llm import language, merkle, mixing, packing, pii, sharding, simhash, vectors
+from seqwarden.llm import html_text, language, lm_score, merkle, mixing, packing, pii, sharding, simhash, vectors
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PII_KEY = "a key for the sample tables"
@@ -30,6 +30,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), sharding.shard_names(256))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,6 +67,8 @@ def llm_queries() -> list[Query]:
         Query("op1_feistel_pseudonyms", op1),
         Query("op2_poisson_mixing", op2, mixing.mix_sql()),
         Query("op3_lookup_sharding", op3),
+        Query("op4_tag_path_text", op4),
+        Query("op5_masked_pseudo_likelihood", op5),
         Query("op6_simhash_near_duplicates", op6),
         Query("op7_pstable_vector_links", op7),
         Query("op8_language_bitmask_filters", op8),
