@@ -18,7 +18,7 @@ HASHES = 3
 SLOT_BITS = 20
 DOCS_PER_LANGUAGE = 4_000  # bound of the labelled sample, by hash of the text
 MAX_LANGUAGES = 64
-MIN_DOCS = 2  # documents of a language that must hold an n-gram
+MIN_RATE = 1 / 2_000  # of a language's sampled documents must hold an n-gram
 SHARE = 0.3  # of the n-gram's frequency in the language that uses it most
 STRIP = 1 << 17
 UNKNOWN = "und"
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
 
     About ``per_language`` documents of each language are read, chosen by a hash of the text;
     the number of labelled rows is counted over all of them. A language enters an n-gram
-    if at least ``MIN_DOCS`` of its documents hold it, and ``SHARE`` as often as where it is most
+    if at least ``MIN_RATE`` of its documents hold it, and ``SHARE`` as often as where it is most
     frequent. Only the filter's slots reach the driver: at most 2 ** ``slot_bits`` rows.
     The ``MAX_LANGUAGES`` labels with most rows are learned.
     """
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     counted = counted.groupBy("n", "h").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs")).persist()
     docs_of = {r["n"]: r["d"] for r in counted.groupBy("n").agg(F.sum("docs").alias("d")).collect()}
     size = F.create_map(*[F.lit(x) for n, d in docs_of.items() for x in (n, float(max(1, d)))]) if docs_of else F.create_map(F.lit(0), F.lit(1.0))
-    rate = counted.filter(F.col("df") >= MIN_DOCS).select("h", "n", (F.col("df") / size[F.col("n")]).alias("rate"))
+    rate = counted.select("h", "n", (F.col("df") / size[F.col("n")]).alias("rate")).filter((F.col("rate") >= MIN_RATE) & (F.col("rate") > 0))
     listed = rate.groupBy("h").agg(F.max("rate").alias("most"), F.collect_list(F.struct("n", "rate")).alias("of"))  # a row for each language at most
     mask = F.aggregate(F.expr(f"filter(of, x -> x.rate >= {SHARE} * most)"), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["n"])))
 
