@@ -96,9 +96,10 @@ Q26 = f"{BASE} SELECT user_id, {ATTACK} AS attack_pattern FROM head"
 
 
 def q26b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the same rules on the event names of one incident page
-    names = F.transform("events", lambda e: e["event_name"])
-    return incident_table(spark, sf_dir).select("user_id", inc.attack_pattern(names).alias("attack_pattern"))
+    # the same rules on the distinct event names of the whole session, however many pages it has
+    rows = flagged_rows(spark, sf_dir).filter("flag")
+    names = rows.groupBy(*SESSION).agg(F.collect_set("event_name").alias("names"))
+    return names.select("user_id", inc.attack_pattern(F.col("names")).alias("attack_pattern"))
 
 
 def q27(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,10 +177,10 @@ def q38b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combined report text written in session order, then split at the rule line again."""
     from seqwarden.sources.tables import REPORT_RULE, save_reports
 
-    table = inc.with_texts(incident_table(spark, sf_dir), SESSION).orderBy(*SESSION, "page")
     path = f"{scratch_dir(spark)}/reports-{uuid.uuid4().hex}"
-    save_reports(table, path)
-    return spark.read.option("lineSep", REPORT_RULE).text(path).select(F.col("value").alias("report"))
+    save_reports(inc.with_texts(incident_table(spark, sf_dir), SESSION), path, SESSION)
+    texts = spark.read.option("lineSep", REPORT_RULE).text(path)
+    return texts.select(F.regexp_replace("value", "\n$", "").alias("report"))
 
 
 Q38B = Q27.replace("SELECT user_id, '## 1", "SELECT '## 1")

@@ -100,20 +100,24 @@ def detect(
     Earlier rows cannot be predicted; ``all_rows`` keeps them as normal. With
     ``backoff`` the longest context suffix known to the model ranks first, and shorter
     ones fill the places it leaves open; without, an unknown context is an anomaly.
-    A ``k`` that covers all ``num_keys`` keys of the vocabulary flags nothing.
+    A ``k`` that covers all ``num_keys`` keys flags only keys outside of the vocabulary: a key
+    that is null, negative or too large is never expected.
     """
     samples = context_windows(df, session, seq, key, width, profile, full_only=not all_rows)
     scored = F.col(seq) >= width
-    if num_keys is not None and k >= num_keys:
-        warnings.warn(f"k={k} covers all {num_keys} keys, so nothing can be flagged", stacklevel=2)
-        return samples.withColumn("flag", F.lit(False))
+    known = F.coalesce(F.col(key) >= 0, F.lit(False))
+    if num_keys is not None:
+        known = known & F.coalesce(F.col(key) < num_keys, F.lit(False))
+        if k >= num_keys:
+            warnings.warn(f"k={k} covers all {num_keys} keys, so only unknown keys can be flagged", stacklevel=2)
+            return samples.withColumn("flag", scored & ~known)
     # written once: training is not repeated, and Spark broadcasts the table only if its files are small
     top = materialize(top_k_table(model, k), "top")
     if backoff:
         found = _hits_with_backoff(samples, samples.filter(scored), top, key, k)
     else:
         found = samples.join(top, "ctx", "left").withColumn("_hit", F.array_contains("top", F.col(key))).drop("top")
-    return found.withColumn("flag", scored & ~F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return found.withColumn("flag", scored & ~(known & F.coalesce("_hit", F.lit(False)))).drop("_hit")
 
 
 def _hits_with_backoff(samples: DataFrame, scored: DataFrame, top: DataFrame, key: str, k: int) -> DataFrame:

@@ -71,7 +71,7 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def looks_nested(value: Column) -> Column:
-    text = F.trim(value)
+    text = F.regexp_replace(value, r"^[\s\x1c-\x1f\x85\xa0\u2000-\u200a\u2028\u2029\u3000]+", "")
     listed = text.startswith("[") & ~text.startswith("[MOCK")
     return F.coalesce(text.startswith("{") | listed, F.lit(False))
 

@@ -258,11 +258,15 @@ def mine_templates(
 
     Keys count clusters in the order of their first row. Empty messages match nothing, so
     each opens a cluster of its own unless the threshold is 0; ``mint_empty=False``
-    gives them the unknown key instead.
+    gives them the unknown key instead. The order must be total: rows that share an order value,
+    or have none, are refused, since their keys would depend on chance.
     """
     work = with_message(df, message, masked).withColumn("_pos", order_value(df, order))
     # masked once: the written pairs are far smaller than the rows, and repeated texts are stored once
     narrow = materialize(work.select("_msg", "_pos"), "work")
+    unclear = narrow.groupBy("_pos").count().filter("count > 1 OR _pos IS NULL").limit(1).collect()
+    if unclear:
+        raise ValueError(f"the order {list(order)} is not total: {unclear[0]['count']} rows at {unclear[0]['_pos']}")
     assigned = _assignments(narrow, spec, rows_per_task, candidates_per_round)
     clusters = assigned.groupBy("_cluster", F.col("_leaf").alias("route")).agg(F.sum("_n").alias("size"))
     empty = narrow.filter(F.col("_msg") == "")

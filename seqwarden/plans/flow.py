@@ -5,7 +5,7 @@ Nulls stay null between stages; each export applies its own default.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,8 +82,17 @@ def fit(train: DataFrame, width: int = WINDOW_WIDTH, spec: tm.MiningSpec = tm.Mi
     samples = windows.context_windows(keys, SESSION, "seq", "key", width, profile_keys(keys, SESSION))
     counts = model.count_model(samples, "key")
     counts = materialize(model.with_suffixes(counts) if backoff else counts, "counts")
-    meta = {"num_keys": templates.count(), "window_size": width, "vocab_fingerprint": fingerprint(templates)}
-    return Fitted(templates, counts, meta)
+    meta = {"num_keys": templates.count(), "window_size": width, "vocab_fingerprint": fingerprint(templates), "backoff": backoff}
+    return Fitted(templates, counts, meta | {f.name: getattr(spec, f.name) for f in fields(spec)})
+
+
+def mining_spec(fitted: Fitted, given: tm.MiningSpec | None) -> tm.MiningSpec:
+    """The parameters that the templates were mined with; others would send messages along other routes."""
+    usual = tm.MiningSpec()  # for models stored before the parameters were
+    stored = tm.MiningSpec(**{f.name: fitted.meta.get(f.name, getattr(usual, f.name)) for f in fields(usual)})
+    if given is not None and given != stored:
+        raise ValueError(f"templates were mined with {stored}, given {given}")
+    return stored
 
 
 def save(fitted: Fitted, path: str) -> None:
@@ -99,18 +108,24 @@ def load(spark, path: str) -> Fitted:
     return Fitted(templates, counts, meta)
 
 
-def resume(fitted: Fitted, more: DataFrame, spec: tm.MiningSpec = tm.MiningSpec()) -> Fitted:
-    """Add the counts of further training sessions under the same vocabulary."""
+def resume(fitted: Fitted, more: DataFrame, spec: tm.MiningSpec | None = None) -> Fitted:
+    """Add the counts of further training sessions under the same vocabulary.
+
+    A message without a template may stand in a context, but is never learned as an expected next key.
+    """
     require_same_vocabulary(fitted.meta, fitted.templates)
+    spec = mining_spec(fitted, spec)
     keys = tm.apply_templates(with_log_text(more).select(*SESSION, "seq", "message"), "message", fitted.templates, spec)
     samples = windows.context_windows(keys, SESSION, "seq", "key", fitted.meta["window_size"], profile_keys(keys, SESSION))
-    merged = model.merge_models(fitted.counts, model.with_suffixes(model.count_model(samples, "key")))
-    return Fitted(fitted.templates, materialize(merged, "counts"), fitted.meta)
+    counts = model.count_model(samples.filter(F.col("key") >= 0), "key")
+    merged = model.merge_models(fitted.counts, model.with_suffixes(counts) if fitted.meta.get("backoff", True) else counts)
+    return Fitted(fitted.templates, materialize(merged, "counts"), fitted.meta | {"epoch": fitted.meta.get("epoch", 0) + 1})
 
 
-def flag_sessions(test: DataFrame, fitted: Fitted, k: int = TOP_K, spec: tm.MiningSpec = tm.MiningSpec()) -> DataFrame:
-    """Every test event with key, flag and context. A message the vocabulary does not know has key -1."""
+def flag_sessions(test: DataFrame, fitted: Fitted, k: int = TOP_K, spec: tm.MiningSpec | None = None) -> DataFrame:
+    """Every test event with key, flag and context. A message the vocabulary does not know has key -1 and is flagged."""
     require_same_vocabulary(fitted.meta, fitted.templates)
+    spec = mining_spec(fitted, spec)
     keyed = tm.apply_templates(with_log_text(test), "message", fitted.templates, spec)
     keyed = materialize(
         keyed.select(
@@ -121,7 +136,7 @@ def flag_sessions(test: DataFrame, fitted: Fitted, k: int = TOP_K, spec: tm.Mini
     )
     model.check_key_range(keyed, "key", fitted.meta["num_keys"])
     flags = model.detect(
-        keyed, fitted.counts, SESSION, "seq", "key", fitted.meta["window_size"], k, True,
+        keyed, fitted.counts, SESSION, "seq", "key", fitted.meta["window_size"], k, fitted.meta.get("backoff", True),
         profile_keys(keyed, SESSION), fitted.meta["num_keys"], all_rows=True,
     )
     return materialize(flags.drop("ctx"), "flags")

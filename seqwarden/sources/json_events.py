@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqwarden.functions.variant import field
+from seqwarden.session import materialize
 
 BLANK_FREE = r"(?U)[^\s\x1c-\x1f]"
-WHOLE_FILE_LIMIT = 512 * 1024 * 1024
 
 
 def not_blank(line: Column) -> Column:
@@ -78,13 +78,23 @@ def read_arrays(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return _exploded(files, field("raw", [], kind="array<variant>"))
 
 
-def read_events(
-    spark: SparkSession, path: str, form: str = "auto", glob: str | None = None, whole_limit: int = WHOLE_FILE_LIMIT
-) -> DataFrame:
+def _items(text: Column) -> Column:
+    """The events of one JSON text: the elements of an array, the records of an envelope, or the text itself.
+
+    Elements are cut out as texts, so only a single event has to fit into a VARIANT.
+    """
+    listed = F.when(F.ltrim(text).startswith("["), text).otherwise(F.get_json_object(text, "$.Records"))
+    cut = F.when(listed.startswith("[") | F.ltrim(listed).startswith("["), F.from_json(listed, "array<string>"))
+    return F.transform(F.coalesce(cut, F.array(text)), F.parse_json)
+
+
+def read_events(spark: SparkSession, path: str, form: str = "auto", glob: str | None = None) -> DataFrame:
     """Events of any supported form: ``jsonl``, ``envelope``, ``array`` or ``auto``.
 
-    ``auto`` tries a file as one JSON text first and as lines second. Files above
-    ``whole_limit`` bytes are never read whole; they are taken as line files.
+    ``auto`` looks at the first line of each file. If it is a JSON text of its own, the file
+    is read by lines, splittably, and each line is an event, an envelope or an array; else the file is one
+    JSON text over several lines and is read whole. The size of a file decides nothing. A text
+    that is no JSON is an error.
     """
     if form == "jsonl":
         return read_jsonl(spark, path, glob=glob)
@@ -94,21 +104,16 @@ def read_events(
         return read_arrays(spark, path, glob)
     if form != "auto":
         raise ValueError(f"unknown form {form!r}")
-    small = _whole_files(spark, path, glob).filter(F.col("file_size") <= whole_limit)
-    small = small.withColumn("raw", F.try_parse_json("value"))
-    lines = F.filter(F.split("value", r"\r\n|\r|\n"), not_blank)
-    envelope = field("raw", ["Records"], kind="array<variant>")
-    is_envelope = F.try_variant_get("raw", '$["Records"]', "variant").isNotNull()
-    items = F.when(is_envelope, envelope).otherwise(
-        F.coalesce(field("raw", [], kind="array<variant>"), F.transform(lines, F.parse_json))
+    lines = scan_lines(spark, path, glob)
+    opening = lines.groupBy("source_file").agg(F.min_by("value", "ordinal").alias("first"))
+    spread = materialize(opening.filter(F.get_json_object("first", "$").isNull()).select("source_file"), "spread")
+    by_line = lines.join(spread, "source_file", "left_anti").select(
+        "source_file", F.col("ordinal.block").alias("block"), F.col("ordinal.line").alias("line"), F.posexplode(_items(F.col("value"))).alias("pos", "raw")
     )
-    large = _reader(spark, glob).text(path).filter(F.col("_metadata.file_size") > whole_limit)
-    ordinal = F.struct(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    whole = _whole_files(spark, path, glob).join(spread, "source_file", "left_semi").select(
+        "source_file", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line"), F.posexplode(_items(F.col("value"))).alias("pos", "raw")
     )
-    large = large.select(F.col("_metadata.file_path").alias("source_file"), ordinal.alias("ordinal"), "value")
-    large = large.filter(not_blank(F.col("value"))).select("source_file", "ordinal", F.parse_json("value").alias("raw"))
-    return _exploded(small, items).unionByName(large)
+    return by_line.unionByName(whole).select("source_file", F.struct("block", "line", "pos").alias("ordinal"), "raw")
 
 
 def merged_by_time(events: DataFrame, time_field: str = "eventTime") -> DataFrame:

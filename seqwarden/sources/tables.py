@@ -82,6 +82,18 @@ def require_same_vocabulary(meta: Mapping[str, object], templates: DataFrame) ->
         )
 
 
-def save_reports(reports: DataFrame, path: str, text: str = "report", mode: str = "errorifexists") -> None:
-    """Report texts in the order of the rows, each closed by the rule line; the table stays the product."""
-    reports.select(F.col(text).alias("value")).write.mode(mode).option("lineSep", REPORT_RULE).text(path)
+def save_reports(reports: DataFrame, path: str, session: Sequence[str], text: str = "report", mode: str = "errorifexists") -> None:
+    """One text in session order, the rule line between reports only.
+
+    ``reports`` has the session, ``page``, ``is_last_page`` and the text. The pages of a session follow each other without a
+    rule; they may lie in two part files, which are read in order of their names.
+    """
+    key = F.struct(*session)
+    last = reports.agg(F.max(key).alias("last")).first().last
+    is_end = F.lit(True)
+    for name in session:
+        is_end = is_end & F.col(name).eqNullSafe(F.lit(last[name] if last else None))
+    body = F.regexp_replace(F.col(text), "\n$", "")  # the line end is the writer's
+    closed = F.when(F.col("is_last_page") & ~is_end, F.concat(body, F.lit(REPORT_RULE.removesuffix("\n")))).otherwise(body)
+    ordered = reports.orderBy(*session, "page").select(closed.alias("value"))
+    ordered.write.mode(mode).option("lineSep", "\n").text(path)

@@ -54,8 +54,6 @@ def test_forms(spark, tmp_path):
     assert ids(json_events.read_arrays(spark, array)) == want
     for path in (jsonl, array):
         assert ids(json_events.read_events(spark, path)) == want
-    # files above the limit are read by line, never whole
-    assert ids(json_events.read_events(spark, jsonl, whole_limit=1)) == want
     assert json_events.count_lines(spark, jsonl) == 2
     with pytest.raises(PySparkException):
         json_events.read_jsonl(spark, str(tmp_path / "nowhere")).count()
@@ -63,6 +61,27 @@ def test_forms(spark, tmp_path):
         json_events.read_events(spark, jsonl, "xml")
 
 
+def test_auto_reads_every_form(spark, tmp_path):
+    want = ["aaaa-aaaa", "bbbb-bbbb"]
+    texts = {
+        "one.json": json.dumps({"Records": [A, B]}),
+        "indented.json": json.dumps({"Records": [A, B]}, indent=2),
+        "array.json": json.dumps([A, B]),
+        "indented_array.json": json.dumps([A, B], indent=2),
+        "lines.jsonl": lines(A, B),
+        "envelopes.jsonl": lines({"Records": [A]}, {"Records": [B]}),
+    }
+    for name, text in texts.items():
+        write(tmp_path, name, text)
+    got = json_events.read_events(spark, str(tmp_path))
+    files = got.select("source_file", "ordinal", field("raw", ["eventID"]).alias("id")).collect()
+    for name in texts:
+        assert [r.id for r in sorted((f for f in files if f.source_file.endswith("/" + name)), key=lambda r: r.ordinal)] == want
+    write(tmp_path / "bad", "x.json", "{not json")
+    with pytest.raises(Exception, match="Malformed"):
+        json_events.read_events(spark, str(tmp_path / "bad")).collect()
+
+
 def test_bad_lines(spark, tmp_path):
     path = write(tmp_path / "l", "a.jsonl", lines(A) + "{broken\n")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
