@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,10 +42,10 @@ COVER = 0.8  # share of the selected text that the content element holds
 
 @dataclass
 class Node:
-    """A run of text: its tag path, the elements above it, its block and its source text."""
+    """A run of text: the number of its tag path, the element it is in (-1: none), its block and its source text."""
 
-    path: str
-    above: tuple[int, ...]
+    path: int
+    element: int
     block: int
     text: str
 
@@ -53,7 +53,8 @@ class Node:
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=list)
-    tags: list[str] = field(default_factory=list)  # by element number
+    tags: list[str] = field(default_factory=list)  # by element number, which is greater than its parent's
+    parents: list[int] = field(default_factory=list)
     holds: list[bool] = field(default_factory=list)  # elements whose class says that they hold content
 
 
@@ -83,17 +84,26 @@ def _boilerplate(tag: str, words: set[str], role: str, hidden: bool, in_article:
 
 
 def parse(source: str) -> Page:
-    """Text nodes outside of boilerplate, in page order. Missing end tags are implied as in browsers."""
+    """Text nodes outside of boilerplate, in page order. Missing end tags are implied as in browsers.
+
+    Paths and elements are numbers that know their parent, so a page of any depth takes memory in proportion to its length.
+    """
     page = Page()
-    stack: list[tuple[str, int, str, bool]] = []  # tag, element number, path, inside boilerplate
+    stack: list[tuple[str, int, int, bool]] = []  # tag, element number, path, inside boilerplate
+    open_tags: Counter[str] = Counter()
+    paths: dict[tuple[int, str], int] = {}
     block, at = 0, 0
 
     def text(raw: str) -> None:
         if raw and not raw.isspace() and not (stack and stack[-1][3]):
-            page.nodes.append(Node(stack[-1][2] if stack else "", tuple(s[1] for s in stack), block, raw))
+            page.nodes.append(Node(stack[-1][2] if stack else -1, stack[-1][1] if stack else -1, block, raw))
         elif raw and page.nodes and page.nodes[-1].block == block and not (stack and stack[-1][3]):
             page.nodes[-1].text += " "
 
+    def close(down_to: int) -> None:
+        open_tags.subtract(s[0] for s in stack[down_to:])
+        del stack[down_to:]
+
     for m in TOKEN.finditer(source):
         text(source[at : m.start()])
         at = m.end()
@@ -106,33 +116,36 @@ def parse(source: str) -> Page:
             continue
         block += tag in BLOCK
         if m["close"]:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if open_tags[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in VOID:
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and open_tags["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in HOLDERS or stack[i][0] in ("li", "blockquote", "th"):
                     break
         if limit := CLOSED_BY_SAME.get(tag):
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in same) else ():
                 if stack[i][0] in same:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in limit.split():
                     break
         if tag == "body":
             stack[:] = [s for s in stack if s[0] == "html"]
+            open_tags = Counter(s[0] for s in stack)
         words, role, hidden = _marks(m["attrs"]) if m["attrs"] else (set(), "", False)
-        inside = bool(stack and stack[-1][3]) or _boilerplate(tag, words, role, hidden, any(s[0] in ("article", "main") for s in stack))
+        inside = bool(stack and stack[-1][3]) or _boilerplate(tag, words, role, hidden, open_tags["article"] + open_tags["main"] > 0)
         name = tag + "".join("." + w for w in sorted(words) if w)[:40] if tag in ("div", "section", "span", "td") else tag
-        stack.append((tag, len(page.tags), f"{stack[-1][2] if stack else ''}/{name}", inside))
+        path = paths.setdefault((stack[-1][2] if stack else -1, name), len(paths))
+        page.parents.append(stack[-1][1] if stack else -1)
+        stack.append((tag, len(page.tags), path, inside))
+        open_tags[tag] += 1
         page.tags.append(tag)
         page.holds.append(role == "main" or bool(words & HOLDS))
     text(source[at:])
@@ -153,7 +166,7 @@ def _smooth(values: list[float]) -> list[float]:
 
 def content_nodes(page: Page) -> list[Node]:
     """Nodes of the paths whose smoothed, fused ratio is above half the page's mean."""
-    size: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    size: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for n in page.nodes:
         s = size[n.path]
         s[0] += len(n.text)
@@ -165,7 +178,7 @@ def content_nodes(page: Page) -> list[Node]:
     marks = _smooth([size[n.path][1] / size[n.path][2] for n in page.nodes])
     top_length, top_marks = max(length), max(marks) or 1.0
     fused = [(a / top_length) * (0.5 + 0.5 * b / top_marks) for a, b in zip(length, marks, strict=True)]
-    by_path: dict[str, list[float]] = defaultdict(list)
+    by_path: dict[int, list[float]] = defaultdict(list)
     for n, f in zip(page.nodes, fused, strict=True):
         by_path[n.path].append(f)
     limit = sum(fused) / len(fused) / 2
@@ -183,20 +196,25 @@ def main_text(source: str) -> str:
     chosen = content_nodes(page)
     if not chosen:
         return ""
-    held: dict[int, int] = defaultdict(int)
+    held = [0] * len(page.tags)
     for n in chosen:
-        for e in n.above:
-            held[e] += len(n.text)
+        if n.element >= 0:
+            held[n.element] += len(n.text)
+    for e in range(len(held) - 1, -1, -1):
+        if page.parents[e] >= 0:
+            held[page.parents[e]] += held[e]
     total = sum(len(n.text) for n in chosen)
-    enough = {e for e, k in held.items() if k >= COVER * total}
-    line = next((n.above for n in chosen if enough <= set(n.above)), ())
-    line = [e for e in line if e in enough and page.tags[e] in HOLDERS]
+    # two elements that hold most of the text are one inside the other
+    line = [e for e, k in enumerate(held) if k >= COVER * total and page.tags[e] in HOLDERS]
     outer = [e for e in line if page.tags[e] == "article"] or [e for e in line if page.tags[e] == "main"]
     outer = outer or [e for e in line if page.holds[e] and page.tags[e] not in ("html", "body")][-1:] or line[-2:]
     inner = [e for e in outer if page.tags[e] not in ("html", "body")] or outer
+    within = [not inner]
+    for e, parent in enumerate(page.parents):
+        within.append(bool(inner) and e == inner[0] or within[parent + 1])
     blocks: dict[int, list[str]] = {}
     for n in page.nodes:
-        if not inner or inner[0] in n.above:
+        if within[n.element + 1]:
             blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
