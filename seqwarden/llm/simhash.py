@@ -39,17 +39,16 @@ def fingerprint(text: bytes | None, width: int = WORDS) -> int:
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text as a signed long; a null text counts as empty."""
+    """(doc_id, fp, text_hash): the SimHash of every whole text as a signed long; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x.as_py(), width) for x in batch.column(1)]
             signed = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed, batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h"))
+    return narrow.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -94,6 +93,22 @@ def close_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return a.join(b, (a.cell == b.cell) & near & one_meeting).select("a", "b")
 
 
+def _components(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component, component_id) for each distinct fingerprint of ``rows``, a stored table.
+
+    ``component`` is a fingerprint that names the component, and does so even where ids are null or repeated.
+    """
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    nodes = connected_components(close_pairs(classes.select("fp"), max_bits), "a", "b")
+    linked = materialize(nodes.join(classes.withColumnRenamed("fp", "node"), "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("smallest"))
+    moved = linked.join(least, "component").select(F.col("node").alias("fp"), "component", "smallest")
+    named = classes.join(moved, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("smallest", "rep").alias("component_id")
+    )
+    return materialize(named, "components")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -106,15 +121,7 @@ def near_duplicates(
     doc_id is returned and never is the smallest; a component of such rows only has a null id.
     """
     rows = materialize(with_fingerprints(docs, doc_id, text, width), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = connected_components(close_pairs(classes.select("fp"), max_bits), "a", "b")
-    linked = materialize(nodes.join(classes.withColumnRenamed("fp", "node"), "node"), "linked")
-    least = linked.groupBy("component").agg(F.min("rep").alias("smallest"))
-    moved = linked.join(least, "component").select(F.col("node").alias("fp"), "smallest")
-    final = materialize(
-        classes.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "rep").alias("component_id")), "components"
-    )
-    return rows.join(final, "fp").select(
+    return rows.join(_components(rows, max_bits), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -123,11 +130,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row of each component of ``near_duplicates``, with all columns.
 
     The row with the component's smallest id stays; of several such rows the first by a hash
-    of the text. Rows with a null id stay only if no row of the component has an id, one of them.
+    of the text. A component whose ids are all null keeps one row too. Unlinked texts that share an id, or have none, all stay.
     """
-    found = materialize(near_duplicates(docs, doc_id, text, width, max_bits), "near")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fingerprint")
-    kept = kept.groupBy("_id").agg(F.min("fingerprint").alias("_fp"))
+    rows = materialize(with_fingerprints(docs, doc_id, text, width), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    best_of = rows.groupBy("fp").agg(first)
+    kept = best_of.join(_components(rows, max_bits), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    kept = materialize(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_of")).distinct(), "kept")
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"))
-    best = named.join(kept, F.col("_doc").eqNullSafe(F.col("_id"))).withColumn("_n", F.row_number().over(Window.partitionBy("_doc").orderBy("_hash")))
+    same = named.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
+    best = same.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_hash")))
     return best.filter("_n = 1").select("_row.*")

@@ -86,6 +86,13 @@ def test_simhash_groups(docs):
     assert sorted(k for k in kept if k is not None) == sorted([1, 3, 11, 8, 9, 10, 12]) and kept.count(None) == 1
 
 
+def test_unlinked_texts_with_one_id_all_stay(spark):
+    words = [f"{a} {a}ing the {b} of {a}s and {b}s near a {b} house" for a, b in (("walk", "dog"), ("paint", "wall"), ("count", "star"), ("sing", "bird"))]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (5, words[2]), (5, words[3]), (6, words[3]), (5, words[2]), (None, words[2])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(None, words[0]), (None, words[1]), (5, words[2]), (5, words[3])])
+
+
 def test_close_pairs_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 60, dtype=np.int64)
@@ -272,6 +279,12 @@ def test_main_text(source):
     assert html_text.main_text(source) == PAGES[source]
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "b", "li", "td", "article"])
+def test_deep_pages_take_linear_time(tag):
+    deep = html_text.main_text(f"<body>{f'<{tag}>a' * 40_000}<p>end</p></p><i>{'</x>' * 1000}")
+    assert deep.split()[-1].endswith("end") and deep.count("a") >= 0.8 * 40_000
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a</p>", "y"), (1, "u", "<p>" * 5000 + "deep", "z")], "page_id long, url string, html string, text string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("1", "", 0), ("1", "deep", 4), ("None", "a", 1)]
