@@ -163,16 +163,19 @@ WHERE source_ip IS NOT NULL AND user_arn IS NOT NULL"""
 
 
 def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # whole vectors as integer lists, cut to 0, 1 or all elements
+    # whole vectors as integer lists; lists of one and of no element are columns of their own
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("long"))
-    n = F.when(F.col("vec_id") % 3 == 2, F.size("embedding")).otherwise((F.col("vec_id") % 3).cast("int"))
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(ints, F.lit(1), n).alias("cells"))
+    df = table(spark, sf_dir, "embeddings").select(
+        "vec_id", ints.alias("cells"), F.slice(ints, 1, 1).alias("one_cell"), F.slice(ints, 1, 0).alias("no_cells")
+    )
     return fl.unnest_lists(df)
 
 
-Q22 = """SELECT vec_id, array_to_string(list_transform(
-  embedding[1:CASE WHEN vec_id % 3 = 2 THEN len(embedding) ELSE vec_id % 3 END],
-  lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 100.0) AS BIGINT) AS VARCHAR)), ',') AS cells FROM embeddings"""
+_CELL = "lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 100.0) AS BIGINT) AS VARCHAR)"
+Q22 = "SELECT vec_id, " + ", ".join(
+    f"array_to_string(list_transform({cells}, {_CELL}), ',') AS {name}"
+    for name, cells in (("cells", "embedding"), ("one_cell", "embedding[1:1]"), ("no_cells", "embedding[1:0]"))
+) + " FROM embeddings"
 
 
 def q24(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,6 @@ REQUIRED_COLUMNS = (
     "requestParameters.keyId",
 )
 FILL_THRESHOLD = 0.05
-SAMPLE_ROWS = 50_000
 
 # ---- fixed values: columns whose lists stay as they are ----
 KEEP_LIST_COLUMNS = ("userAgent", "resources", "eventTime")

@@ -312,27 +312,15 @@ def catalogue(keys: DataFrame, key: str = "key") -> DataFrame:
     return keys.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
 
 
-def apply_templates(
-    df: DataFrame, message: str, templates: DataFrame, spec: MiningSpec = MiningSpec(), masked: bool = True
-) -> DataFrame:
-    """Key of the best template of a frozen vocabulary, or -1; no template changes.
-
-    Every row is decided on its own by lookups, so this also runs on a stream. A row
-    follows the vocabulary's routes: the exact child, else the wildcard child.
-    """
+def _follow(df: DataFrame, templates: DataFrame, depth: int) -> DataFrame:
+    """Adds ``_at``: the vocabulary's route of ``_msg``, by the exact child, else the wildcard child; null where neither exists."""
     step = F.split("route", " ")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(step)), lambda n: F.array_join(F.slice(step, F.lit(1), n), " "))
     nodes = materialize(templates.select(F.explode(prefixes).alias("_node")).distinct(), "nodes")
-    choices = materialize(
-        templates.groupBy(F.col("route").alias("_node")).agg(
-            F.array_sort(F.collect_list(F.struct("key", "tokens"))).alias("_choices")
-        ),
-        "choices",
-    )
-    own = [c for c in df.columns]
-    out = with_message(df, message, masked).withColumn("_path", F.split(prefix_text(spec.depth), " "))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    out = df.withColumn("_path", F.split(prefix_text(depth), " "))
     out = out.withColumn("_at", F.element_at("_path", 1))
-    for level in range(1, spec.depth):
+    for level in range(1, depth):
         token = F.try_element_at("_path", F.lit(level + 1))
         out = out.withColumn("_exact", F.concat_ws(" ", "_at", token)).withColumn(
             "_wild", F.concat_ws(" ", "_at", F.lit(WILDCARD))
@@ -341,13 +329,50 @@ def apply_templates(
         out = out.join(nodes.select(F.col("_node").alias("_e")), F.col("_exact") == F.col("_e"), "left")
         out = out.join(nodes.select(F.col("_node").alias("_w")), F.col("_wild") == F.col("_w"), "left")
         at = F.when(F.col("_short"), F.col("_at")).otherwise(F.coalesce("_e", "_w"))
-        out = out.select(*own, "_msg", "_path", at.alias("_at"))
-    out = out.join(choices, F.col("_at") == F.col("_node"), "left")
+        out = out.select(*own, "_path", at.alias("_at"))
+    return out.drop("_path")
+
+
+def _score(tokens_column: str) -> Column:
+    """Tokens that agree, then the smaller key."""
+    return F.struct(same_positions(F.col(tokens_column), message_tokens()).alias("m"), (-F.col("key")).alias("k"))
+
+
+def _decided(best: Column, threshold: float) -> Column:
     n = F.size(message_tokens())
+    share = F.when(n > 0, best["m"] / n).otherwise(F.lit(0.0))
+    return F.coalesce(F.when(best.isNotNull() & (share >= threshold), -best["k"]), F.lit(UNKNOWN_KEY)).cast("long").alias("key")
+
+
+def apply_templates(
+    df: DataFrame, message: str, templates: DataFrame, spec: MiningSpec = MiningSpec(), masked: bool = True
+) -> DataFrame:
+    """Key of the best template of a frozen vocabulary, or -1; no template changes.
+
+    Each distinct masked message is routed and compared once, with the templates of its route as
+    rows, and its key is joined back. On a stream every row is decided on its own by lookups instead.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns]
+    rows = with_message(df, message, masked)
+    if df.isStreaming:
+        return _applied_by_row(rows, own, templates, spec)
+    routed = _follow(rows.select("_msg").distinct(), templates, spec.depth)
+    compared = routed.join(templates.select("route", "key", F.col("tokens").alias("_tokens")), F.col("_at") == F.col("route"))
+    best = compared.groupBy("_msg").agg(F.max(_score("_tokens")).alias("_best"))
+    known = materialize(best.select("_msg", _decided(F.col("_best"), spec.threshold)).filter(F.col("key") != UNKNOWN_KEY), "decided")
+    out = rows.join(known.withColumnRenamed("key", "_key"), "_msg", "left")
+    return out.select(*own, F.coalesce("_key", F.lit(UNKNOWN_KEY)).cast("long").alias("key"))
+
+
+def _applied_by_row(rows: DataFrame, own: Sequence[Column], templates: DataFrame, spec: MiningSpec) -> DataFrame:
+    choices = materialize(
+        templates.groupBy(F.col("route").alias("_node")).agg(
+            F.array_sort(F.collect_list(F.struct("key", "tokens"))).alias("_choices")
+        ),
+        "choices",
+    )
+    out = _follow(rows, templates, spec.depth).join(choices, F.col("_at") == F.col("_node"), "left")
     scored = F.transform(
         "_choices", lambda c: F.struct(same_positions(c["tokens"], message_tokens()).alias("m"), (-c["key"]).alias("k"))
     )
-    out = out.withColumn("_best", F.array_max(scored))
-    share = F.when(n > 0, F.col("_best.m") / n).otherwise(F.lit(0.0))
-    key = F.when(F.col("_best").isNotNull() & (share >= spec.threshold), -F.col("_best.k"))
-    return out.select(*own, F.coalesce(key, F.lit(UNKNOWN_KEY)).cast("long").alias("key"))
+    return out.withColumn("_best", F.array_max(scored)).select(*own, _decided(F.col("_best"), spec.threshold))

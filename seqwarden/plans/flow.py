@@ -26,18 +26,15 @@ SESSION = ["session_id"]
 LOG_COLUMNS = ("eventSource", "eventName", "sourceIPAddress", "userIdentity_arn")
 
 
-def flat_events(events: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """Pruned flat table of raw events with a parsed time.
+def flat_events(events: DataFrame) -> DataFrame:
+    """Pruned flat table of raw events with a parsed time; the profile looks at all events.
 
-    The profile looks at all events; ``sample_rows`` limits it to the first ones, and
-    columns first seen later are then lost.
+    The flat events are written once: fill rates, both splits and their sessions read that table
+    and not the JSON.
     """
-    sample = fl.prefix_rows(events, PLACE, sample_rows) if sample_rows else events
-    schema = fl.event_schema(sample)
-    flat = fl.flatten(events, schema)
+    flat = materialize(fl.flatten(events, fl.event_schema(events)), "flat")
     data = [c for c in flat.columns if c not in PLACE]
-    profiled = fl.flatten(sample, schema) if sample_rows else flat
-    kept = fl.kept_columns(profiled, data) if data else []
+    kept = fl.kept_columns(flat, data) if data else []
     return prepare.with_time(fl.unnest_lists(fl.with_required(flat.select(*PLACE, *kept))))
 
 
@@ -73,8 +70,17 @@ class Fitted:
     meta: dict
 
 
-def fit(train: DataFrame, width: int = WINDOW_WIDTH, spec: tm.MiningSpec = tm.MiningSpec(), backoff: bool = True) -> Fitted:
-    """Templates and next-key counts of the training sessions, in session order."""
+def fit(
+    train: DataFrame, width: int = WINDOW_WIDTH, spec: tm.MiningSpec = tm.MiningSpec(), backoff: bool = True, test: DataFrame | None = None
+) -> Fitted:
+    """Templates and next-key counts of the training sessions, in session order.
+
+    Refuses rows that a ``split`` column does not mark as training rows, and rows that are in ``test`` too.
+    """
+    if "split" in train.columns:
+        prepare.require_training_only(train)
+    if test is not None and prepare.leaked_rows(train, test, PLACE).limit(1).count():
+        raise ValueError("training rows are also in the test set")
     logs = with_log_text(train).select(*SESSION, "seq", "message")
     mined = tm.mine_templates(logs, "message", [*SESSION, "seq"], spec)
     templates = materialize(mined.templates, "templates")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sequential_mining import mine
 
 from seqwarden.operators.leaves import changing_rows, outcomes
-from seqwarden.operators.templates import MiningSpec, apply_templates, catalogue, mine_templates
+from seqwarden.operators.templates import MiningSpec, _applied_by_row, apply_templates, catalogue, mine_templates, with_message
 
 MESSAGES = [
     "ListBuckets from 10.0.0.1 by root",
@@ -120,6 +120,18 @@ def test_frozen_vocabulary(spark):
     assert keys == [0, -1, 0, -1]
 
 
+def test_frozen_vocabulary_by_message_equals_by_row(spark):
+    rng = random.Random(8)
+    draw = lambda n: [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 6))) for _ in range(n)]
+    spec = MiningSpec(depth=3, threshold=0.6, max_children=3)
+    out = mine_templates(frame(spark, draw(150)), "text", ["pos"], spec)
+    new = frame(spark, draw(200) + ["a b c d"] * 2000)  # one message is nine tenths of the rows
+    rows = with_message(new, "text")
+    one_by_one = _applied_by_row(rows, [F.col("pos"), F.col("text")], out.templates, spec)
+    got = {r.pos: r.key for r in apply_templates(new, "text", out.templates, spec).collect()}
+    assert got == {r.pos: r.key for r in one_by_one.collect()} and len(got) == 2200 and len(set(got.values())) > 5
+
+
 def test_catalogue_counts_messages(spark):
     out = mine_templates(frame(spark, MESSAGES), "text", ["pos"])
     assert {r.key: r["size"] for r in catalogue(out.keys).collect()} == {0: 3, 1: 1, 2: 1}
