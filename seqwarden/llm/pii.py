@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 EMAIL = re.compile(r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
@@ -93,7 +94,7 @@ def luhn(digits: str) -> int:
 
 def _card(text: str, key: bytes) -> str | None:
     own = re.sub(r"\D", "", text)
-    if luhn(own) % 10 or not int(own):
+    if not 13 <= len(own) <= 19 or luhn(own) % 10 or not int(own):
         return None
     body = str(permute(int(own[:-1]), 10 ** (len(own) - 1), key, "card")).zfill(len(own) - 1)
     new = iter(body + str(-luhn(body + "0") % 10))
@@ -155,21 +156,52 @@ def _ipv4(text: str, key: bytes) -> str | None:
 
 
 def _phone(text: str, key: bytes) -> str | None:
-    country = re.match(r"\+(\d{1,3})(?=\D)", text)
-    n = sum(c.isdigit() for c in text)
-    if not 8 <= n <= 15:
+    own = "".join(c for c in text if c.isdigit())
+    if not 8 <= len(own) <= 15:
         return None
-    return _digits(text, key, "phone", len(country[1]) if country else min(1, n) * text.startswith("+"))
+    country = 0 if text[0] != "+" else 1 if own[0] in "17" else 2 if own[:2] in TWO_DIGIT_COUNTRIES else 3
+    return _digits(text, key, "phone", country)
 
 
-def _number(m: re.Match, key: bytes) -> str | None:
+def _number(m: re.Match, key: bytes) -> tuple[str, int] | None:
+    """(pseudonym, length of what it stands for); of a card, an IBAN or a phone number the longest valid prefix of whole tokens."""
     kind, text = m.lastgroup, m.group()
     if kind == "sep" or m["date"]:
-        return _split_date(text, m["sep"], key)
-    if kind == "iso":
-        new = _date(int(text[:4]), int(text[5:7]), int(text[8:]), key)
-        return new and new.isoformat()
-    return {"iban": _iban, "ipv4": _ipv4, "phone": _phone, "ssn": _ssn, "card": _card}[kind](text, key)
+        new = _split_date(text, m["sep"], key)
+    elif kind == "iso":
+        day = _date(int(text[:4]), int(text[5:7]), int(text[8:]), key)
+        new = day and day.isoformat()
+    elif kind in ("ipv4", "ssn"):
+        new = {"ipv4": _ipv4, "ssn": _ssn}[kind](text, key)
+    else:
+        change = {"iban": _iban, "phone": _phone, "card": _card}[kind]
+        gaps = list(re.finditer(r"[ .\-]+", text))
+        for end in [len(text), *(s.start() for s in reversed(gaps))]:
+            if kind == "phone" and gaps and end == gaps[-1].start() and any(_card_at(m.string, m.start() + s.end(), key) for s in gaps):
+                return None
+            if (new := change(text[:end], key)) is not None:
+                return new, end
+    return None if new is None else (new, len(text))
+
+
+def _card_at(text: str, at: int, key: bytes) -> bool:
+    m = NUMBER.match(text, at)
+    return bool(m and m.lastgroup == "card" and _number(m, key))
+
+
+def _numbers(text: str, key: bytes, kinds: list[str]) -> str:
+    """All numbers replaced. After one that is not valid the search goes on at its next token."""
+    parts, done, at = [], 0, 0
+    while m := NUMBER.search(text, at):
+        new = _number(m, key)
+        if new is None:
+            gap = re.search(r"[ \-]", m.group())
+            at = m.start() + gap.end() if gap else m.end()
+            continue
+        kinds.append("date" if m.lastgroup in ("iso", "sep") or m["date"] else m.lastgroup)
+        parts += [text[done : m.start()], new[0]]
+        done = at = m.start() + new[1]
+    return "".join([*parts, text[done:]])
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
@@ -192,19 +224,12 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
         new = _characters(value, key, "secret", hexadecimal=one_case and bool(re.fullmatch(r"[0-9A-Fa-f]+", value)))
         return m.group()[: m.start(1) - m.start()] + new if m[1] else value[:4] + _characters(value[4:], key, "secret")
 
-    def number(m: re.Match) -> str:
-        new = _number(m, key)
-        if new is None:
-            return m.group()
-        kinds.append("date" if m.lastgroup in ("iso", "sep") or m["date"] else m.lastgroup)
-        return new
-
     if "@" in text:
         text = EMAIL.sub(email, text)
     if "=" in text or ":" in text or any(x in text for x in ("AKIA", "ASIA", "ghp_", "sk-", "xox")):
         text = SECRET.sub(secret, text)
     if re.search(r"\d", text):
-        text = NUMBER.sub(number, text)
+        text = _numbers(text, key, kinds)
     return text, kinds
 
 
@@ -212,7 +237,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", n_values: str
     """The rows with ``text`` replaced, plus the number of values and the sorted kinds found.
 
     Kinds: card (Luhn), IBAN (mod 97), SSN (valid areas), IPv4, dates of 1900 to 2099, phone numbers,
-    e-mail addresses, secrets. A number that fails its validation stays. The same value has the same
+    e-mail addresses, secrets. A number of which no run of whole tokens is valid stays. The same value has the same
     pseudonym in every document under one ``key``, which is needed to link and never stored.
     A null text stays null with 0 values; an empty one stays empty. Other columns pass through,
     but columns named like the two new ones are replaced. Repeated rows stay.
