@@ -46,9 +46,9 @@ def inline_templates(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("key") != 3).select("key", text.alias("template")).distinct()
 
 
-def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incident_table(spark: SparkSession, sf_dir: str, page_events: int = inc.PAGE_EVENTS) -> DataFrame:
     rows = flagged_rows(spark, sf_dir)
-    return inc.incidents(rows, inline_templates(rows), SESSION)
+    return inc.incidents(rows, inline_templates(rows), SESSION, page_events=page_events)
 
 
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +102,9 @@ def q26b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("user_id", inc.attack_pattern(F.col("names")).alias("attack_pattern"))
 
 
-def q27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.with_texts(incident_table(spark, sf_dir), SESSION).select("user_id", "report")
+def q27(spark: SparkSession, sf_dir: str, page_events: int = inc.PAGE_EVENTS) -> DataFrame:
+    pages = inc.with_texts(incident_table(spark, sf_dir, page_events), SESSION)
+    return inc.whole_sessions(pages, SESSION, ["report"])
 
 
 def percent_sql(digits: int) -> str:
@@ -135,13 +136,13 @@ SELECT user_id, {quoted(fv.SECTION_TITLES[0])} || chr(10) || chr(10) || {quoted(
  || chr(10) || chr(10) || {quoted(fv.CLOSING_TEXT)} AS report FROM head JOIN body USING (user_id)"""
 
 
-def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q37(spark: SparkSession, sf_dir: str, page_events: int = inc.PAGE_EVENTS) -> DataFrame:
     def joined(name: str):
         return F.array_join(F.transform("events", lambda e: e[name].cast("string")), ";").alias(name)
 
-    return incident_table(spark, sf_dir).select(
-        "user_id", *[joined(c) for c in ("pos", "event_time", "source_ip", "user_arn", "event_name")]
-    )
+    columns = ("pos", "event_time", "source_ip", "user_arn", "event_name")
+    pages = incident_table(spark, sf_dir, page_events).select("user_id", "page", *[joined(c) for c in columns])
+    return inc.whole_sessions(pages, SESSION, columns, ";")
 
 
 Q37 = f"""{BASE} SELECT user_id, string_agg(CAST(seq AS VARCHAR), ';' ORDER BY line) AS pos, string_agg(tm, ';' ORDER BY line) AS event_time,
@@ -162,8 +163,9 @@ string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || '/' || coalesce(source_ip, 'N/A'
 FROM ev GROUP BY 1, 2"""
 
 
-def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.with_texts(incident_table(spark, sf_dir), SESSION).select("user_id", "prompt")
+def q38(spark: SparkSession, sf_dir: str, page_events: int = inc.PAGE_EVENTS) -> DataFrame:
+    pages = inc.with_texts(incident_table(spark, sf_dir, page_events), SESSION)
+    return inc.whole_sessions(pages, SESSION, ["prompt"])
 
 
 Q38 = f"""{BASE}, body AS (SELECT user_id, string_agg('  ' || line || '. [' || tm || '] ' || event_name || chr(10) || '     Template: '

@@ -201,6 +201,13 @@ def with_texts(table: DataFrame, session: Sequence[str]) -> DataFrame:
     )
 
 
+def whole_sessions(pages: DataFrame, session: Sequence[str], columns: Sequence[str], separator: str = "") -> DataFrame:
+    """One row per session however many pages it has: each column's texts joined in page order."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", *columns)))
+    joined = [F.array_join(F.col(f"_pages.{c}"), separator).alias(c) for c in columns]
+    return pages.groupBy(*session).agg(ordered.alias("_pages")).select(*session, *joined)
+
+
 def session_metadata(rows: DataFrame, session: Sequence[str], seq: str = "seq", page_events: int = PAGE_EVENTS) -> DataFrame:
     """Ordered context arrays per session, in pages of positions."""
     cell = {c: F.coalesce(F.col(c).cast("string"), F.lit(fv.MISSING_CONTEXT)) for c in CONTEXT}
