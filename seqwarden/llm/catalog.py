@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqwarden.catalog import Query
-from seqwarden.llm import html_text, language, lm_score, merkle, mixing, packing, pii, sharding, simhash, vectors
+from seqwarden.llm import byte_bpe, html_text, language, lm_score, merkle, mixing, packing, periodic_runs, pii, sharding, simhash, vectors, whitening
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PII_KEY = "a key for the sample tables"
 
@@ -62,6 +63,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.with_periods(table(spark, sf_dir, "documents"))))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> list[Query]:
     return [
         Query("op1_feistel_pseudonyms", op1),
@@ -74,5 +87,8 @@ def llm_queries() -> list[Query]:
         Query("op8_language_bitmask_filters", op8),
         Query("op9_best_fit_packing", op9),
         Query("op10_merkle_fingerprints", op10, merkle.fingerprints_sql()),
+        Query("op11_byte_bpe_tree", op11),
+        Query("op12_periodic_runs", op12),
+        Query("op13_embedding_whitening", op13),
         Query("pipeline", corpus_pipeline.run),
     ]
