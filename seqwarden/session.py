@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+LOCAL_MASTER = re.compile(r"local(\[[^\[\]]*\])?")  # not local-cluster, whose executors are other processes
+_open_scopes: list[list[str]] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str = "seqwarden") -> SparkSession:
@@ -35,11 +41,35 @@ def scratch_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not LOCAL_MASTER.fullmatch(spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    own = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are stored inside the block, through the file system that holds them.
+
+    What is returned from the block must not read them any more: store it elsewhere first.
+    """
+    stored: list[str] = []
+    _open_scopes.append(stored)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(stored)
+        for path in stored:
+            remove_table(spark, path)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -50,5 +80,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
