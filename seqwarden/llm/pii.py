@@ -7,6 +7,7 @@ import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS, DIGITS, HEXADECIMAL = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 
-EMAIL = re.compile(r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
+LOCAL_PART, LABEL = 64, 63  # the most characters of these parts of an address
+DOMAIN = re.compile(rf"@([\w\-]{{1,{LABEL}}}(?:\.[\w\-]{{1,{LABEL}}}){{0,8}})(\.[^\W\d_]{{2,{LABEL}}})")
+BLOCK = 128  # code points; a letter outside a-z stays in its block
+AT_ONCE = 64  # characters permuted as one number
 SECRET = re.compile(
     r"""(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9\-]{16,}"""
     r"""|(?i:(?:token|secret|password|passwd|api[_-]?key)["']?\s*[=:]\s*["']?)([A-Za-z0-9_\-]{8,})(?![A-Za-z0-9_\-])"""
@@ -64,26 +68,37 @@ def _digits(text: str, key: bytes, kind: str, fixed: int = 0) -> str:
     return "".join(next(new) if c.isascii() and c.isdigit() else c for c in text)
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def _alphabet(c: str) -> str:
+    """The characters that may stand for this one: digits, small or capital letters, or its kind in its own block; none for marks."""
+    if c.isascii():
+        return DIGITS if c.isdigit() else LETTERS if c.islower() else LETTERS.upper() if c.isupper() else ""
+    if not c.isalnum():
+        return ""
+    first, kind = ord(c) // BLOCK * BLOCK, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(max(first, BLOCK), first + BLOCK)) if x.isalnum() and unicodedata.category(x) == kind)
+
+
 def _characters(text: str, key: bytes, kind: str, hexadecimal: bool = False) -> str:
-    """Permutes letters among letters of their case and digits among digits; the rest stays.
+    """Permutes every letter and digit within its alphabet, all as one number; other characters stay.
 
-    Letters outside a-z stand for one of a-z each.
+    Of a longer text each ``AT_ONCE`` characters are a number of their own. Texts of the same shape get different pseudonyms.
     """
-    radix = [(16 if hexadecimal else 10 if c.isdigit() else 26) if c.isalnum() else 0 for c in text]
+    if len(text) > AT_ONCE:
+        parts = [text[i : i + AT_ONCE] for i in range(0, len(text), AT_ONCE)]
+        return "".join(_characters(p, key, f"{kind}{i}", hexadecimal) for i, p in enumerate(parts))
+    upper = hexadecimal and text.isupper()
+    alphabets = [(HEXADECIMAL.upper() if upper else HEXADECIMAL) if hexadecimal and c.isalnum() else _alphabet(c) for c in text]
     value, size = 0, 1
-    for c, r in zip(text, radix, strict=True):
-        if r:
-            at = int(c, 16) if hexadecimal else ord(c.lower()[0]) - 97 if c.isascii() and c.isalpha() else int(c) if c.isascii() else ord(c)
-            value, size = value * r + at % r, size * r
-    tag = kind if text.isascii() else kind + text  # letters outside a-z differ only by the key
-    value, out = permute(value, size, key, tag), []
-    for c, r in zip(reversed(text), reversed(radix), strict=True):
-        if not r:
-            out.append(c)
-            continue
-        value, at = divmod(value, r)
-        new = "0123456789abcdef"[at] if hexadecimal or r == 10 else LETTERS[at]
-        out.append(new.upper() if hexadecimal and text.isupper() or c.isupper() else new)
+    for c, letters in zip(text, alphabets, strict=True):
+        if letters:
+            value, size = value * len(letters) + letters.index(c), size * len(letters)
+    value, out = permute(value, size, key, kind), []
+    for c, letters in zip(reversed(text), reversed(alphabets), strict=True):
+        if letters:
+            value, at = divmod(value, len(letters))
+            c = letters[at]
+        out.append(c)
     return "".join(reversed(out))
 
 
@@ -204,17 +219,44 @@ def _numbers(text: str, key: bytes, kinds: list[str]) -> str:
     return "".join([*parts, text[done:]])
 
 
+def _local(c: str) -> bool:
+    return c.isalnum() or c in "_.%+-"
+
+
+def _small(c: str) -> str:
+    return low if len(low := c.lower()) == 1 else c
+
+
+def _address(local: str, domain: str, key: bytes) -> str:
+    """Both parts permuted as small letters, then with capitals in the same places; characters whose other case is longer stay as they are."""
+    text = f"{local}@{domain}"
+    small = "".join(map(_small, text))
+    new = _characters(small, key, "email")
+    return "".join(up if a != b and len(up := c.upper()) == 1 else c for a, b, c in zip(text, small, new, strict=True))
+
+
+def _addresses(text: str, key: bytes, kinds: list[str]) -> str:
+    """All e-mail addresses replaced. Each @ is looked at once, and from it to both sides, so time is linear in the text.
+
+    Of a longer run of characters before the @ the last ``LOCAL_PART`` belong to the address.
+    """
+    parts, done, at = [], 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > done and at - begin < LOCAL_PART and _local(text[begin - 1]):
+            begin -= 1
+        if begin < at and (m := DOMAIN.match(text, at)):
+            kinds.append("email")
+            parts += [text[done:begin], _address(text[begin:at], m[1], key), m[2]]
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+    return "".join([*parts, text[done:]]) if parts else text
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kinds of the values replaced, in order of the passes."""
     kinds: list[str] = []
 
-    def email(m: re.Match) -> str:
-        kinds.append("email")
-        local, _, domain = m.group().rpartition("@")
-        name, _, top = domain.rpartition(".")
-        both = _characters(local.lower() + "@" + name.lower(), key, "email")
-        return "".join(b.upper() if a.isupper() else b for a, b in zip(local + "@" + name, both, strict=True)) + "." + top
-
     def secret(m: re.Match) -> str:
         value = m[1] or m.group()
         if m[1] and not (any(c.isdigit() for c in value) or len(value) >= 20):
@@ -224,8 +266,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
         new = _characters(value, key, "secret", hexadecimal=one_case and bool(re.fullmatch(r"[0-9A-Fa-f]+", value)))
         return m.group()[: m.start(1) - m.start()] + new if m[1] else value[:4] + _characters(value[4:], key, "secret")
 
-    if "@" in text:
-        text = EMAIL.sub(email, text)
+    text = _addresses(text, key, kinds)
     if "=" in text or ":" in text or any(x in text for x in ("AKIA", "ASIA", "ghp_", "sk-", "xox")):
         text = SECRET.sub(secret, text)
     if re.search(r"\d", text):
@@ -240,7 +281,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", n_values: str
     e-mail addresses, secrets. A number of which no run of whole tokens is valid stays. The same value has the same
     pseudonym in every document under one ``key``, which is needed to link and never stored.
     A null text stays null with 0 values; an empty one stays empty. Other columns pass through,
-    but columns named like the two new ones are replaced. Repeated rows stay.
+    but columns named like the two new ones are replaced. Repeated rows stay. Time is linear in a text's length.
     """
     spelled = {c.lower(): c for c in docs.columns}
     rest = [c for c in docs.columns if c.lower() not in (n_values.lower(), kinds.lower())]
