@@ -125,6 +125,36 @@ x AS (SELECT lf0.ordinal, v.key, list_sum(list_transform(list_zip(string_split(v
   FROM lf0 LEFT JOIN v USING (leaf) WHERE lf0.split = 'test')
 SELECT ordinal, CAST(CASE WHEN sim >= 0.4 THEN key ELSE -1 END AS BIGINT) AS key FROM x"""
 
+CLUSTERED = tm.MiningSpec(depth=2, threshold=0.6, max_children=2)
+
+
+def q40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unmasked logs: many clusters in a route, the third source in the wildcard route, templates that lose tokens."""
+    mined = tm.mine_templates(logs(spark, sf_dir), "message", ["ordinal"], CLUSTERED, masked=False)
+    return mined.keys.join(mined.templates, "key").select("ordinal", "key", "template", "size")
+
+
+# one step of the recursion takes the next row of every route into that route's list of templates
+Q40 = f"""WITH RECURSIVE {EV},
+m AS (SELECT ordinal, {split_sql(LOG)} AS t FROM ev),
+f AS (SELECT len(t) AS n, t[1] AS k, row_number() OVER (PARTITION BY len(t) ORDER BY min(ordinal)) AS r FROM m GROUP BY 1, 2),
+r AS (SELECT ordinal, t, len(t) || ' ' || CASE WHEN r <= {CLUSTERED.max_children} THEN k ELSE '<*>' END AS leaf
+  FROM m JOIN f ON f.n = len(t) AND f.k = t[1]),
+x AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY ordinal) AS i FROM r),
+fold AS (
+  SELECT leaf, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[][]) AS c, CAST(0 AS BIGINT) AS chosen, CAST(0 AS BIGINT) AS ordinal FROM (SELECT DISTINCT leaf FROM x)
+  UNION ALL
+  SELECT leaf, i, CASE WHEN b IS NULL THEN list_append(c, t)
+      ELSE list_transform(c, lambda v, j: CASE WHEN j = b THEN list_transform(v, lambda w, p: CASE WHEN w = t[p] THEN w ELSE '<*>' END) ELSE v END) END,
+    CAST(coalesce(b, len(c) + 1) AS BIGINT), ordinal
+  FROM (SELECT *, CASE WHEN list_max(e) / len(t) >= {CLUSTERED.threshold} THEN list_position(e, list_max(e)) END AS b
+    FROM (SELECT fold.leaf, x.i, c, x.t, x.ordinal, list_transform(c, lambda v: list_sum(list_transform(v, lambda w, p: CASE WHEN w = x.t[p] THEN 1 ELSE 0 END))) AS e
+      FROM fold JOIN x ON x.leaf = fold.leaf AND x.i = fold.i + 1))),
+a AS (SELECT leaf, chosen, ordinal FROM fold WHERE i > 0),
+k AS (SELECT leaf, chosen, row_number() OVER (ORDER BY min(ordinal)) - 1 AS key, count(*) AS size FROM a GROUP BY 1, 2),
+z AS (SELECT leaf, max_by(c, i) AS c FROM fold GROUP BY leaf)
+SELECT ordinal, CAST(key AS BIGINT) AS key, array_to_string(z.c[chosen], ' ') AS template, size FROM a JOIN k USING (leaf, chosen) JOIN z USING (leaf)"""
+
 QUERIES = [
     Query("q12_mask_log", q12, Q12),
     Query("q13_tokens", q13, Q13),
@@ -133,4 +163,5 @@ QUERIES = [
     Query("q15_template_vocabulary", q15b, Q15B),
     Query("q16_templates_general", q16),
     Query("q17_apply_frozen", q17, Q17),
+    Query("q40_template_clusters", q40, Q40),
 ]

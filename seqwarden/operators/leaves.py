@@ -2,12 +2,14 @@
 
 Inside a route, a message joins the most similar cluster and generalizes it, or opens
 a new one, so order matters. Spark partitions and sorts the rows; these helpers walk
-one route at a time over whole arrays of integer-coded tokens.
+one route at a time over arrays of integer-coded tokens. Clusters and messages
+are found through indexes by (position, token), so a step looks only at those that can
+reach the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ import pandas as pd
 from seqwarden.fixed_values import WILDCARD
 
 WILD = 0  # code of the wildcard
+DENSE = 48  # clusters up to which all are compared at once
+PAIRED = 256  # clusters met by single tokens from which on pairs are indexed too
 STRETCH = ["_leaf", "_msg", "_from", "_to", "_cluster", "_n"]
 
 
@@ -29,42 +33,114 @@ class Coder:
         return np.array([codes.setdefault(t, len(codes)) for t in message.split(" ")], dtype=np.int64)
 
 
+def least_equal(length: int, threshold: float) -> int:
+    """The smallest number of equal positions that reaches the threshold."""
+    return next(n for n in range(length + 1) if n / length >= threshold)
+
+
+def grouped_pairs(length: int, need: int) -> list[tuple[int, int]]:
+    """Pairs of positions of which any ``need`` positions hold one: of ``need - 1`` groups one has two. None if that takes too many."""
+    if need < 2:
+        return []
+    groups = [range(g, length, need - 1) for g in range(need - 1)]
+    pairs = [(p, q) for group in groups for i, p in enumerate(group) for q in group[i + 1 :]]
+    return pairs if len(pairs) <= 4 * length else []
+
+
 class Clusters:
-    """Templates of one route, in the order they were opened."""
+    """Templates of one route, in the order they were opened, with indexes of the clusters by position and token.
+
+    A cluster with ``need`` equal positions of ``length`` shares at least one of any ``length - need + 1`` of
+    the message's tokens: the rarest ones are asked. It also shares both tokens of one of ``grouped_pairs``. Of the two ways
+    each message takes the one that meets fewer clusters.
+    """
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
         self.table = np.zeros((0, 0), dtype=np.int64)
-        self.n = 0
+        self.n, self.need = 0, 0
+        self.index: list[dict[int, set[int]]] = []
+        self.pairs: list[tuple[int, int]] = []
+        self.by_pair: list[dict[tuple[int, int], set[int]]] = []
 
     @property
     def templates(self) -> np.ndarray:
         return self.table[: self.n]
 
     def best(self, message: np.ndarray) -> tuple[int, int]:
-        """Cluster with the most equal positions (the earliest of equals) and that number."""
+        """Cluster with the most equal positions (the earliest of equals) and that number, if it reaches the threshold, else -1, -1."""
         if not self.n:
             return -1, -1
-        equal = (self.templates == message).sum(axis=1)
-        first = int(equal.argmax())
-        return first, int(equal[first])
+        at = None
+        if self.n > DENSE and self.need:
+            codes = message.tolist()
+            lists = [found for of, code in zip(self.index, codes) if (found := of.get(code)) is not None]
+            spare = self.need - 1  # of the tokens asked so many may be left out; unknown tokens are asked for nothing
+            if len(lists) <= spare:
+                return -1, -1
+            lists.sort(key=len)
+            lists = lists[: len(lists) - spare]
+            if self.pairs and (most := sum(map(len, lists))) > PAIRED:
+                self._index_pairs()
+                both = [found for (p, q), of in zip(self.pairs, self.by_pair) if (found := of.get((codes[p], codes[q]))) is not None]
+                if sum(map(len, both)) < most:
+                    lists = both
+            asked = set().union(*lists)
+            if not asked:
+                return -1, -1
+            if len(asked) < self.n:
+                at = np.fromiter(asked, np.int64, len(asked))
+        equal = ((self.templates if at is None else self.table[at]) == message).sum(axis=1)
+        top = int(equal.max())
+        if top < self.need:
+            return -1, -1
+        return int(equal.argmax()) if at is None else int(at[equal == top].min()), top
 
-    def add(self, message: np.ndarray) -> tuple[int, bool]:
-        """Cluster of the message, and whether this changed any template."""
-        found, equal = self.best(message)
-        if found >= 0 and equal / len(message) >= self.threshold:
-            template = self.table[found]
-            stale = (template != message) & (template != WILD)
-            template[stale] = WILD
-            return found, bool(stale.any())
+    def open(self, message: np.ndarray) -> int:
+        if not self.index:
+            self.index = [{} for _ in message]
+            self.need = least_equal(len(message), self.threshold)
+            self.pairs = grouped_pairs(len(message), self.need)
         if self.n == len(self.table):
             grown = np.zeros((max(8, 2 * self.n), len(message)), dtype=np.int64)
             if self.n:
                 grown[: self.n] = self.templates
             self.table = grown
         self.table[self.n] = message
+        codes = message.tolist()
+        for of, code in zip(self.index, codes):
+            _put(of, code, self.n)
+        for (p, q), of in zip(self.pairs, self.by_pair):
+            _put(of, (codes[p], codes[q]), self.n)
         self.n += 1
-        return self.n - 1, True
+        return self.n - 1
+
+    def _index_pairs(self) -> None:
+        if not self.by_pair:
+            self.by_pair = [{} for _ in self.pairs]
+            for cluster, codes in enumerate(self.templates.tolist()):
+                for (p, q), of in zip(self.pairs, self.by_pair):
+                    _put(of, (codes[p], codes[q]), cluster)
+
+    def generalize(self, cluster: int, message: np.ndarray) -> np.ndarray:
+        """Positions at which the template turned into the wildcard."""
+        template = self.table[cluster]
+        stale = np.flatnonzero((template != message) & (template != WILD))
+        codes, turned = template.tolist(), set(stale.tolist())
+        template[stale] = WILD
+        for p in turned:
+            _move(self.index[p], codes[p], WILD, cluster)
+        for (p, q), of in zip(self.pairs, self.by_pair) if turned else ():
+            if p in turned or q in turned:
+                _move(of, (codes[p], codes[q]), (int(template[p]), int(template[q])), cluster)
+        return stale
+
+    def add(self, message: np.ndarray) -> tuple[int, bool]:
+        """Cluster of the message, and whether this changed any template."""
+        found, _ = self.best(message)
+        if found >= 0:
+            return found, bool(len(self.generalize(found, message)))
+        return self.open(message), True
 
 
 def fold_sorted(threshold: float):
@@ -117,81 +193,115 @@ def fold_sorted(threshold: float):
     return run
 
 
-def changing_rows(threshold: float):
-    """Group function: of one route's candidate rows, keep those that change its templates."""
+def _put(of: dict, key: object, cluster: int) -> None:
+    if (found := of.get(key)) is None:
+        of[key] = {cluster}
+    else:
+        found.add(cluster)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos", kind="stable")
-        coder, clusters = Coder(), Clusters(threshold)
-        keep = [clusters.add(coder.encode(m))[1] for m in rows["_msg"]]
-        return rows[keep]
 
-    return run
+def _move(of: dict, old: object, new: object, cluster: int) -> None:
+    of[old].discard(cluster)
+    if not of[old]:
+        del of[old]
+    _put(of, new, cluster)
 
 
-def outcomes(threshold: float):
-    """Cogroup function: what a slice of one route's messages meets under each template version.
+class Matches:
+    """What each of a slice of one route's messages would meet at the current templates, kept up as templates change.
 
-    ``log`` holds the rows that change templates, in order. For every message it emits
-    stretches ``[_from, _to)`` of positions with one outcome: a cluster it would join
-    without changing it, or none (``_cluster`` null), in which case a row there would
-    have changed a template.
+    ``outcome`` is the cluster that a message would join without changing it, or -1 where its next
+    row would change a template; it holds since position ``since`` (None: since the beginning).
+    ``closed`` collects the stretches that ended: (message, from, to, cluster or None).
     """
 
-    def run(messages: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        columns = ["_leaf", "_msg", "_from", "_to", "_cluster"]
-        if messages.empty or log.empty:
-            return pd.DataFrame(columns=columns)
-        log = log.sort_values("_pos", kind="stable")
-        coder, clusters = Coder(), Clusters(threshold)
-        x = np.stack([coder.encode(m) for m in messages["_msg"]])
-        n, length = x.shape
-        best = np.full(n, -1)
-        equal = np.full(n, -1)
-        outcome = np.full(n, -1)
-        since: list[object] = [log["_pos"].iloc[0]] * n
-        opened: list[object] = []
-        rows: list[tuple] = []
-        texts, leaf = messages["_msg"].to_list(), messages["_leaf"].iloc[0]
-
-        def emit(i: int, until: object) -> None:
-            name = opened[outcome[i]] if outcome[i] >= 0 else None
-            rows.append((leaf, texts[i], since[i], until, name))
-
-        for step, (message, pos) in enumerate(zip(log["_msg"], log["_pos"])):
-            cluster, _ = clusters.add(coder.encode(message))
-            if cluster == len(opened):
-                opened.append(pos)
-                score = (x == clusters.table[cluster]).sum(axis=1)
-                touched = score > equal
-                best[touched], equal[touched] = cluster, score[touched]
-            else:
-                # its own messages may lose equal positions; others gain where they hold the wildcard itself
-                score = (x == clusters.table[cluster]).sum(axis=1)
-                own = best == cluster
-                won = ~own & ((score > equal) | ((score == equal) & (cluster < best)))
-                fewer = np.flatnonzero(own & (score < equal))
-                touched = own | won
-                best[won] = cluster
-                equal[touched] = score[touched]
-                equal[fewer] = -1
-                for k in range(clusters.n if len(fewer) else 0):
-                    score = (x[fewer] == clusters.table[k]).sum(axis=1)
-                    higher = score > equal[fewer]
-                    best[fewer[higher]], equal[fewer[higher]] = k, score[higher]
-            at = np.flatnonzero(touched)
-            if not len(at):
-                continue
-            template = clusters.templates[best[at]]
-            steady = ((template == x[at]) | (template == WILD)).all(axis=1) & (equal[at] / length >= threshold)
-            fresh = np.where(steady, best[at], -1)
-            for i, new in zip(at, fresh):
-                if new != outcome[i]:
-                    if step:
-                        emit(i, pos)
-                    outcome[i], since[i] = new, pos
-        for i in range(n):
-            emit(i, None)
-        return pd.DataFrame(rows, columns=columns, dtype=object)
-
-    return run
+    def __init__(self, threshold: float, messages: Sequence[str], best=None, equal=None, outcome=None, since=None, templates=(), opened=()) -> None:
+        n = len(messages)
+        self.texts, self.coder, self.clusters, self.opened = list(messages), Coder(), Clusters(threshold), list(opened)
+        self.x = np.stack([self.coder.encode(m) for m in messages])
+        for template in templates:
+            self.clusters.open(self.coder.encode(template))
+        self.clusters.need = self.need = least_equal(self.x.shape[1], threshold)
+        self.best, self.equal, self.outcome = (np.full(n, -1) if v is None else np.array(v, np.int64) for v in (best, equal, outcome))
+        self.since = [None] * n if since is None else list(since)
+        self.closed: list[tuple] = []
+        self.index = []
+        for column in self.x.T:
+            order = np.argsort(column, kind="stable")
+            codes, start = np.unique(column[order], return_index=True)
+            self.index.append(dict(zip(codes.tolist(), np.split(order, start[1:]))))
+
+    def _holding(self, pairs: Iterable[tuple[int, int]]) -> list[np.ndarray]:
+        return [found for p, code in pairs if (found := self.index[p].get(code)) is not None]
+
+    def _opened(self, template: np.ndarray, cluster: int) -> np.ndarray:
+        """Messages that a new cluster wins."""
+        if self.need:
+            lists = sorted(self._holding(enumerate(template.tolist())), key=len)
+            if len(lists) < self.need:
+                return np.empty(0, np.int64)
+            at = np.unique(np.concatenate(lists[: len(lists) - self.need + 1]))
+        else:
+            at = np.arange(len(self.x))
+        score = (self.x[at] == template).sum(axis=1)
+        won = (score >= self.need) & (score > self.equal[at])
+        self.best[at[won]], self.equal[at[won]] = cluster, score[won]
+        return at[won]
+
+    def _generalized(self, cluster: int, stale: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Messages whose match may have changed as the template's stale positions turned into wildcards."""
+        template, own = self.clusters.table[cluster], np.flatnonzero(self.best == cluster)
+        moved = self._holding([(p, int(before[p])) for p in stale.tolist()] + [(p, WILD) for p in stale.tolist()])
+        if not moved:
+            return own
+        at = np.unique(np.concatenate(moved))
+        score = (self.x[at] == template).sum(axis=1)
+        mine = self.best[at] == cluster
+        more = mine & (score >= self.equal[at])
+        self.equal[at[more]] = score[more]
+        won = ~mine & (score >= self.need) & ((score > self.equal[at]) | ((score == self.equal[at]) & (cluster < self.best[at])))
+        self.best[at[won]], self.equal[at[won]] = cluster, score[won]
+        for i in at[mine & ~more].tolist():
+            self.best[i], self.equal[i] = self.clusters.best(self.x[i])
+        return np.union1d(own, at[won])
+
+    def step(self, message: str, pos: object) -> None:
+        """One row that changes a template, at its position."""
+        codes, clusters = self.coder.encode(message), self.clusters
+        found, _ = clusters.best(codes)
+        if found < 0:
+            found = clusters.open(codes)
+            self.opened.append(pos)
+            touched = self._opened(codes, found)
+        else:
+            before = clusters.table[found].copy()
+            touched = self._generalized(found, clusters.generalize(found, codes), before)
+        if not len(touched):
+            return
+        template = clusters.templates[self.best[touched]]
+        steady = (self.best[touched] >= 0) & ((template == self.x[touched]) | (template == WILD)).all(axis=1)
+        fresh = np.where(steady, self.best[touched], -1)
+        changed = fresh != self.outcome[touched]
+        for i, new in zip(touched[changed].tolist(), fresh[changed].tolist()):
+            self.closed.append((self.texts[i], self.since[i], pos, self.named(i)))
+            self.outcome[i], self.since[i] = new, pos
+
+    def named(self, i: int) -> object:
+        """The current outcome of a message, a cluster named by its first position."""
+        return self.opened[self.outcome[i]] if self.outcome[i] >= 0 else None
+
+    def still_open(self) -> list[tuple]:
+        """The stretches that hold until further notice."""
+        return [(m, self.since[i], None, self.named(i)) for i, m in enumerate(self.texts)]
+
+    def templates(self) -> list[str]:
+        token = {code: t for t, code in self.coder.codes.items()}
+        return [" ".join(token[c] for c in row) for row in self.clusters.templates.tolist()]
+
+
+def changing_rows(threshold: float, rows: Iterable[tuple[str, object]], templates: Sequence[str] = ()) -> list[tuple[str, object]]:
+    """Of one route's rows (message, position), in order, those that change the templates which the route has before them."""
+    coder, clusters = Coder(), Clusters(threshold)
+    for template in templates:
+        clusters.open(coder.encode(template))
+    return [(m, pos) for m, pos in rows if clusters.add(coder.encode(m))[1]]

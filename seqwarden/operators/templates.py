@@ -8,24 +8,26 @@ rest to a wildcard. Inside a route it joins the most similar cluster or opens on
   one aggregation and one limited window per level, over distinct prefixes.
 * Routes are independent. One with a single distinct message needs no ordered work.
   Others are folded in position order, one route inside one task, while they fit.
-* A route with more rows than a task should hold is solved by rounds: fold a small set
-  of candidate rows, check in parallel which other rows would have changed a template,
+* A route with more rows than a task should hold is solved by windows of its rows: fold the
+  rows that may change a template, check in parallel which others of the window would have,
   add the earliest of those, and repeat until there are none. Rows that change nothing
-  cannot influence others, so the fixed point is the sequential result.
+  cannot influence others, so the fixed point is the sequential result. Slices of the
+  route's messages keep what they match between windows and are sent new changes only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqwarden.fixed_values import DEPTH, MAX_CHILDREN, SIMILARITY, WILDCARD
 from seqwarden.functions.text import mask, same_positions, tokens
-from seqwarden.operators.leaves import changing_rows, fold_sorted, outcomes
+from seqwarden.operators.leaves import Matches, changing_rows, fold_sorted
 from seqwarden.plans.skew import ROWS_PER_TASK, order_value, positions_overall
 from seqwarden.session import materialize
 
@@ -151,63 +153,168 @@ def _earliest(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
 
-def _solve_large_routes(rows: DataFrame, messages: DataFrame, threshold: float, batch: int) -> DataFrame:
-    """Assignments of routes too large for one task, as stretches per message."""
-    pos = rows.schema["_pos"].dataType
-    fields = [T.StructField("_leaf", T.StringType()), T.StructField("_msg", T.StringType())]
-    log_schema = T.StructType([*fields, T.StructField("_pos", pos)])
-    stretch_schema = T.StructType([*fields, *[T.StructField(c, pos) for c in ("_from", "_to", "_cluster")]])
-    per_leaf = messages.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_m"))
-    slices = F.ceil(F.col("_m") / F.lit(MESSAGES_PER_SLICE)).cast("int")
-    per_leaf = materialize(per_leaf.select("_leaf", slices.alias("_slices")), "slices")
-    sliced = materialize(
-        messages.join(per_leaf, "_leaf").select(
-            "_leaf", "_msg", "_first", F.pmod(F.xxhash64("_msg"), F.col("_slices")).cast("int").alias("_slice")
-        ),
-        "sliced",
-    )
-    rows = materialize(rows.select("_leaf", "_msg", "_pos"), "large")
-    candidates = _earliest(messages.select("_leaf", "_msg", F.col("_first").alias("_pos")), batch)
-    while True:
-        # bounded by the template changes of the route plus one batch
-        log = materialize(candidates.groupBy("_leaf").applyInPandas(changing_rows(threshold), log_schema), "log")
-        spread = log.join(per_leaf, "_leaf").withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+class _LargeRoutes:
+    """Routes too large for one task, solved window by window of their rows, with state between the windows.
+
+    A slice of a route's messages is one row of ``state``: its messages, what each of them would meet at the
+    templates reached so far, and those templates. A window reaches up to the row where ``batch`` more messages
+    first come up that would change a template. Its changing rows are folded by one task of the route, starting from the
+    templates; every slice replays only them, and says which other rows of the window would have changed a
+    template. The earliest of those join the window's rows until there are none. Then the slices
+    roll their state forward, and nothing before the window is looked at again: in all, every change is sent to the
+    slices of its route as often as its own window was repeated.
+    """
+
+    def __init__(self, rows: DataFrame, messages: DataFrame, threshold: float, batch: int):
+        pos = rows.schema["_pos"].dataType.simpleString()
+        self.threshold, self.batch = threshold, batch
+        self.stretch_schema = f"_leaf string, _msg string, _from {pos}, _to {pos}, _cluster {pos}"
+        self.log_schema = f"_leaf string, _log array<struct<_pos:{pos},_msg:string>>"
+        self.state_schema = (
+            f"_leaf string, _slice int, msgs array<string>, firsts array<{pos}>, best array<int>, equal array<int>, outcome array<int>, "
+            f"since array<{pos}>, templates array<string>, opened array<{pos}>"
         )
-        stretches = (
-            sliced.select("_leaf", "_msg", "_slice")
-            .groupBy("_leaf", "_slice")
-            .cogroup(spread.select("_leaf", "_slice", "_msg", "_pos").groupBy("_leaf", "_slice"))
-            .applyInPandas(_without_slice(outcomes(threshold)), stretch_schema)
+        self.pos = pos
+        # by route and position, so a window reads its own rows
+        ordered = rows.select("_leaf", "_msg", "_pos").repartitionByRange("_leaf", "_pos").sortWithinPartitions("_leaf", "_pos")
+        self.rows = materialize(ordered, "large")
+        slices = materialize(
+            messages.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(MESSAGES_PER_SLICE)).cast("int").alias("_slices")), "slices"
         )
-        stretches = materialize(stretches, "stretches")
-        inside = (F.col("_pos") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_pos") < F.col("_to")))
-        missed = (
-            rows.join(stretches.filter(F.col("_cluster").isNull()), ["_leaf", "_msg"])
-            .filter(inside)
-            .groupBy("_leaf", "_msg", "_from")
-            .agg(F.min("_pos").alias("_pos"))
+        at = F.pmod(F.xxhash64("_msg"), F.col("_slices")).cast("int").alias("_slice")
+        sliced = messages.join(slices, "_leaf").select("_leaf", at, F.struct("_first", "_msg").alias("m"))
+        listed = sliced.groupBy("_leaf", "_slice").agg(F.array_sort(F.collect_list("m")).alias("m"))  # at most about MESSAGES_PER_SLICE
+        unmet = F.transform("m", lambda _: F.lit(-1))
+        none = F.array().cast(f"array<{pos}>")
+        self.state = materialize(
+            listed.select(
+                "_leaf", "_slice", F.col("m._msg").alias("msgs"), F.col("m._first").alias("firsts"), unmet.alias("best"), unmet.alias("equal"),
+                unmet.alias("outcome"), F.transform("m", lambda _: F.lit(None).cast(pos)).alias("since"),
+                F.array().cast("array<string>").alias("templates"), none.alias("opened"),
+            ),
+            "state",
         )
-        missed = materialize(missed.select("_leaf", "_msg", "_pos"), "missed")
-        if missed.isEmpty():
-            steady = stretches.filter(F.col("_cluster").isNotNull())
-            counts = (
-                rows.join(steady, ["_leaf", "_msg"])
-                .filter(inside)
-                .groupBy("_leaf", "_msg", "_from", "_to", "_cluster")
-                .agg(F.count(F.lit(1)).alias("_n"))
-            )
-            return materialize(counts, "solved")
-        candidates = log.unionByName(_earliest(missed, batch))
-
-
-def _without_slice(fn):
-    def run(messages, log):
-        return fn(messages.drop(columns="_slice"), log.drop(columns="_slice"))
+
+    def solve(self) -> DataFrame:
+        """(_leaf, _msg, _from, _to, _cluster): stretches of positions in which a message joins one cluster."""
+        ends = self.state.select("_leaf", F.lit(None).cast(self.pos).alias("_begin")).distinct()  # of the rows done, per route
+        done = []
+        while True:
+            windows = self._windows(ends)
+            if windows.isEmpty():
+                break
+            log = self._agreed_log(windows)
+            rolled = self._replay(log, roll=True)
+            done.append(rolled.filter("_slice < 0").select("_leaf", "_msg", "_from", "_to", "_cluster").filter("_cluster IS NOT NULL"))
+            untouched = self.state.join(log.select("_leaf"), "_leaf", "left_anti")
+            self.state = materialize(rolled.filter("_slice >= 0").select(*self.state.columns).unionByName(untouched), "state")
+            ends = windows.filter("_end IS NOT NULL").select("_leaf", F.col("_end").alias("_begin"))
+        held = self.state.select("_leaf", "opened", F.explode(F.arrays_zip("msgs", "outcome", "since")).alias("m")).filter("m.outcome >= 0")
+        last = held.select(
+            "_leaf", F.col("m.msgs").alias("_msg"), F.col("m.since").alias("_from"), F.lit(None).cast(self.pos).alias("_to"),
+            F.get("opened", F.col("m.outcome")).alias("_cluster"),
+        )
+        for part in done:
+            last = last.unionByName(part)
+        return last
+
+    def _windows(self, ends: DataFrame) -> DataFrame:
+        """(_leaf, _begin, _end) of each route with rows left; no end means all of them.
+
+        Messages not met so far count: the window ends with the first row of the ``batch``-th.
+        """
+        each = self.state.join(ends, "_leaf").select("_leaf", "_begin", F.explode(F.arrays_zip("firsts", "outcome")).alias("m"))
+        unmet = each.filter("m.outcome < 0 AND (_begin IS NULL OR m.firsts > _begin)").select("_leaf", F.col("m.firsts").alias("_pos"))
+        bound = _earliest(unmet, self.batch).groupBy("_leaf").agg(F.max("_pos").alias("_end"), F.count(F.lit(1)).alias("_n"))
+        end = F.when(F.col("_n") == self.batch, F.col("_end")).alias("_end")
+        return materialize(ends.join(bound, "_leaf", "left").select("_leaf", "_begin", end), "windows")
+
+    def _rows_in(self, windows: DataFrame) -> DataFrame:
+        span = windows.agg(F.min("_begin").alias("low"), F.count_if(F.col("_begin").isNull()).alias("open"), F.max("_end").alias("high"), F.count_if(F.col("_end").isNull()).alias("rest")).first()
+        rows = self.rows
+        if "struct" not in self.pos:
+            # bounds of all windows together reach the scan
+            rows = rows if span.open else rows.filter(F.col("_pos") > F.lit(span.low).cast(self.pos))
+            rows = rows if span.rest else rows.filter(F.col("_pos") <= F.lit(span.high).cast(self.pos))
+        inside = "(_begin IS NULL OR _pos > _begin) AND (_end IS NULL OR _pos <= _end)"
+        return rows.join(windows, "_leaf").filter(inside).select("_leaf", "_msg", "_pos")
+
+    def _agreed_log(self, windows: DataFrame) -> DataFrame:
+        """(_leaf, _log): the rows of each window that change a template, in order."""
+        inside = materialize(self._rows_in(windows), "window")
+        each = self.state.select("_leaf", F.explode(F.arrays_zip("msgs", "outcome")).alias("m"))
+        moving = each.filter("m.outcome < 0").select("_leaf", F.col("m.msgs").alias("_msg"))
+        found = inside.join(moving, ["_leaf", "_msg"]).groupBy("_leaf", "_msg").agg(F.min("_pos").alias("_pos"))
+        base = self.state.groupBy("_leaf").agg(F.min_by("templates", "_slice").alias("templates"))  # the same in every slice
+        candidates = found.select("_leaf", "_msg", "_pos")
+        while True:
+            gathered = candidates.groupBy("_leaf").agg(F.array_sort(F.collect_list(F.struct("_pos", "_msg"))).alias("_rows"))
+            # a window's candidates: at most one row for each of its messages
+            log = materialize(gathered.join(base, "_leaf").mapInPandas(_fold_window(self.threshold), self.log_schema), "log")
+            stretches = self._replay(log, roll=False)
+            met = (F.col("_from").isNull() | (F.col("_pos") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_pos") < F.col("_to")))
+            missed = inside.join(stretches, ["_leaf", "_msg"]).filter(met).groupBy("_leaf", "_msg", "_from").agg(F.min("_pos").alias("_pos"))
+            missed = materialize(missed.select("_leaf", "_msg", "_pos"), "missed")
+            if missed.isEmpty():
+                return log
+            entries = log.select("_leaf", F.explode("_log").alias("e")).select("_leaf", "e._msg", "e._pos")
+            candidates = entries.unionByName(_earliest(missed, self.batch)).distinct()
+
+    def _replay(self, log: DataFrame, roll: bool) -> DataFrame:
+        """Every slice replays its route's log: for a check the stretches without a cluster, to roll on all that ended and the new state."""
+        sent = self.state.join(log, "_leaf")
+        if not roll:
+            return sent.mapInPandas(_replay_window(self.threshold, False), self.stretch_schema)
+        both = ", ".join([self.state_schema, *[f for f in self.stretch_schema.split(", ") if not f.startswith("_leaf")]])
+        return materialize(sent.mapInPandas(_replay_window(self.threshold, True), both), "rolled")
+
+
+def _fold_window(threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for leaf, rows, templates in zip(batch["_leaf"], batch["_rows"], batch["templates"]):
+                kept = changing_rows(threshold, [(r["_msg"], r["_pos"]) for r in rows], list(templates))
+                out.append((leaf, [{"_pos": pos, "_msg": m} for m, pos in kept]))
+            yield pd.DataFrame(out, columns=["_leaf", "_log"])
 
     return run
 
 
+STRETCH_COLUMNS = ["_msg", "_from", "_to", "_cluster"]
+STATE_COLUMNS = ["_slice", "msgs", "firsts", "best", "equal", "outcome", "since", "templates", "opened"]
+
+
+def _replay_window(threshold: float, roll: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                row = dict(zip(batch.columns, row))
+                met = Matches(threshold, row["msgs"], row["best"], row["equal"], row["outcome"], row["since"], row["templates"], row["opened"])
+                for entry in row["_log"]:
+                    met.step(entry["_msg"], entry["_pos"])
+                if not roll:
+                    out = [(row["_leaf"], *s) for s in met.closed + met.still_open() if s[3] is None]
+                    yield pd.DataFrame(out, columns=["_leaf", *STRETCH_COLUMNS], dtype=object)
+                    continue
+                new = (row["_slice"], row["msgs"], row["firsts"], met.best.tolist(), met.equal.tolist(), met.outcome.tolist(), met.since, met.templates(), met.opened)
+                ended = [(row["_leaf"], -1, *[None] * 8, *s) for s in met.closed if s[3] is not None]
+                yield pd.DataFrame([(row["_leaf"], *new, *[None] * 4), *ended], columns=["_leaf", *STATE_COLUMNS, *STRETCH_COLUMNS], dtype=object)
+
+    return run
+
+
+def _solve_large_routes(rows: DataFrame, messages: DataFrame, threshold: float, batch: int) -> DataFrame:
+    """Assignments of routes too large for one task, as stretches per message with their numbers of rows."""
+    solved = _LargeRoutes(rows, messages, threshold, batch)
+    steady = solved.solve()
+    inside = (F.col("_pos") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_pos") < F.col("_to")))
+    counts = (
+        solved.rows.join(steady, ["_leaf", "_msg"]).filter(inside).groupBy("_leaf", "_msg", "_from", "_to", "_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    return materialize(counts, "solved")
+
+
 def _assignments(work: DataFrame, spec: MiningSpec, rows_per_task: int, batch: int) -> DataFrame:
     """Stretches ``(_leaf, _msg, _from, _to, _cluster, _n)`` for all non-empty messages, written once."""
     messages = routed_messages(work, spec).filter(F.col("_msg") != "")

@@ -1,11 +1,13 @@
 import random
+import time
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sequential_mining import mine
 
-from seqwarden.operators.leaves import changing_rows, outcomes
+from seqwarden.operators import leaves
+from seqwarden.operators.leaves import Matches, changing_rows
+from seqwarden.operators import templates as tm
 from seqwarden.operators.templates import MiningSpec, _applied_by_row, apply_templates, catalogue, mine_templates, with_message
 
 MESSAGES = [
@@ -56,9 +58,10 @@ def random_case(rng):
     return [" ".join(rng.choice(words) for _ in range(rng.choice(lengths))) for _ in range(rng.randint(5, 60))]
 
 
-@pytest.mark.parametrize("seed,rows_per_task", [(0, 10**6), (1, 10**6), (2, 1), (3, 1)])
-def test_equals_the_sequential_pass(spark, seed, rows_per_task):
-    """Folding whole routes, and solving every shared route by rounds, both give the sequential result."""
+@pytest.mark.parametrize("seed,rows_per_task,slice_size", [(0, 10**6, 9), (1, 10**6, 9), (2, 1, 50_000), (3, 1, 7), (4, 1, 3)])
+def test_equals_the_sequential_pass(spark, monkeypatch, seed, rows_per_task, slice_size):
+    """Folding whole routes, and solving every shared route by windows, both give the sequential result."""
+    monkeypatch.setattr(tm, "MESSAGES_PER_SLICE", slice_size)
     rng = random.Random(seed)
     messages = random_case(rng) + random_case(rng)
     spec = MiningSpec(rng.randint(2, 4), rng.choice([0.2, 0.4, 0.6]), rng.choice([1, 2, 3]))
@@ -67,35 +70,80 @@ def test_equals_the_sequential_pass(spark, seed, rows_per_task):
     assert got == want
 
 
-def solve_by_rounds(messages, threshold, batch):
-    """The rounds of a large route on one machine, with the functions that Spark runs."""
+def solve_by_windows(messages, threshold, batch):
+    """The windows of a large route on one machine, with the functions that Spark runs."""
     first = {}
     for i, m in enumerate(messages):
         first.setdefault(m, i)
-    distinct = pd.DataFrame({"_leaf": "x", "_msg": list(first)})
-    candidates = pd.DataFrame({"_leaf": "x", "_msg": list(first), "_pos": list(first.values())})[:batch]
+    distinct, begin, closed = sorted(first), -1, []
+    state = Matches(threshold, distinct)
     while True:
-        log = changing_rows(threshold)(candidates)
-        stretches = outcomes(threshold)(distinct, log).to_numpy().tolist()
-        def rows(m, a, b):
-            return [i for i, t in enumerate(messages) if t == m and i >= a and (b is None or i < b)]
-        missed = sorted((min(r), m) for _, m, a, b, c in stretches if c is None and (r := rows(m, a, b)))
-        if not missed:
-            joined = {i: c for _, m, a, b, c in stretches if c is not None for i in rows(m, a, b)}
-            rank = {c: k for k, c in enumerate(sorted(set(joined.values())))}
-            return [rank[joined[i]] for i in range(len(messages))]
-        more = pd.DataFrame([("x", m, p) for p, m in missed[:batch]], columns=["_leaf", "_msg", "_pos"])
-        candidates = pd.concat([log, more])
+        unmet = sorted(first[m] for m, o in zip(distinct, state.outcome) if o < 0 and first[m] > begin)
+        end = unmet[batch - 1] if len(unmet) >= batch else len(messages)
+        window = [(m, i) for i, m in enumerate(messages) if begin < i <= end]
+        moving = {m for m, o in zip(distinct, state.outcome) if o < 0}
+        found = {}
+        for m, i in window:
+            if m in moving:
+                found.setdefault(m, i)
+        rows = sorted((i, m) for m, i in found.items())
+        while True:
+            log = changing_rows(threshold, [(m, i) for i, m in rows], state.templates())
+            trial = Matches(threshold, distinct, state.best, state.equal, state.outcome, state.since, state.templates(), state.opened)
+            for m, i in log:
+                trial.step(m, i)
+            missed = [
+                (i, m)
+                for m, a, b, c in trial.closed + trial.still_open()
+                for t, i in window
+                if c is None and t == m and (a is None or i >= a) and (b is None or i < b)
+            ]
+            if not missed:
+                break
+            rows = sorted({*((i, m) for m, i in log), *sorted(missed)[:batch]})
+        closed += trial.closed
+        state, begin = Matches(threshold, distinct, trial.best, trial.equal, trial.outcome, trial.since, trial.templates(), trial.opened), end
+        if end == len(messages):
+            break
+    joined = {i: c for m, a, b, c in closed + state.still_open() if c is not None for i, t in enumerate(messages) if t == m and i >= a and (b is None or i < b)}
+    rank = {c: k for k, c in enumerate(sorted(set(joined.values())))}
+    return [rank[joined[i]] for i in range(len(messages))]
+
+
+@pytest.mark.parametrize("dense", [0, 3, 48])
+def test_indexed_clusters_equal_the_sequential_pass(monkeypatch, dense):
+    monkeypatch.setattr(leaves, "DENSE", dense)
+    monkeypatch.setattr(leaves, "PAIRED", dense)
+    rng = random.Random(dense)
+    for _ in range(400):
+        words = ["a", "b", "c", "d", "e", "<*>"][: rng.randint(2, 6)]
+        length = rng.randint(1, 8)
+        messages = [" ".join(rng.choice(words) for _ in range(length)) for _ in range(rng.randint(1, 80))]
+        threshold = rng.choice([0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+        coder, clusters = leaves.Coder(), leaves.Clusters(threshold)
+        assert [clusters.add(coder.encode(m))[0] for m in messages] == mine([m.split() for m in messages], depth=1, threshold=threshold)[0]
+
+
+def test_many_clusters_are_met_through_the_index():
+    """20,000 diverse messages of one route, each compared with few of the clusters before it."""
+    rng = random.Random(1)
+    messages = [" ".join(f"w{rng.randrange(1000)}" for _ in range(10)) for _ in range(20_000)]
+    coder, clusters = leaves.Coder(), leaves.Clusters(0.4)
+    start = time.perf_counter()
+    for m in messages:
+        clusters.add(coder.encode(m))
+    assert clusters.n > 19_000 and time.perf_counter() - start < 6  # about 1 s alone; every cluster compared would take 8 s and four times that for each doubling
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_rounds_reach_the_sequential_result(seed):
+def test_windows_reach_the_sequential_result(seed):
     rng = random.Random(seed)
     length, words = rng.randint(1, 5), ["a", "b", "c", "d", "<*>"]
     messages = [" ".join(rng.choice(words) for _ in range(length)) for _ in range(rng.randint(2, 50))]
     threshold = rng.choice([0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
     want, _, _ = mine([m.split() for m in messages], depth=1, threshold=threshold)
-    assert solve_by_rounds(messages, threshold, rng.choice([1, 3, 1000])) == want
+    for batch in (1, 3, 1000):
+        assert solve_by_windows(messages, threshold, batch) == want
 
 
 def test_order_columns(spark):
