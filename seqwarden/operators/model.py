@@ -20,6 +20,9 @@ from seqwarden.plans.skew import KeyProfile, join_on
 from seqwarden.session import materialize
 
 
+UNKNOWN_CONTEXT = False  # a context the model never saw expects nothing
+
+
 def count_model(samples: DataFrame, key: str) -> DataFrame:
     """Occurrences of every (context, next key) pair."""
     return samples.groupBy("ctx", F.col(key).alias("target")).agg(F.count(F.lit(1)).alias("n"))
@@ -112,27 +115,96 @@ def detect(
             warnings.warn(f"k={k} covers all {num_keys} keys, so only unknown keys can be flagged", stacklevel=2)
             return samples.withColumn("flag", scored & ~known)
     # written once: training is not repeated, and Spark broadcasts the table only if its files are small
-    top = materialize(top_k_table(model, k), "top")
     if backoff:
-        found = _hits_with_backoff(samples, samples.filter(scored), top, key, k)
+        found = _hits_with_backoff(samples, samples.filter(scored), filled_lists(model, k, width), key, width)
     else:
+        top = materialize(top_k_table(model, k), "top")
         found = samples.join(top, "ctx", "left").withColumn("_hit", F.array_contains("top", F.col(key))).drop("top")
     return found.withColumn("flag", scored & ~(known & F.coalesce("_hit", F.lit(False)))).drop("_hit")
 
 
-def _hits_with_backoff(samples: DataFrame, scored: DataFrame, top: DataFrame, key: str, k: int) -> DataFrame:
+def filled_lists(model: DataFrame, k: int, width: int) -> DataFrame:
+    """(len, ctx, top): the top keys of every context, with those of its shorter suffixes in the places it leaves open.
+
+    Needs a model with all suffixes (``with_suffixes``, pruned by support or not). Contexts of one length are joined to the finished lists
+    of the next shorter one, so each context is moved twice in all.
+    """
+    lists = materialize(top_k_table(model, k).withColumn("len", F.size("ctx")), "top")
+    done = lists.filter("len = 0").select("len", "ctx", "top")
+    filled = [done]
+    for n in range(1, width + 1):
+        shorter = filled[-1].select(F.col("ctx").alias("_suffix"), F.col("top").alias("_more"))
+        own = lists.filter(F.col("len") == n).withColumn("_suffix", F.slice("ctx", 2, n - 1))
+        both = F.slice(F.array_distinct(F.concat("top", F.coalesce("_more", F.array().cast(lists.schema["top"].dataType)))), 1, k)
+        filled.append(materialize(own.join(shorter, "_suffix", "left").select("len", "ctx", both.alias("top")), "filled"))
+    out = filled[0]
+    for part in filled[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def suffix_hashes(width: int) -> Column:
+    """Hashes of the suffixes of ``ctx`` of length 0 to ``width``, each from the one before in one pass."""
+    ids = F.transform(F.reverse(F.coalesce("ctx", F.array())), lambda c: F.xxhash64(c))
+    start = F.array(F.lit(0).cast("long"))
+    step = lambda done, h: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), h)))
+    return F.aggregate(ids, start, step)
+
+
+def search_lengths(width: int) -> list[list[int]]:
+    """The lengths that a binary search over 0 to ``width`` asks for in each round; each length is asked in one round only."""
+    spans, rounds = [(0, width)], []
+    while spans := [s for s in spans if s[0] < s[1]]:
+        rounds.append([(a + b + 1) // 2 for a, b in spans])
+        spans = [half for a, b in spans for m in [(a + b + 1) // 2] for half in ((a, m - 1), (m, b))]
+    return rounds
+
+
+def longest_known(pairs: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """``pairs`` (with ``ctx`` of ``width`` keys) and ``_len``: the length of the longest suffix that ``known`` (len, ctx) holds.
+
+    If a context is known so are its suffixes; therefore a binary search finds the length with one row for each pair and
+    round, about log2(width) in all. A round joins on the hash of the middle suffix and on the suffix itself, and reads
+    only contexts of the lengths it asks for.
+    """
+    index = known.select(F.col("len").alias("_l"), F.col("ctx").alias("_c"), F.element_at(suffix_hashes(width), -1).alias("_h"))
+    out = pairs.withColumn("_hashes", suffix_hashes(width)).withColumn("_low", F.lit(0)).withColumn("_high", F.lit(width))
+    for lengths in search_lengths(width):
+        middle = F.floor((F.col("_low") + F.col("_high") + 1) / 2).cast("int")
+        searching = F.col("_low") < F.col("_high")
+        out = out.withColumn("_mid", F.when(searching, middle)).withColumn("_hash", F.get("_hashes", F.col("_mid")))
+        out = out.withColumn("_part", F.slice("ctx", F.lit(width) - F.col("_mid") + 1, F.col("_mid")))
+        asked = index.filter(F.col("_l").isin(lengths))
+        same = (F.col("_hash") == F.col("_h")) & (F.col("_mid") == F.col("_l")) & (F.col("_part") == F.col("_c"))
+        out = out.join(asked, same, "left").drop("_h", "_c")
+        found = F.col("_l").isNotNull()
+        out = out.withColumn("_low", F.when(found, F.col("_mid")).otherwise(F.col("_low"))).withColumn(
+            "_high", F.when(searching & ~found, F.col("_mid") - 1).otherwise(F.col("_high"))
+        )
+        out = out.drop("_l", "_mid", "_hash", "_part")
+    return out.withColumnRenamed("_low", "_len").drop("_high", "_hashes")
+
+
+def _hits_with_backoff(samples: DataFrame, scored: DataFrame, filled: DataFrame, key: str, width: int) -> DataFrame:
     # decided once per distinct (context, key); the suffixes never multiply the event rows
     pairs = scored.select("ctx", F.col(key).alias("_key")).distinct()
-    lengths = pairs.withColumn("_len", F.explode(F.sequence(F.lit(0), F.size("ctx")))).withColumn(
-        "_suffix", F.slice("ctx", F.size("ctx") - F.col("_len") + 1, F.col("_len"))
-    )
-    found = lengths.join(top.withColumnRenamed("ctx", "_suffix"), "_suffix")
-    # at most one short list per context length
-    lists = F.array_sort(F.collect_list(F.struct((-F.col("_len")).alias("l"), "top")))
-    ranked = F.slice(F.array_distinct(F.flatten(F.transform(lists, lambda e: e["top"]))), 1, k)
-    hits = found.groupBy("ctx", "_key").agg(F.array_contains(ranked, F.col("_key")).alias("_hit"))
-    flags = hits.select("ctx", F.col("_key").alias(key), "_hit")
-    return samples.join(flags, ["ctx", key], "left")
+    lengths = longest_known(pairs, filled.select("len", "ctx"), width)
+    lengths = lengths.withColumn("_suffix", F.slice("ctx", F.lit(width) - F.col("_len") + 1, F.col("_len")))
+    lists = filled.select(F.col("ctx").alias("_suffix"), "top")
+    hits = lengths.join(lists, "_suffix").withColumn("_hit", F.array_contains("top", F.col("_key")))
+    return samples.join(hits.select("ctx", F.col("_key").alias(key), "_hit"), ["ctx", key], "left")
+
+
+def longest_known_by_row(rows: DataFrame, model: DataFrame, width: int, k: int) -> DataFrame:
+    """``rows`` with ``top``, the filled list of the longest known suffix of ``ctx``: one lookup for each length, for streams."""
+    filled = materialize(filled_lists(model, k, width), "lists")
+    out, found = rows, []
+    for n in range(width, -1, -1):
+        lists = filled.filter(F.col("len") == n).select(F.col("ctx").alias(f"_c{n}"), F.col("top").alias(f"_t{n}"))
+        part = F.slice("ctx", F.size("ctx") - n + 1, n)
+        out = out.withColumn("_part", F.when(F.size("ctx") >= n, part)).join(lists, F.col("_part") == F.col(f"_c{n}"), "left")
+        found.append(f"_t{n}")
+    return out.select(*rows.columns, F.coalesce(*found).alias("top"))
 
 
 def with_all_rows(df: DataFrame, scored: DataFrame, session: Sequence[str], seq: str) -> DataFrame:
