@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqwarden.operators.windows import context_windows
-from seqwarden.plans.skew import KeyProfile, join_on
+from seqwarden.plans.skew import ROWS_PER_TASK, KeyProfile, hot_values, join_hot, join_on
 from seqwarden.session import materialize
 
 
@@ -97,6 +97,7 @@ def detect(
     profile: KeyProfile | None = None,
     num_keys: int | None = None,
     all_rows: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Scored rows (``seq >= width``) with ``flag``: the key is outside the top ``k``.
 
@@ -116,10 +117,11 @@ def detect(
             return samples.withColumn("flag", scored & ~known)
     # written once: training is not repeated, and Spark broadcasts the table only if its files are small
     if backoff:
-        found = _hits_with_backoff(samples, samples.filter(scored), filled_lists(model, k, width), key, width)
+        found = _hits_with_backoff(samples, samples.filter(scored), filled_lists(model, k, width), key, width, rows_per_task)
     else:
         top = materialize(top_k_table(model, k), "top")
-        found = samples.join(top, "ctx", "left").withColumn("_hit", F.array_contains("top", F.col(key))).drop("top")
+        hot = hot_values(samples.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n")), ["ctx"], rows_per_task=rows_per_task) if _may_be_hot(profile, rows_per_task) else None
+        found = join_hot(samples, top, ["ctx"], hot, "left").withColumn("_hit", F.array_contains("top", F.col(key))).drop("top")
     return found.withColumn("flag", scored & ~(known & F.coalesce("_hit", F.lit(False)))).drop("_hit")
 
 
@@ -185,14 +187,21 @@ def longest_known(pairs: DataFrame, known: DataFrame, width: int) -> DataFrame:
     return out.withColumnRenamed("_low", "_len").drop("_high", "_hashes")
 
 
-def _hits_with_backoff(samples: DataFrame, scored: DataFrame, filled: DataFrame, key: str, width: int) -> DataFrame:
+def _may_be_hot(profile: KeyProfile | None, rows_per_task: int) -> bool:
+    """A table that fits into one task has no hot value."""
+    return profile is None or profile.n_rows > rows_per_task
+
+
+def _hits_with_backoff(samples: DataFrame, scored: DataFrame, filled: DataFrame, key: str, width: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     # decided once per distinct (context, key); the suffixes never multiply the event rows
-    pairs = scored.select("ctx", F.col(key).alias("_key")).distinct()
+    sizes = materialize(scored.groupBy("ctx", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    pairs = sizes.select("ctx", "_key")
     lengths = longest_known(pairs, filled.select("len", "ctx"), width)
     lengths = lengths.withColumn("_suffix", F.slice("ctx", F.lit(width) - F.col("_len") + 1, F.col("_len")))
     lists = filled.select(F.col("ctx").alias("_suffix"), "top")
     hits = lengths.join(lists, "_suffix").withColumn("_hit", F.array_contains("top", F.col("_key")))
-    return samples.join(hits.select("ctx", F.col("_key").alias(key), "_hit"), ["ctx", key], "left")
+    hot = hot_values(sizes.select("ctx", F.col("_key").alias(key), "_n"), ["ctx", key], rows_per_task=rows_per_task)
+    return join_hot(samples, hits.select("ctx", F.col("_key").alias(key), "_hit"), ["ctx", key], hot, "left")
 
 
 def longest_known_by_row(rows: DataFrame, model: DataFrame, width: int, k: int) -> DataFrame:

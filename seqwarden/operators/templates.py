@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from seqwarden.fixed_values import DEPTH, MAX_CHILDREN, SIMILARITY, WILDCARD
 from seqwarden.functions.text import mask, same_positions, tokens
 from seqwarden.operators.leaves import Matches, changing_rows, fold_sorted
-from seqwarden.plans.skew import ROWS_PER_TASK, order_value, positions_overall
+from seqwarden.plans.skew import ROWS_PER_TASK, hot_values, join_hot, order_value, positions_overall
 from seqwarden.session import materialize
 
 CANDIDATES_PER_ROUND = 10_000
@@ -334,7 +334,8 @@ def _assignments(work: DataFrame, spec: MiningSpec, rows_per_task: int, batch: i
         parts.append(_fold_routes(work.join(fold, "_msg"), spec.threshold))
     if some.large:
         big = messages.filter(shared & large)
-        rows = work.join(big.select("_msg", "_leaf"), "_msg")
+        hot = hot_values(big, ["_msg"], rows_per_task=rows_per_task)
+        rows = join_hot(work, big.select("_msg", "_leaf"), ["_msg"], hot)
         parts.append(_solve_large_routes(rows, big, spec.threshold, batch))
     out = parts[0]
     for part in parts[1:]:
@@ -390,10 +391,10 @@ def mine_templates(
         assigned.join(numbered.select("_cluster", "key"), "_cluster").select("_msg", "_from", "_to", "key"), "lookup"
     )
     filled = work.filter(F.col("_msg") != "")
-    inside = (filled["_pos"] >= lookup["_from"]) & (lookup["_to"].isNull() | (filled["_pos"] < lookup["_to"]))
-    keyed = filled.join(lookup, (filled["_msg"] == lookup["_msg"]) & inside).select(
-        *[filled[c] for c in df.columns], lookup["key"]
-    )
+    inside = (F.col("_pos") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_pos") < F.col("_to")))
+    hot = hot_values(assigned, ["_msg"], rows_per_task=rows_per_task)
+    lookup = lookup.withColumnRenamed("key", "_key")
+    keyed = join_hot(filled, lookup, ["_msg"], hot).filter(inside).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_key").alias("key"))
     blanks = work.filter(F.col("_msg") == "")
     if not mint_empty:
         blanks = blanks.select(*df.columns, F.lit(UNKNOWN_KEY).cast("long").alias("key"))
@@ -452,7 +453,7 @@ def _decided(best: Column, threshold: float) -> Column:
 
 
 def apply_templates(
-    df: DataFrame, message: str, templates: DataFrame, spec: MiningSpec = MiningSpec(), masked: bool = True
+    df: DataFrame, message: str, templates: DataFrame, spec: MiningSpec = MiningSpec(), masked: bool = True, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Key of the best template of a frozen vocabulary, or -1; no template changes.
 
@@ -463,11 +464,12 @@ def apply_templates(
     rows = with_message(df, message, masked)
     if df.isStreaming:
         return _applied_by_row(rows, own, templates, spec)
-    routed = _follow(rows.select("_msg").distinct(), templates, spec.depth)
+    messages = materialize(rows.groupBy("_msg").agg(F.count(F.lit(1)).alias("_n")), "messages")
+    routed = _follow(messages.select("_msg"), templates, spec.depth)
     compared = routed.join(templates.select("route", "key", F.col("tokens").alias("_tokens")), F.col("_at") == F.col("route"))
     best = compared.groupBy("_msg").agg(F.max(_score("_tokens")).alias("_best"))
     known = materialize(best.select("_msg", _decided(F.col("_best"), spec.threshold)).filter(F.col("key") != UNKNOWN_KEY), "decided")
-    out = rows.join(known.withColumnRenamed("key", "_key"), "_msg", "left")
+    out = join_hot(rows, known.withColumnRenamed("key", "_key"), ["_msg"], hot_values(messages, ["_msg"], rows_per_task=rows_per_task), "left")
     return out.select(*own, F.coalesce("_key", F.lit(UNKNOWN_KEY)).cast("long").alias("key"))
 
 

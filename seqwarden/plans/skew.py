@@ -110,6 +110,41 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, on, how).drop(*theirs.values())
 
 
+def hot_values(counts: DataFrame, keys: Sequence[str], n: str = "_n", rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """(keys, _salts) of the values with more rows than a task should hold, or None. ``counts`` has one row per value, or several to be added.
+
+    At most ``BROADCAST_ROWS`` values are hot, since each holds at least that share of all rows.
+    """
+    sizes = counts.groupBy(*keys).agg(F.sum(n).alias("_rows"))
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"), F.coalesce(F.max("_rows"), F.lit(0)).alias("most")).first()
+    if total.most <= rows_per_task:
+        return None
+    share = max(rows_per_task, -(-total.all // BROADCAST_ROWS))
+    return materialize(sizes.filter(F.col("_rows") > share).select(*keys, F.ceil(F.col("_rows") / F.lit(share)).cast("int").alias("_salts")), "salts")
+
+
+def with_salt(big: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Deals the rows of hot values to ``_salt`` 0 to n - 1 by a hash of all their columns; a retried task deals them alike."""
+    salts = join_on(big, F.broadcast(hot), keys, "left")
+    dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.coalesce("_salts", F.lit(1))).cast("int")
+    return salts.withColumn("_salt", dealt).drop("_salts")
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: Sequence[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small`` on ``keys``; rows of a hot value are spread over tasks and its partners copied to each.
+
+    Only for inner and left joins, in which a row of ``big`` finds its partners wherever it lies. Rows of ``big`` that are
+    equal in all columns stay together. The result has the columns of ``big`` and the others of ``small``.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left joins can be spread")
+    if hot is None:
+        return join_on(big, small, keys, how)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")
+    partners = join_on(small, F.broadcast(hot), keys, "left").select(*small.columns, copies)
+    return join_on(with_salt(big, keys, hot), partners, [*keys, "_salt"], how).drop("_salt")
+
+
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], profile: KeyProfile) -> DataFrame:
     """Add ``_chunk``: 0 for ordinary keys, an order-preserving piece for hot ones."""
     hot = profile.hot.select(*keys)
