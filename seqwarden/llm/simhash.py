@@ -18,10 +18,6 @@ MAX_BITS = 2
 SEED = 42
 SEGMENTS = 16  # of 4 bits each
 STRIP = 1 << 16  # shingles whose bits are spread out at once
-NEAR_WORDS = 5  # shingles of the near-duplicate stage
-NEAR_SIMILARITY = 0.8  # its least Jaccard similarity
-SLOTS = 1 << 20  # of the table of how common shingles are
-COUNTED = 8  # one in so many sets is counted for it; it only orders shingles
 
 
 def fingerprint(text: bytes | None, width: int = WORDS) -> int:
@@ -140,150 +136,13 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     best_of = rows.groupBy("fp").agg(first)
     kept = best_of.join(_components(rows, max_bits), "fp").groupBy("component").agg(F.min("first").alias("first"))
-    return _kept_rows(docs, kept, doc_id, text)
+    return kept_rows(docs, kept, doc_id, text)
 
 
-def _kept_rows(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+def kept_rows(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row of ``docs`` for each distinct id and text hash in ``kept.first``."""
     kept = materialize(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_of")).distinct(), "kept")
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"))
     same = named.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
     best = same.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_hash")))
     return best.filter("_n = 1").select("_row.*")
-
-
-def shingles(text: bytes | None, width: int = NEAR_WORDS) -> np.ndarray:
-    """The distinct hashes of the text's shingles, sorted; a text of fewer words is one shingle, one without words none."""
-    words = (text or b"").lower().split()
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)) if words else ends
-    last = min(len(words), max(1, len(words) - width + 1))
-    begin, end, digest = starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist() if words else [], xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(begin, end, strict=True)), np.uint64, last)).view(np.int64)
-
-
-def _set_key(found: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
-
-
-def _slots(found: np.ndarray) -> np.ndarray:
-    return found & (SLOTS - 1)
-
-
-def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, text_hash, key, slot, n): the key of each row's set of shingles and, in rows with a slot, how common shingles are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, common = ["doc_id", "text_hash", "key", "slot", "n"], np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            keys = []
-            for x in batch.column(1):
-                found = shingles(x.as_py(), width)
-                keys.append(_set_key(found))
-                if keys[-1] % COUNTED == 0:
-                    np.add.at(common, _slots(found), 1)
-            none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), none, none], names)
-        used = np.nonzero(common)[0]
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used), pa.array(common[used])], names)
-
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h"))
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, key long, slot long, n long")
-
-
-def _prefixes(docs: DataFrame, text: str, width: int, similarity: float, levels: np.ndarray) -> DataFrame:
-    """(shingle, key, n): of each set of n shingles the rarest, so many that two sets of that similarity share one of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = shared.value, set()
-        for batch in batches:
-            parts, keys, sizes = [], [], []
-            for x in batch.column(0):
-                found = shingles(x.as_py(), width)
-                key = _set_key(found)
-                if key not in seen and len(found):
-                    seen.add(key)
-                    take = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
-                    # one order for all sets: by level, then by hash, in which ``found`` is sorted
-                    parts.append(found[np.argsort(level[_slots(found)], kind="stable")[:take]])
-                    keys.append(np.full(len(parts[-1]), key))
-                    sizes.append(np.full(len(parts[-1]), len(found)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (parts, keys, sizes)], ["shingle", "key", "n"])
-
-    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "shingle long, key long, n long")
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets have at least the Jaccard similarity, computed on the whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "s"])
-
-    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    asked = materialize(asked.join(classes, "key").select("key", F.col("text_hash").alias("_h")), "asked")
-    texts = docs.select(F.xxhash64(text).alias("_h"), F.col(text).cast("binary").alias("t")).join(asked, "_h").select("key", "t")
-    sets = materialize(texts.dropDuplicates(["key"]).mapInArrow(run, "key long, s array<long>"), "sets")
-    a, b = sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    enough = both * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-6
-    return materialize(pairs.join(a, "a").join(b, "b").filter(enough).select("a", "b"), "similar")
-
-
-def _near_components(docs: DataFrame, rows: DataFrame, levels: np.ndarray, text: str, width: int, similarity: float) -> DataFrame:
-    """(key, component) of all sets that are linked to another one; every pair of at least the similarity is linked.
-
-    Two such sets share one of their rarest shingles, so sets meet by shingle. First each set is compared with the one
-    that it follows in most meetings; then, where sets of several components meet, with all sets of the other components.
-    """
-    classes = materialize(rows.groupBy("key").agg(F.min("text_hash").alias("text_hash")), "classes")
-    dealt = _prefixes(docs, text, width, similarity, levels).repartition("shingle").dropDuplicates(["shingle", "key"])
-    next_one = Window.partitionBy("shingle").orderBy("n", "key")
-    met = dealt.withColumn("before", F.lag(F.struct("n", "key")).over(next_one)).withColumn("after", F.lead("key").over(next_one))
-    met = materialize(met.filter("before IS NOT NULL OR after IS NOT NULL").drop("after"), "meetings")
-    steps = met.filter(F.col("before.n") >= F.col("n") * similarity - 1e-6)
-    steps = steps.groupBy("key", F.col("before.key").alias("other")).count()
-    # of each set the neighbour met most often; the others are compared below unless they are linked by then
-    steps = steps.groupBy("key").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-    steps = materialize(steps.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "steps")
-    links = _similar(steps, docs, classes, text, width, similarity)
-    first = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "first")
-    named = met.drop("before").join(first, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    several = Window.partitionBy("shingle")
-    mixed = named.withColumn("least", F.min("component").over(several)).withColumn("most", F.max("component").over(several))
-    mixed = materialize(mixed.filter("least < most").drop("least", "most"), "mixed")
-    x, y = (mixed.select("shingle", *[F.col(c).alias(c + side) for c in ("key", "n", "component")]) for side in "xy")
-    other = (F.col("keyx") < F.col("keyy")) & (F.col("componentx") != F.col("componenty"))
-    sized = F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity - 1e-6
-    rest = x.join(y, "shingle").filter(other & sized).select(F.col("keyx").alias("a"), F.col("keyy").alias("b")).distinct()
-    rest = materialize(rest.join(steps, ["a", "b"], "left_anti"), "rest")
-    more = _similar(rest, docs, classes, text, width, similarity)
-    return connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "key")
-
-
-def drop_similar(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY
-) -> DataFrame:
-    """One row of each group of texts that links of at least the Jaccard similarity of shingles reach, with all columns.
-
-    Segment popcounts cannot bound this: at a similarity of 0.8 about 10 and up to 20 of 64 bits differ, and so far apart are
-    the popcounts of unrelated texts too. Candidates meet by their rarest shingles instead, which misses no pair, and the whole
-    sets decide. The row kept is chosen as in ``drop_near_duplicates``; texts with equal sets, or without words, are copies.
-    """
-    found = materialize(_sets(docs, doc_id, text, width), "sets")
-    rows, levels = found.filter("slot IS NULL").drop("slot", "n"), np.zeros(SLOTS, np.uint8)
-    counted = found.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n"))
-    usual = (found.filter("slot IS NOT NULL").agg(F.sum("n")).first()[0] or 0) / SLOTS
-    # at most a quarter of the slots are so much more common than usual; the others keep level 0
-    common = counted.filter(F.col("n") > 4 * usual + 4).toArrow()
-    levels[common["slot"].to_numpy()] = np.log2(common["n"].to_numpy().astype(np.float64)).astype(np.uint8)
-    components = materialize(_near_components(docs, rows, levels, text, width, similarity), "components")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    best_of = rows.groupBy("key").agg(first).join(components, "key", "left")
-    kept = best_of.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
-    return _kept_rows(docs, kept, doc_id, text)
