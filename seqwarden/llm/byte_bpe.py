@@ -18,18 +18,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqwarden.llm.batches import bounded
 
-LEAF_BYTES = 8  # a piece up to this long is merged at once
+LEAF_BYTES = 16  # a piece up to this long is merged at once
 LEAF_CHARS = 1 << 15  # of a text
 LEAF_IDS = 1 << 12  # decoded at once
 SCAN = 64  # bytes up to which the lowest rank is found by a scan, beyond by a heap
 WINDOW = 2  # ids of either side that are first encoded anew
-REMEMBERED = 200_000  # pieces of a worker
+REMEMBERED = 400_000  # pieces of a worker
 CUT = regex.compile(r"(?<=\S) (?=\S)")  # between such characters every match of the pattern ends before the blank
 
 
@@ -182,7 +183,10 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                decoded = [None if (ids := x.as_py()) is None else coder.decode(ids) for x in part.column(1)]
+                known = part.column(1).is_valid().to_pylist()
+                sizes = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
+                flat, ends = part.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes).tolist()
+                decoded = [coder.decode(flat[b - n : b].tolist()) if there else None for b, n, there in zip(ends, sizes.tolist(), known, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
