@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from seqwarden.catalog import Query
 from seqwarden.catalog.records import EV, IS_NOISE, raw_events
 from seqwarden.catalog.templates import TOK, VOCAB
 from seqwarden.fixed_values import UNKNOWN_SESSION
+from seqwarden.functions.variant import field
 from seqwarden.operators import prepare
 from seqwarden.plans import flow
+from seqwarden.session import materialize, scratch_dir
+from seqwarden.sources import json_events
 
 WIDTH = 2
 # test users are named by type alone, so that no event is in both splits
@@ -61,7 +66,75 @@ FROM win w LEFT JOIN best b2 ON b2.len = 2 AND b2.ctx = c1 || ',' || c2
 LEFT JOIN best b1 ON b1.len = 1 AND b1.ctx = CAST(c2 AS VARCHAR) LEFT JOIN best b0 ON b0.len = 0
 WHERE w.role = 'test'"""
 
+def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on the flow's own tables in input order: sessions are whole, but times fall between sessions, and noise was kept."""
+    events = raw_events(spark, sf_dir).withColumn("source_file", F.lit("events"))
+    train, test = flow.session_tables(flow.flat_events(events), SPLIT, noise=None, by_time=False)
+    return flow.validate(train, test, SPLIT, block_rows=500, by_time=False).select("split", "check", "passed", "n_bad")
+
+
+PARTS = SESSIONS.replace(f" AND NOT {IS_NOISE}", "").replace("min((ts, ordinal))", "min(ordinal)").replace("ORDER BY ts, ordinal", "ORDER BY ordinal")
+Q41 = f"""WITH {EV}, {PARTS},
+falls AS (SELECT role, session_id, ts < lag(ts) OVER (PARTITION BY role ORDER BY session_id, seq) AS f,
+  ts < lag(ts) OVER (PARTITION BY role, session_id ORDER BY seq) AS own FROM pos),
+bad AS (SELECT role, session_id, bool_or(own) AS b FROM falls GROUP BY 1, 2),
+noise AS (SELECT role, count(*) FILTER (WHERE regexp_matches(user_agent, 'CloudMapper', 'i')) + count(*) FILTER (WHERE regexp_matches(user_agent, 'boto3', 'i'))
+  + count(*) FILTER (WHERE regexp_matches(invoked_by, 'amazonaws.com', 'i')) AS n FROM pos GROUP BY 1),
+r AS (SELECT role AS split, 'temporal order' AS "check", count(*) FILTER (WHERE f) AS n_bad FROM falls GROUP BY 1
+  UNION ALL SELECT role, 'session integrity', count(*) FILTER (WHERE b) FROM bad GROUP BY 1
+  UNION ALL SELECT role, 'noise filter', n FROM noise
+  UNION ALL SELECT role, c, 0 FROM (SELECT DISTINCT role FROM pos), (VALUES ('tabular structure'), ('null handling')) t(c)
+  UNION ALL SELECT role, role || ' split', 0 FROM (SELECT DISTINCT role FROM pos))
+SELECT split, "check", n_bad = 0 AS passed, CAST(n_bad AS BIGINT) AS n_bad FROM r"""
+
+
+def q41b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on the flow's tables by time, all of which pass; rows that are numbered by their place in the output."""
+    results = flow.validate(*_sessions(spark, sf_dir), SPLIT, block_rows=500)
+    return results.select("split", "check", "passed", "n_bad")
+
+
+Q41B = f"""WITH {EV}, {SESSIONS},
+falls AS (SELECT role, ts < lag(ts) OVER (PARTITION BY role ORDER BY ts, session_id, seq) AS f FROM pos),
+r AS (SELECT role AS split, 'temporal order' AS "check", count(*) FILTER (WHERE f) AS n_bad FROM falls GROUP BY 1
+  UNION ALL SELECT role, 'noise filter', count(*) FILTER (WHERE {IS_NOISE}) FROM pos GROUP BY 1
+  UNION ALL SELECT role, c, 0 FROM (SELECT DISTINCT role FROM pos), (VALUES ('tabular structure'), ('null handling'), ('session integrity')) t(c)
+  UNION ALL SELECT role, role || ' split', 0 FROM (SELECT DISTINCT role FROM pos))
+SELECT split, "check", n_bad = 0 AS passed, CAST(n_bad AS BIGINT) AS n_bad FROM r"""
+
+
+def q41c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stages, observed by the jobs that store the sessions."""
+    counts = flow.StageCounts()
+    events = raw_events(spark, sf_dir).withColumn("source_file", F.lit("events"))
+    for table in flow.session_tables(counts.watch(flow.flat_events(events), "flat"), SPLIT, counts=counts):
+        materialize(table.select("session_id", "seq"), "sessions")
+    return counts.table(spark)
+
+
+Q41C = f"""WITH {EV}, p AS (SELECT *, CASE WHEN user_type = 'Root' THEN 'train' WHEN user_type = 'AssumedRole' THEN 'test' END AS role FROM ev)
+SELECT 'flat' AS stage, count(*) AS n FROM ev UNION ALL SELECT role, count(*) FROM p WHERE role IS NOT NULL GROUP BY 1
+UNION ALL SELECT role || ' without noise', count(*) FROM p WHERE role IS NOT NULL AND NOT {IS_NOISE} GROUP BY role"""
+
+
+def q41d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The output order of the training sessions: written in order, read back and numbered by place in the files."""
+    path = f"{scratch_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    ordered = flow.for_export(_sessions(spark, sf_dir)[0]).select("eventID", "session_id", "seq")
+    ordered.select(F.to_json(F.struct("eventID", "session_id", "seq")).alias("value")).write.text(path)
+    read = json_events.with_row_numbers(json_events.read_jsonl(spark, path))
+    names = {"eventID": "bigint", "session_id": "bigint", "seq": "bigint"}
+    return read.select(*[field("raw", [n], kind=t).alias(n) for n, t in names.items()], "row")
+
+
+Q41D = f"""WITH {EV}, {SESSIONS} SELECT ordinal AS "eventID", CAST(session_id AS BIGINT) AS session_id, CAST(seq AS BIGINT) AS seq,
+row_number() OVER (ORDER BY ts, session_id, seq) - 1 AS row FROM pos WHERE role = 'train'"""
+
 QUERIES = [
+    Query("q41_flow_checks", q41b, Q41B),
+    Query("q41_flow_checks_input_order", q41, Q41),
+    Query("q41_observed_counts", q41c, Q41C),
+    Query("q41_output_order", q41d, Q41D),
     Query("q39_flow_sessions", q39, Q39),
     Query("q39_flow_flags", q39b, Q39B),
 ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqwarden.adapter import AUDIT_COLUMNS, audit_events, audit_sql, table
 from seqwarden.catalog import Query
 from seqwarden.fixed_values import KEEP_LIST_COLUMNS
+from seqwarden.functions.variant import field
 from seqwarden.operators import flatten as fl
 from seqwarden.operators import prepare
 from seqwarden.plans.skew import spread
@@ -192,8 +193,6 @@ def _folder(spark: SparkSession, label: str) -> str:
 
 
 def _fields(events: DataFrame) -> DataFrame:
-    from seqwarden.functions.variant import field
-
     return events.select(
         field("raw", ["eventID"], kind="bigint").alias("ordinal"),
         field("raw", ["eventName"]).alias("event_name"),
@@ -217,6 +216,18 @@ def q32(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q32 = f"WITH {EV} {FIELDS}"
 
 
+def q32c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged by the text of the time, missing first: the order of the written lines is the result."""
+    path = _folder(spark, "merged")
+    timed = nested_json(spread(audit_events(spark, sf_dir).withColumn("ts", F.when(F.col("ordinal") % 13 != 0, F.col("ts")))))
+    raw = timed.select(F.lit("events").alias("source_file"), "ordinal", F.parse_json("value").alias("raw"))
+    json_events.write_jsonl(json_events.merged_by_time(raw), path)
+    return json_events.with_row_numbers(json_events.read_jsonl(spark, path)).select(field("raw", ["eventID"], kind="bigint").alias("ordinal"), "row")
+
+
+Q32C = f"""WITH {EV} SELECT ordinal, row_number() OVER (ORDER BY CASE WHEN ordinal % 13 <> 0 THEN ts END NULLS FIRST, ordinal) - 1 AS row FROM ev"""
+
+
 def q32b(spark: SparkSession, sf_dir: str) -> DataFrame:
     # every event line is followed by a blank one; both are written, only events are counted
     path = _folder(spark, "lines")
@@ -296,6 +307,7 @@ QUERIES = [
     Query("q24_leakage", q24, Q24),
     Query("q32_jsonl_roundtrip", q32, Q32),
     Query("q32_count_lines", q32b, Q32B),
+    Query("q32_merged_order", q32c, Q32C),
     Query("q33_source_formats", q33, Q33),
     Query("q34_schema_align", q34, Q34),
     Query("q35_table_roundtrip", q35, Q35),

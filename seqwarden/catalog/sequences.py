@@ -85,6 +85,16 @@ SELECT CAST(dense_rank() OVER (ORDER BY ft, fo) - 1 AS BIGINT) AS session_id,
        CAST(pos AS BIGINT) AS seq, ordinal FROM f"""
 
 
+def q01b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """None of the key columns is there: one session over all events, cut into pieces of bounded size."""
+    df = audit_events(spark, sf_dir, "ordinal", "ts")
+    out = sessions.assign_sessions(df, ["absent_column", "another_one"], ORDER, "session_id", "seq", rows_per_task=300)
+    return out.select("session_id", "seq", "ordinal")
+
+
+Q01B = f"""WITH {EV} SELECT CAST(0 AS BIGINT) AS session_id, row_number() OVER (ORDER BY ts, ordinal) - 1 AS seq, ordinal FROM ev"""
+
+
 def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = audit_events(spark, sf_dir, "ts", "source_ip", "user_arn")
     return sessions.summarize_sessions(df, ["source_ip", "user_arn"], "ts")
@@ -302,6 +312,7 @@ LEFT JOIN r ON r.c3 = w.c3 AND r.key = w.key AND r.rank <= 2 WHERE w.split = 'te
 
 QUERIES = [
     Query("q01_sessionize", q01, Q01),
+    Query("q01_no_session_keys", q01b, Q01B),
     Query("q02_session_summary", q02, Q02),
     Query("q02_session_totals", q02b, Q02B),
     Query("q05_sliding_windows", q05, Q05),

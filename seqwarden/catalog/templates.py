@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqwarden.adapter import audit_events, table
 from seqwarden.catalog import Query
 from seqwarden.catalog.sequences import EV, ORDER, SESSION
 from seqwarden.fixed_values import MASK_PATTERNS
-from seqwarden.functions.text import log_string, mask, tokens
+from seqwarden.functions.text import generalize, log_string, mask, pick, seconds_between, tokens, utc_time
 from seqwarden.operators import sessions
 from seqwarden.operators import templates as tm
 from seqwarden.plans.skew import profile_keys, spread
@@ -125,6 +125,27 @@ x AS (SELECT lf0.ordinal, v.key, list_sum(list_transform(list_zip(string_split(v
   FROM lf0 LEFT JOIN v USING (leaf) WHERE lf0.split = 'test')
 SELECT ordinal, CAST(CASE WHEN sim >= 0.4 THEN key ELSE -1 END AS BIGINT) AS key FROM x"""
 
+def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event against the one before it in its session: what both share, the third token or N/A, seconds between, and times that may not parse."""
+    df = positioned_logs(spark, sf_dir)
+    window = Window.partitionBy(*SESSION).orderBy("seq")
+    own = tokens("message")
+    before = F.lag(own).over(window)
+    text = F.when(F.col("ordinal") % 5 == 0, F.lit("no time")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    rows = df.select("ordinal", own.alias("t"), before.alias("b"), F.col("ts").cast("timestamp").alias("ts"), F.lag(F.col("ts").cast("timestamp")).over(window).alias("p"), utc_time(text, strict=False).alias("read"))
+    shared = F.when(F.size("t") == F.size("b"), F.array_join(generalize("b", "t"), " "))
+    return rows.select(
+        "ordinal", shared.alias("shared"), pick("t", 3, "N/A").alias("fourth"), F.round(seconds_between("ts", "p"), 6).alias("seconds"),
+        F.col("read").isNotNull().alias("parsed"),
+    )
+
+
+Q43 = f"""WITH {EV}, t AS (SELECT ordinal, user_id, ts, seq, {split_sql(LOG)} AS t FROM ev),
+w AS (SELECT *, lag(t) OVER s AS b, lag(ts) OVER s AS p FROM t WINDOW s AS (PARTITION BY user_id ORDER BY seq))
+SELECT ordinal, CASE WHEN len(t) = len(b) THEN array_to_string(list_transform(b, lambda x, i: CASE WHEN x = t[i] THEN x ELSE '<*>' END), ' ') END AS shared,
+  coalesce(t[4], 'N/A') AS fourth, round((epoch_us(ts) - epoch_us(p)) / 1e6, 6) AS seconds, ordinal % 5 <> 0 AS parsed FROM w"""
+
+
 CLUSTERED = tm.MiningSpec(depth=2, threshold=0.6, max_children=2)
 
 
@@ -164,4 +185,5 @@ QUERIES = [
     Query("q16_templates_general", q16),
     Query("q17_apply_frozen", q17, Q17),
     Query("q40_template_clusters", q40, Q40),
+    Query("q43_message_changes", q43, Q43),
 ]

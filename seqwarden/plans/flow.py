@@ -7,16 +7,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqwarden.fixed_values import SESSION_KEYS, TOP_K, WINDOW_WIDTH
 from seqwarden.functions.text import log_string
 from seqwarden.operators import flatten as fl
 from seqwarden.operators import incidents as inc
-from seqwarden.operators import model, prepare, sessions, windows
+from seqwarden.operators import model, prepare, quality, sessions, windows
 from seqwarden.operators import templates as tm
-from seqwarden.plans.skew import ROWS_PER_TASK, profile_keys
+from seqwarden.plans.skew import ROWS_PER_TASK, positions_overall, profile_keys
 from seqwarden.session import materialize
 from seqwarden.sources.tables import fingerprint, load_model, require_same_vocabulary, save_model
 
@@ -38,19 +38,73 @@ def flat_events(events: DataFrame) -> DataFrame:
     return prepare.with_time(fl.unnest_lists(fl.with_required(flat.select(*PLACE, *kept))))
 
 
+class StageCounts:
+    """Rows of each stage, counted by the first job that runs the stage anyway; no scan of its own."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, stage: str) -> DataFrame:
+        self.seen[stage] = Observation(stage)
+        return df.observe(self.seen[stage], F.count(F.lit(1)).alias("n"))
+
+    def rows(self) -> dict[str, int]:
+        """Waits for a stage whose job has not run yet, so ask after the result was stored."""
+        return {stage: seen.get["n"] for stage, seen in self.seen.items()}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(sorted(self.rows().items()), "stage string, n long")
+
+
 def session_tables(
     flat: DataFrame,
     split: prepare.SplitSpec = prepare.SplitSpec(),
-    noise: prepare.NoiseSpec = prepare.NoiseSpec(),
+    noise: prepare.NoiseSpec | None = prepare.NoiseSpec(),
     rows_per_task: int = ROWS_PER_TASK,
+    by_time: bool = True,
+    counts: StageCounts | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and test events without noise, numbered by session; ids start at 0 in each."""
-    order = ["eventTime", *PLACE]
-    train, test = (
-        sessions.assign_sessions(prepare.drop_noise(part, noise), KEYS, order, rows_per_task=rows_per_task)
-        for part in prepare.split_train_test(flat, split)
-    )
-    return train, test
+    """Training and test events without noise, numbered by session; ids start at 0 in each.
+
+    ``by_time=False`` takes events in the order of the input; without ``noise`` all events stay. With ``counts`` the rows of both parts
+    are counted before and after noise is removed.
+    """
+    order = ["eventTime", *PLACE] if by_time else [*PLACE]
+    tables = []
+    for name, part in zip(("train", "test"), prepare.split_train_test(flat, split)):
+        part = counts.watch(part, name) if counts else part
+        part = part if noise is None else prepare.drop_noise(part, noise)
+        part = counts.watch(part, f"{name} without noise") if counts else part
+        tables.append(sessions.assign_sessions(part, KEYS, order, rows_per_task=rows_per_task))
+    return tables[0], tables[1]
+
+
+def numbered(table: DataFrame, by_time: bool = True, out: str = "row") -> DataFrame:
+    """A session table with the 0-based number of each row in output order: by time, or by session as read in input order."""
+    order = ["eventTime", "session_id", "seq"] if by_time else ["session_id", "seq"]
+    return positions_overall(table, order, out)
+
+
+def validate(
+    train: DataFrame,
+    test: DataFrame,
+    split: prepare.SplitSpec = prepare.SplitSpec(),
+    noise: prepare.NoiseSpec = prepare.NoiseSpec(),
+    block_rows: int = quality.BLOCK_ROWS,
+    by_time: bool = True,
+) -> DataFrame:
+    """(split, check, passed, n_bad, detail) of both session tables as they would be exported: shared checks and the split's own rule."""
+    cols = quality.Columns(ordinal="row")
+    shared = quality.shared_checks(cols, noise, block_rows)
+    results = []
+    for name, table, own in (
+        ("train", train, lambda df: quality.check_train_split(df, split, cols)),
+        ("test", test, lambda df: quality.check_test_split(df, split, cols)),
+    ):
+        # filled with the sentinel as on export; written once, and each check reads only its columns
+        stored = materialize(prepare.fill_missing(numbered(table, by_time).drop(*PLACE), keep=("session_id", "seq", "row")), "checked")
+        results.append(quality.run_checks(stored, [*shared, own], name))
+    return results[0].unionByName(results[1])
 
 
 def for_export(table: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Every scan returns ``source_file``, ``ordinal`` and ``raw`` (VARIANT). The pair
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqwarden.functions.variant import field
@@ -46,6 +46,21 @@ def read_jsonl(spark: SparkSession, path: str, bad_lines: str = "fail", glob: st
     raise ValueError(f"bad_lines must be 'fail' or 'null', got {bad_lines!r}")
 
 
+def with_row_numbers(events: DataFrame, out: str = "row") -> DataFrame:
+    """Adds the 0-based number of each row in input order, over all files in the order of their names.
+
+    Rows are counted for each file block; numbers inside a block are shifted by the rows of the blocks before it. So no window
+    spans more than one block of a file, and the table of blocks is small.
+    """
+    at = {"_file": F.col("source_file"), "_block": F.col("ordinal.block")}
+    sizes = events.select(*[c.alias(n) for n, c in at.items()]).groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(sizes.select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "blocks")
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("ordinal"))
+    numbered = events.withColumns(at).withColumn("_inside", inside).join(starts, [*at])
+    return numbered.select(*events.columns, (F.col("_start") + F.col("_inside") - 1).alias(out))
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     """Non-blank lines of a line file."""
     return spark.read.text(path).filter(not_blank(F.col("value"))).count()
