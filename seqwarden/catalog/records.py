@@ -262,6 +262,18 @@ def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q33 = Q32
 
 
+def q33b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes and arrays of some thousand events each over many lines, read in pieces."""
+    files = nested_json(audit_events(spark, sf_dir)).withColumn("_file", F.floor(F.col("ordinal") / 2500))
+    body = F.array_join(F.array_sort(F.collect_list("value")), ",\n  ")
+    whole = files.groupBy("_file").agg(body.alias("body")).select(
+        F.when(F.col("_file") % 2 == 0, F.concat(F.lit('{"Records": [\n'), "body", F.lit("\n]}"))).otherwise(F.concat(F.lit("[\n"), "body", F.lit("\n]"))).alias("value")
+    )
+    path = _folder(spark, "pieces")
+    whole.repartition(F.col("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return _fields(json_events.read_events(spark, path, "auto", glob="*.txt"))
+
+
 def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = audit_events(spark, sf_dir, "ordinal", "ts", "event_name", "user_name", "value")
     first = fl.prefix_rows(df, ["ts", "ordinal"], 500).select("ordinal", "event_name")
@@ -309,6 +321,7 @@ QUERIES = [
     Query("q32_count_lines", q32b, Q32B),
     Query("q32_merged_order", q32c, Q32C),
     Query("q33_source_formats", q33, Q33),
+    Query("q33_pieces", q33b, Q32),
     Query("q34_schema_align", q34, Q34),
     Query("q35_table_roundtrip", q35, Q35),
 ]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqwarden.functions.variant import field
 from seqwarden.session import materialize
+from seqwarden.sources.json_pieces import scan_elements
 
 BLANK_FREE = r"(?U)[^\s\x1c-\x1f]"
 
@@ -66,31 +67,18 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).filter(not_blank(F.col("value"))).count()
 
 
-def _whole_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    files = _reader(spark, glob).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("source_file"), "value", "_metadata.file_size")
-
-
-def _exploded(files: DataFrame, items: Column) -> DataFrame:
-    rows = files.select("source_file", F.posexplode(items).alias("_pos", "raw"))
-    ordinal = F.struct(F.lit(0).cast("long").alias("block"), F.col("_pos").cast("long").alias("line"))
-    return rows.select("source_file", ordinal.alias("ordinal"), "raw")
+def _parsed(elements: DataFrame) -> DataFrame:
+    return elements.select("source_file", "ordinal", F.parse_json("value").alias("raw"))
 
 
 def read_envelopes(spark: SparkSession, path: str, glob: str | None = "*.json") -> DataFrame:
-    """``{"Records": [...]}`` files; a file without the key has no events.
-
-    JSON of this form cannot be split, so one file is one row: log services write such
-    files in pieces of some MB. Larger inputs must come as line files.
-    """
-    files = _whole_files(spark, path, glob).withColumn("raw", F.parse_json("value"))
-    return _exploded(files, field("raw", ["Records"], kind="array<variant>"))
+    """``{"Records": [...]}`` files of any size and in any number of lines, read in pieces; a file without the key has no events."""
+    return _parsed(scan_elements(spark, path, glob, "envelope"))
 
 
 def read_arrays(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files that are one top-level array."""
-    files = _whole_files(spark, path, glob).withColumn("raw", F.parse_json("value"))
-    return _exploded(files, field("raw", [], kind="array<variant>"))
+    """Files that are one top-level array of objects, read in pieces."""
+    return _parsed(scan_elements(spark, path, glob, "array"))
 
 
 def _items(text: Column) -> Column:
@@ -108,8 +96,8 @@ def read_events(spark: SparkSession, path: str, form: str = "auto", glob: str |
 
     ``auto`` looks at the first line of each file. If it is a JSON text of its own, the file
     is read by lines, splittably, and each line is an event, an envelope or an array; else the file is one
-    JSON text over several lines and is read whole. The size of a file decides nothing. A text
-    that is no JSON is an error.
+    JSON text over several lines and is read in pieces. The size of a file decides nothing. A text
+    that is no JSON is an error. A very long single line is read by many tasks with ``envelope`` or ``array``.
     """
     if form == "jsonl":
         return read_jsonl(spark, path, glob=glob)
@@ -125,8 +113,10 @@ def read_events(spark: SparkSession, path: str, form: str = "auto", glob: str |
     by_line = lines.join(spread, "source_file", "left_anti").select(
         "source_file", F.col("ordinal.block").alias("block"), F.col("ordinal.line").alias("line"), F.posexplode(_items(F.col("value"))).alias("pos", "raw")
     )
-    whole = _whole_files(spark, path, glob).join(spread, "source_file", "left_semi").select(
-        "source_file", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line"), F.posexplode(_items(F.col("value"))).alias("pos", "raw")
+    if spread.isEmpty():
+        return by_line.select("source_file", F.struct("block", "line", "pos").alias("ordinal"), "raw")
+    whole = _parsed(scan_elements(spark, path, glob, files=spread)).select(
+        "source_file", "ordinal.block", "ordinal.line", F.lit(0).alias("pos"), "raw"
     )
     return by_line.unionByName(whole).select("source_file", F.struct("block", "line", "pos").alias("ordinal"), "raw")
 
