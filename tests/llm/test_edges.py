@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns for every operator and stage."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +275,42 @@ PAGES = {
 }
 
 
+B = "Another text, which has nothing to do with it; it tells of shops, hotels and cars. " * 3
+LINKS = "".join(f"<li><a href='/{i}'>Another page {i}</a></li>" for i in range(8))
+PROBES = {
+    "two articles": (f"<body><article>{f'<p>{A}</p>' * 6}</article><article><p>{A}</p></article></body>", 7 * [A.strip()]),
+    "weak word on a paragraph": (f"<article><p>{A}</p><p class='social'>{A}</p><p>{A}</p></article>", 3 * [A.strip()]),
+    "weak word on a part": (f"<article><p>{A}</p><div id='promotion'><p>{A}</p></div><p>{A}</p></article>", 3 * [A.strip()]),
+    "menu in a wrapper": (f"<body><div class='menu-wrapper'><p>{B}</p></div><article><p>{A}</p></article></body>", [A.strip()]),
+    "sidebar with content": (f"<body><div class='content'><p>{A}</p></div><div class='sidebar-content'><p>{B}</p></div></body>", [A.strip()]),
+    "advert without a known word": (f"<article><p>{A}</p><div class='xk7'>Buy two, pay one!</div><p>{A}</p></article>", 2 * [A.strip()]),
+    "list of links": (f"<article><p>{A}</p><ul>{LINKS}</ul><p>{A}</p></article>", 2 * [A.strip()]),
+    "list of the article": (f"<article><p>{A}</p><ul><li>first</li><li>the <a>second</a> one</li></ul><p>{A}</p></article>", [A.strip(), "first", "the second one", A.strip()]),
+    "heading and quote": (f"<main><div class='top'><h1>Title</h1></div><div><p>{A}</p><blockquote><p>Short.</p></blockquote></div></main>", ["Title", A.strip(), "Short."]),
+    "class around everything": (f"<body><div class='no-sidebar ads'><p>{A}</p><p>x</p></div><footer>{B}</footer></body>", [A.strip(), "x"]),
+    "reader comments": (f"<article><p>{A}</p></article><ol class='comment-list'>{f'<li><p>{B}</p></li>' * 5}</ol>", [A.strip()]),
+    "short article": ("<nav><a>Home</a></nav><article><h1>Title.</h1><p>A word.</p></article><footer>&copy; Some house, some street, some town.</footer>", ["Title.", "A word."]),
+    "inline end tags": (f"<body><b><article><p>{A}</b></p><p>x <i>y</i>z</p></article>", [A.strip(), "x yz"]),
+    "quotes": (f"<article title='a > b'><p data-x=\"<p>no</p>\" class=it's>{A}</p></article>", [A.strip()]),
+}
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_paths_decide(name):
+    source, lines = PROBES[name]
+    assert html_text.main_text(source).split("\n") == lines
+
+
+BROKEN = ["<a x ", '<a x="', "<", "</", "<!--", "<script>", "<p a='>", "<p class =", "<a b='\">", "<li><b>", "<td><p>", "<b></p>", "&amp", "<p><b></b>"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_long_broken_pages(piece):
+    start = time.time()
+    html_text.main_text(f"<p>start</p>{piece * (1_000_000 // len(piece))}")
+    assert time.time() - start < 8
+
+
 @pytest.mark.parametrize("source", PAGES)
 def test_main_text(source):
     assert html_text.main_text(source) == PAGES[source]
