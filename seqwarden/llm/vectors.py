@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ BUCKET = 256  # foreign vectors that a bucket may hold on average
 MISS = 0.003  # links at exactly the threshold that all tables may miss
 BLOCK = 2048  # rows of a bucket that one task compares with each other
 STRIP = 512
-ROW = "bucket long, class long, n long, tables binary, v binary"
+ROW = "bucket long, dims int, class long, n long, tables binary, v binary"
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -86,7 +87,8 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     per task only sums and a spanning set of links leave. The cosine is computed in double
     precision and decides alone.
 
-    A vector that is null, empty, zero, of another length than most, or with a null or non-finite component has no link. A null id is
+    Vectors of each length are compared among themselves, with projections of their own; those of different lengths have no cosine.
+    A vector that is null, empty, zero, or with a null or non-finite component has no link. A null id is
     returned with its links; it is never the smallest.
     """
     spark = vectors.sparkSession
@@ -96,19 +98,21 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     stored = materialize(keyed, "vectors")
     classes = stored.filter("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = materialize(classes, "classes")
-    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dims, count = (sizes["d"], sizes["n"]) if sizes else (1, 0)
-    k, tables = plan(count, threshold)
-    rng = np.random.default_rng(seed)
-    shared = spark.sparkContext.broadcast(
-        (rng.standard_normal((dims, k * tables)), rng.uniform(0, WIDTH, k * tables), rng.integers(1, 1 << 62, (tables, k)) * 2 + 1, rng.integers(1, 1 << 62, tables))
-    )  # dims x k x tables numbers
+    # tables for the most frequent length serve the others too: more rows only ask for more of them
+    k, tables = plan(classes.groupBy(F.size("v")).count().agg(F.max("count")).first()[0] or 0, threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, odd, salt = shared.value
+        @lru_cache(maxsize=2)
+        def drawn(dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            rng = np.random.default_rng((seed, dims))
+            return rng.standard_normal((dims, k * tables)), rng.uniform(0, WIDTH, k * tables), rng.integers(1, 1 << 62, (tables, k)) * 2 + 1, rng.integers(1, 1 << 62, tables)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            lengths = np.asarray(batch.column(2).value_lengths())
+            same = [(d, np.nonzero(lengths == d)[0]) for d in np.unique(lengths).tolist()]
+            for dims, chosen in ((d, c[at : at + 2048]) for d, c in same for at in range(0, len(c), 2048)):
+                a, b, odd, salt = drawn(dims)
+                part = batch.take(pa.array(chosen))
                 v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
                 top = np.abs(v).max(axis=1, keepdims=True)
                 v = v / top
@@ -122,10 +126,12 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 raw = [x.tobytes() for x in v]
                 who = np.repeat(np.arange(len(v)), tables)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.reshape(-1)), pa.array(cls[who]), pa.array(n[who]), pa.array(own, pa.binary()).take(pa.array(who)), pa.array(raw, pa.binary()).take(pa.array(who))],
-                    ["bucket", "class", "n", "tables", "v"],
+                    [pa.array(bucket.reshape(-1)), pa.array(np.full(len(who), dims, np.int32)), pa.array(cls[who]), pa.array(n[who]), pa.array(own, pa.binary()).take(pa.array(who)), pa.array(raw, pa.binary()).take(pa.array(who))],
+                    ["bucket", "dims", "class", "n", "tables", "v"],
                 )
 
+    group_by = ["bucket", "dims", "lo", "hi"]
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, key = [], None
 
@@ -133,7 +139,7 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             t = pa.Table.from_batches(waiting).combine_chunks()
             if t.num_rows < 2:
                 return None
-            v = np.frombuffer(b"".join(t["v"].to_pylist()), np.float64).reshape(t.num_rows, dims)
+            v = np.frombuffer(b"".join(t["v"].to_pylist()), np.float64).reshape(t.num_rows, t["dims"][0].as_py())
             own = np.frombuffer(b"".join(t["tables"].to_pylist()), np.int64).reshape(t.num_rows, tables)
             side = t["side"].to_numpy() if t["lo"][0] != t["hi"][0] else None
             i, j = _compare(v, own, t["bucket"][0].as_py(), side, threshold)
@@ -148,7 +154,7 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bucket", "lo", "hi")]
+            group = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in group_by]
             cut = np.nonzero(np.any([g[1:] != g[:-1] for g in group], axis=0))[0] + 1
             for a, b in zip(np.concatenate(([0], cut)).tolist(), np.append(cut, batch.num_rows).tolist(), strict=True):
                 at = tuple(int(g[a]) for g in group)
@@ -161,14 +167,13 @@ def linked_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         if waiting and (out := solve()) is not None:
             yield out
 
-    points = materialize(classes.filter(F.size("v") == dims).select("class", "n", "v").mapInArrow(hashed, ROW), "points")
-    counts = points.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    met = points.join(counts, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    points = materialize(classes.select("class", "n", "v").mapInArrow(hashed, ROW), "points")
+    counts = points.groupBy("bucket", "dims").agg(F.count("*").alias("size")).filter("size > 1")
+    met = points.join(counts, ["bucket", "dims"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("class", F.lit(seed)), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "class", "n", "tables", "v")
-    group = ["bucket", "lo", "hi"]
-    dealt = met.repartition(*group).sortWithinPartitions(*group)
+    met = met.select("bucket", "dims", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "class", "n", "tables", "v")
+    dealt = met.repartition(*group_by).sortWithinPartitions(*group_by)
     found = materialize(dealt.mapInArrow(compared, "class long, other long, links long"), "found")
     sums = found.groupBy("class").agg(F.sum("links").alias("links"))
     nodes = connected_components(found.select("class", "other"), "class", "other")

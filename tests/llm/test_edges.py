@@ -253,6 +253,18 @@ def test_vectors_against_brute_force(spark):
     assert vectors.linked_vectors(df.filter("vec_id < 0")).collect() == []
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(60)]
+    pair = [float(x) for x in rng.normal(size=7)]
+    rows += [(100, pair), (101, [x * 1.01 + 1e-6 for x in pair]), (102, pair + [0.0]), (103, [2.0]), (104, [5.0]), (105, [-1.0]), (106, rows[0][1]), (107, rows[0][1][:7])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, bucket string, N_LINKS int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.linked_vectors(df).collect()}
+    assert got[100] == (1, 100, True) and got[101] == (1, 100, False) and got[102] == (0, 102, True)
+    assert got[103] == (1, 103, True) and got[104] == (1, 103, False) and got[105] == (0, 105, True)
+    assert got[0] == (1, 0, True) and got[106] == (1, 0, False) and got[107] == (0, 107, True) and len(got) == len(rows)
+
+
 def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=16)
