@@ -16,7 +16,7 @@ class Query:
 
 
 def all_queries() -> list[Query]:
-    from seqwarden.catalog import artifacts, flows, incidents, quality, records, sequences, templates
+    from seqwarden.catalog import artifacts, flows, incidents, positions, quality, records, sequences, templates
 
-    modules = (sequences, records, templates, incidents, quality, artifacts, flows)
+    modules = (sequences, records, templates, incidents, quality, artifacts, flows, positions)
     return sorted((q for m in modules for q in m.QUERIES), key=lambda q: q.name)
