@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from seqwarden.adapter import audit_events, audit_sql, table
 from seqwarden.catalog import Query
-from seqwarden.operators import evaluate, model, sessions, windows
+from seqwarden.operators import evaluate, model, sessions, softmax, windows
 from seqwarden.plans.skew import profile_keys
+from seqwarden.session import materialize
 
 SESSION = ["user_id"]
 ORDER = ["ts", "ordinal"]
@@ -304,6 +305,29 @@ def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score_with(test.select("user_id", "seq", "key", "ctx"), scorer, "key").drop("ctx")
 
 
+def q31b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flags from a joined table of last keys."""
+    *sides, profile = split_positions(spark, sf_dir)
+    train, test = (windows.context_windows(s, SESSION, "seq", "key", WIDTH, profile) for s in sides)
+    flags = model.detect_first_order(test.select("user_id", "seq", "key", "ctx"), model.count_model(train, "key"), "key", K)
+    return flags.drop("ctx")
+
+
+def q30b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A softmax in two levels, fitted on all training windows: rows, whether it fits better than key frequencies, and test rows scored."""
+    *sides, profile = split_positions(spark, sf_dir)
+    train, test = (windows.context_windows(s, SESSION, "seq", "key", WIDTH, profile) for s in sides)
+    counts = materialize(model.count_model(train, "key"), "counts")
+    fitted = softmax.fit(counts, buckets=1 << 12)
+    flags = softmax.detect(test.select("user_id", "seq", "key", "ctx"), fitted, "key", K)
+    scored = flags.agg(F.count("flag").alias("n_scored")).withColumn("_one", F.lit(1))
+    losses = softmax.log_losses(counts, fitted).select(F.lit(1).alias("_one"), "n_rows", (F.col("model_loss") < F.col("frequency_loss")).alias("fits_better"))
+    return losses.join(scored, "_one").drop("_one")
+
+
+Q30B = f"""WITH {EV}, {WIN} SELECT count(*) FILTER (WHERE split = 'train') AS n_rows, true AS fits_better,
+count(*) FILTER (WHERE split = 'test') AS n_scored FROM win"""
+
 Q31 = f"""WITH {EV}, {WIN},
 c AS (SELECT c3, key, count(*) AS n FROM win WHERE split = 'train' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY c3 ORDER BY n DESC, key) AS rank FROM c)
@@ -330,5 +354,7 @@ QUERIES = [
     Query("q25_conversation_windows", q25, Q25),
     Query("q28_merge_model", q28, Q28),
     Query("q30_regression_next_key", q30),
+    Query("q30_softmax_fit", q30b, Q30B),
     Query("q31_pluggable_scorer", q31, Q31),
+    Query("q31_joined_scorer", q31b, Q31),
 ]

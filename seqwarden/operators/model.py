@@ -288,6 +288,17 @@ def first_order_scorer(model: DataFrame, num_keys: int, k: int, max_keys: int =
     return lambda contexts: table[contexts[:, -1].astype(np.int64)]
 
 
+def detect_first_order(samples: DataFrame, model: DataFrame, key: str, k: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The flags of :func:`first_order_scorer` for any number of keys: the table of last keys is joined and never collected."""
+    last = F.element_at("ctx", -1)
+    lists = top_k_table(model.groupBy(F.array(last).alias("ctx"), "target").agg(F.sum("n").alias("n")), k)
+    lists = materialize(lists.select(F.element_at("ctx", 1).alias("_last"), "top"), "lists")
+    rows = samples.withColumn("_last", last)
+    hot = hot_values(rows.groupBy("_last").agg(F.count(F.lit(1)).alias("_n")), ["_last"], rows_per_task=rows_per_task)
+    found = join_hot(rows, lists, ["_last"], hot, "left").withColumn("flag", ~F.coalesce(F.array_contains("top", F.col(key)), F.lit(False)))
+    return found.select(*samples.columns, "flag")
+
+
 def fit_regression(samples: DataFrame, key: str, width: int, num_keys: int, max_iter: int = 20):
     """Multinomial logistic regression on one-hot contexts, for vocabularies of a few hundred keys."""
     from pyspark.ml import Pipeline

@@ -64,3 +64,11 @@ def test_flags_with_a_hot_context(spark, backoff):
     learned = model.with_suffixes(learned) if backoff else learned
     plain, spread = (model.detect(df, learned, ["session"], "seq", "key", 2, 1, backoff, rows_per_task=n) for n in (10**6, 40))
     assert sorted(map(str, plain.collect())) == sorted(map(str, spread.collect())) and plain.filter("flag").count() > 3
+
+
+def test_first_order_flags_by_join(spark):
+    counts = spark.createDataFrame([([1, 2], 5, 9), ([7, 2], 6, 8), ([7, 2], 4, 3), ([9, 3], 5_000_000, 1)], "ctx array<long>, target long, n long")
+    rows = [(i, [8, 2], 5) for i in range(50)] + [(60, [1, 2], 6), (61, [1, 2], 4), (62, [2, 3], 5_000_000), (63, [2, 99], 5)]
+    samples = spark.createDataFrame(rows, "id long, ctx array<long>, key long")
+    flags = {r.id: r.flag for r in model.detect_first_order(samples, counts, "key", 2, rows_per_task=10).collect()}
+    assert len(flags) == 54 and {i for i, f in flags.items() if f} == {61, 63}
