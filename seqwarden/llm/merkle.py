@@ -1,4 +1,4 @@
-"""Document fingerprints: Merkle trees over sections and paragraphs, in DataFrame functions only."""
+"""Document fingerprints: Merkle trees over sections, paragraphs and runs of words, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,40 +7,47 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = "[^ \\n]+(?: [^ \\n]+){0,2}"  # up to three words of a line
+RUN = " *[^ \\n]+(?: +[^ \\n]+){0,2} *| +"  # up to three words of a line with the spaces around them; the runs of a line are the whole line
 ROWS_PER_BLOCK = 500
 MOST_BOUNDS = 300  # of either level, so 90,000 blocks
 
 
-def paragraphs(text: Column) -> Column:
-    """The leaves: a hash of each line as it stands."""
-    return F.transform(F.split(text, "\n", -1), lambda p: F.md5(p))
+def leaves(text: Column) -> Column:
+    """The leaves by section and paragraph: hashes of the runs of three words of each line. An empty line closes a section."""
 
+    def section(s: Column) -> Column:
+        return F.transform(F.split(s, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(RUN), 0), lambda r: F.md5(r)))
 
-def root(text: Column) -> Column:
-    """Hash of the section hashes; a section, closed by an empty line, is the hash of its paragraphs' hashes."""
+    return F.transform(F.split(text, "\n\n", -1), section)
 
-    def section(s: Column) -> Column:
-        return F.md5(F.array_join(F.transform(F.split(s, "\n", -1), lambda p: F.md5(p)), ""))
 
-    return F.md5(F.array_join(F.transform(F.split(text, "\n\n", -1), section), ""))
+def _parent(level: str, children: Column) -> Column:
+    return F.md5(F.concat(F.lit(level), F.array_join(children, "")))
+
 
+def with_tree(rows: DataFrame, text: str) -> DataFrame:
+    """Adds the levels of the tree of a text: leaves, paragraphs (by section), sections, root. Each node above hashes its level and its children."""
+    rows = rows.withColumn(f"{text}_leaves", leaves(F.col(text)))
+    rows = rows.withColumn(f"{text}_paragraphs", F.transform(f"{text}_leaves", lambda s: F.transform(s, lambda p: _parent("p", p))))
+    rows = rows.withColumn(f"{text}_sections", F.transform(f"{text}_paragraphs", lambda s: _parent("s", s)))
+    return rows.withColumn(f"{text}_root", _parent("r", F.col(f"{text}_sections")))
 
-def pieces(text: Column) -> Column:
-    """Distinct hashes of the runs of three words below the paragraphs: what likeness is measured on."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), 0), lambda p: F.substring(F.md5(p), 1, 16)))
 
+def nodes(text: str) -> Column:
+    """The distinct nodes of all levels of a tree."""
+    below = F.concat(F.flatten(F.flatten(f"{text}_leaves")), F.flatten(f"{text}_paragraphs"))
+    return F.array_distinct(F.concat(below, F.col(f"{text}_sections"), F.array(f"{text}_root")))
 
-def likeness(root_a: Column, pieces_a: Column, root_b: Column, pieces_b: Column) -> Column:
-    """1 for equal roots, else twice the number of common pieces over the sum of both numbers."""
-    both = F.size(pieces_a) + F.size(pieces_b)
-    dice = 2.0 * F.size(F.array_intersect(pieces_a, pieces_b)) / F.greatest(both, F.lit(1))
-    return F.when(root_a == root_b, F.lit(1.0)).otherwise(dice)
 
+def likeness(nodes_a: Column, nodes_b: Column) -> Column:
+    """Twice the number of common nodes over the sum of both numbers: 1 for equal trees only, as others have different roots."""
+    return 2.0 * F.size(F.array_intersect(nodes_a, nodes_b)) / (F.size(nodes_a) + F.size(nodes_b))
 
-def first_difference(a: Column, b: Column) -> Column:
-    """Number of the first paragraph (from 1) in which two trees differ, 0 if in none."""
-    return F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+
+def differing(a: Column, b: Column) -> Column:
+    """Numbers (from 1) of all branches in which two lists of nodes differ, place by place."""
+    marks = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
+    return F.filter(F.transform(marks, lambda m, i: F.when(m, i + 1).otherwise(0)), lambda i: i > 0)
 
 
 def _blocks(rows: DataFrame, key: str, per_block: int) -> Column:
@@ -86,57 +93,66 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     """Fingerprints of every text and of its edited text, whose last third is the start of the next text.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_sections,
-    n_paragraphs and first_change (the first paragraph where the two trees part, 0 for equal trees). Equal texts have
-    equal fingerprints. Null texts are empty; a single row is its own next one; repeated rows are answered each.
+    n_paragraphs, changed_sections (numbers of the sections in which the two trees differ, joined by commas), n_changed (paragraphs that
+    differ) and first_change (the first of them, 0 for equal trees). Texts are equal if their fingerprints are, and lines in another order or repeated
+    make another tree: runs that both texts have count, the nodes above them do not. Null texts are empty; a single row is its own next one; repeated rows are answered each.
     """
     third = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     edited = F.concat(F.substring("text", F.lit(1), third.cast("int")), F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")))
     rows = with_next(docs, doc_id, text, per_block).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
-    kinds = ("text", "edited", "next_text")
-    rows = rows.select("*", *[root(F.col(c)).alias(f"{c}_root") for c in kinds], *[pieces(F.col(c)).alias(f"{c}_pieces") for c in kinds])
-    like = lambda c: likeness(F.col("text_root"), F.col("text_pieces"), F.col(f"{c}_root"), F.col(f"{c}_pieces"))
+    for c in ("text", "edited", "next_text"):
+        rows = with_tree(rows, c).withColumn(f"{c}_nodes", nodes(c))
+    changed = differing(F.flatten("text_paragraphs"), F.flatten("edited_paragraphs"))
+    rows = rows.withColumn("changed", changed).withColumn("changed_sections", differing(F.col("text_sections"), F.col("edited_sections")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         F.col("text_root").alias("fingerprint"),
         F.col("edited_root").alias("edited_fingerprint"),
-        like("edited").alias("near_edited"),
-        like("next_text").alias("near_next"),
-        F.size(F.split("text", "\n\n", -1)).alias("n_sections"),
-        F.size(F.split("text", "\n", -1)).alias("n_paragraphs"),
-        first_difference(paragraphs(F.col("text")), paragraphs(F.col("edited"))).alias("first_change"),
+        likeness(F.col("text_nodes"), F.col("edited_nodes")).alias("near_edited"),
+        likeness(F.col("text_nodes"), F.col("next_text_nodes")).alias("near_next"),
+        F.size("text_sections").alias("n_sections"),
+        F.size(F.flatten("text_paragraphs")).alias("n_paragraphs"),
+        F.array_join(F.col("changed_sections").cast("array<string>"), ",").alias("changed_sections"),
+        F.size("changed").alias("n_changed"),
+        F.coalesce(F.get("changed", F.lit(0)), F.lit(0)).alias("first_change"),
     )
 
 
 def fingerprints_sql() -> str:
     """DuckDB SQL with the rows of ``fingerprints`` over documents."""
 
-    def tree(c: str) -> str:
-        return (
-            f"md5(array_to_string(list_transform(string_split({c}, chr(10) || chr(10)), "
-            "lambda s: md5(array_to_string(list_transform(string_split(s, chr(10)), lambda p: md5(p)), ''))), ''))"
-        )
+    def below(c: str) -> str:
+        runs = f"list_transform(regexp_extract_all(p, '{RUN}'), lambda r: md5(r))"
+        return f"list_transform(string_split({c}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: {runs}))"
+
+    def joined(level: str, children: str) -> str:
+        return f"md5('{level}' || array_to_string({children}, ''))"
 
-    def parts(c: str) -> str:
-        return f"list_distinct(list_transform(regexp_extract_all({c}, '{PIECE}'), lambda p: left(md5(p), 16)))"
+    def all_nodes(c: str) -> str:
+        return f"list_distinct(flatten(flatten(l_{c})) || flatten(p_{c}) || s_{c} || [r_{c}])"
 
     def near(c: str) -> str:
-        return f"CASE WHEN r_text = r_{c} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(p_text, p_{c})) / greatest(len(p_text) + len(p_{c}), 1) END"
+        return f"2.0::DOUBLE * len(list_intersect(n_text, n_{c})) / (len(n_text) + len(n_{c}))"
+
+    def parts(a: str, b: str) -> str:
+        return f"list_filter(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] IS DISTINCT FROM {b}[i])"
 
+    kinds = {"text": "text", "edited": "edited", "next": "next_text"}
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (
   SELECT doc_id, text, length(text) AS n_chars,
     coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text DESC), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text DESC)) AS next_text
   FROM d),
 e AS (SELECT *, substring(text, 1, n_chars - n_chars // 3) || substring(next_text, 1, n_chars // 3) AS edited FROM n),
-t AS (
-  SELECT *, {tree('text')} AS r_text, {tree('edited')} AS r_edited, {tree('next_text')} AS r_next,
-    {parts('text')} AS p_text, {parts('edited')} AS p_edited, {parts('next_text')} AS p_next,
-    string_split(text, chr(10)) AS l_text, string_split(edited, chr(10)) AS l_edited
-  FROM e)
+t1 AS (SELECT *, {", ".join(f"{below(c)} AS l_{k}" for k, c in kinds.items())} FROM e),
+t2 AS (SELECT *, {", ".join(f"list_transform(l_{k}, lambda s: list_transform(s, lambda p: {joined('p', 'p')})) AS p_{k}" for k in kinds)} FROM t1),
+t3 AS (SELECT *, {", ".join(f"list_transform(p_{k}, lambda s: {joined('s', 's')}) AS s_{k}" for k in kinds)} FROM t2),
+t4 AS (SELECT *, {", ".join(f"{joined('r', f's_{k}')} AS r_{k}" for k in kinds)} FROM t3),
+t AS (SELECT *, {", ".join(f"{all_nodes(k)} AS n_{k}" for k in kinds)}, flatten(p_text) AS f_text, flatten(p_edited) AS f_edited FROM t4),
+c AS (SELECT *, {parts("f_text", "f_edited")} AS changed, {parts("s_text", "s_edited")} AS c_sections FROM t)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, r_text AS fingerprint, r_edited AS edited_fingerprint,
-  {near('edited')} AS near_edited, {near('next')} AS near_next,
-  len(string_split(text, chr(10) || chr(10)))::INT AS n_sections, len(l_text)::INT AS n_paragraphs,
-  coalesce(list_position(list_transform(range(1, greatest(len(l_text), len(l_edited)) + 1), lambda i: l_text[i] IS DISTINCT FROM l_edited[i]), true), 0)::INT AS first_change
-FROM t"""
+  {near('edited')} AS near_edited, {near('next')} AS near_next, len(s_text)::INT AS n_sections, len(f_text)::INT AS n_paragraphs,
+  coalesce(array_to_string(c_sections, ','), '') AS changed_sections, len(changed)::INT AS n_changed, coalesce(changed[1], 0)::INT AS first_change
+FROM c"""

@@ -164,6 +164,20 @@ def test_merkle_next_and_edits(docs):
             assert r["edited_sha256"] == hashlib.sha256(b"").hexdigest() and r["near_edited"] == 1
 
 
+def test_likeness_comes_from_the_tree(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten", "eleven twelve"
+    texts = {"same": (f"{a}\n{b}", f"{a}\n{b}"), "order": (f"{a}\n{b}", f"{b}\n{a}"), "doubled": (f"{a}\n{b}", f"{a}\n{b}\n{b}"), "space": (f"{a}\n{b}", f"{a}\n {b}"),
+             "blank": (f"{a}\n \n{b}", f"{a}\n\n{b}"), "part": (f"{a}\n\n{b}\n\n{c}", f"{a}\n\nx\n\n{c}"), "other": (a, b), "empty": ("", "")}
+    rows = spark.createDataFrame([(k, *v) for k, v in texts.items()], "k string, x string, y string")
+    rows = merkle.with_tree(merkle.with_tree(rows, "x"), "y").select("*", merkle.nodes("x").alias("m"), merkle.nodes("y").alias("n"))
+    like, parts = merkle.likeness(rows["m"], rows["n"]), merkle.differing(rows["x_sections"], rows["y_sections"])
+    got = {r.k: r for r in rows.select("k", like.alias("like"), parts.alias("parts"), (rows["x_root"] == rows["y_root"]).alias("equal")).collect()}
+    assert {k for k, r in got.items() if r.equal} == {k for k, r in got.items() if r.like == 1} == {"same", "empty"}
+    # of the nodes of each side: four runs and two paragraphs are common, section and root are not
+    assert got["order"].like == 6 / 8 and got["doubled"].like == 6 / 8 and got["part"].parts == [2] and got["other"].like == 0
+    assert 0 < got["blank"].like < 1 and 0 < got["space"].like < 1
+
+
 def test_mixing_rates_and_weights(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 10 < 8, 'big', if(id % 10 = 8, 'small', null)) AS source")
     out = mixing.mix(df, weights={"big": 1.0, "small": 2.0, None: 1.0}, total=40_000)
