@@ -21,9 +21,9 @@ from seqwarden.session import materialize
 BUCKETS = 1 << 14
 PAIRS_PER_TASK = 50_000
 ROUNDS = 4
-EPOCHS = 3
+EPOCHS = 10
 RATE = 0.5
-BATCH = 256
+BATCH = 4096
 SCORED = 64
 ROWS_IN_BLOCK = 512
 
@@ -70,7 +70,7 @@ def _scores(table: np.ndarray, rows: np.ndarray, allowed: np.ndarray) -> np.ndar
     return _log_softmax(np.where(allowed, z, -np.inf))
 
 
-def _train(upper: np.ndarray, lower: np.ndarray, f: np.ndarray, code: np.ndarray, weight: np.ndarray, n_keys: int, epochs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _train(upper: np.ndarray, lower: np.ndarray, f: np.ndarray, code: np.ndarray, weight: np.ndarray, n_keys: int, epochs: int, rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Adagrad over the rows of one task; (table, how much weight used each of its rows)."""
     tables = [upper.copy(), lower.copy()]
     side, buckets = upper.shape[1], upper.shape[0]
@@ -95,7 +95,7 @@ def _train(upper: np.ndarray, lower: np.ndarray, f: np.ndarray, code: np.ndarray
                 total = np.zeros((len(names), side))
                 np.add.at(total, back.reshape(r.shape), g[:, None, :])
                 speed[t][names] += (total * total).sum(axis=1)
-                tables[t][names] -= RATE * total / np.sqrt(speed[t][names])[:, None]
+                tables[t][names] -= rate * total / np.sqrt(speed[t][names])[:, None]
     return list(zip(tables, used, strict=True))
 
 
@@ -123,7 +123,8 @@ def fit(counts: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, epochs:
     shares = materialize(coded, "shares").groupBy("_piece")
     n_keys = totals.keys
 
-    for _ in range(rounds):
+    for number_of_round in range(rounds):
+        rate = RATE / (1 + 3 * number_of_round)
         start = spark.sparkContext.broadcast((upper, lower))
 
         def learn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +135,7 @@ def fit(counts: DataFrame, buckets: int = BUCKETS, rounds: int = ROUNDS, epochs:
                 order = np.random.default_rng(len(same)).permutation(len(same))
                 f = np.stack(same["f"].to_numpy()).astype(np.int64)[order]
                 code, n = same["code"].to_numpy(np.int64)[order], same["n"].to_numpy(np.float64)[order]
-                out = _train(*tables, f, code, n, n_keys, epochs)
+                out = _train(*tables, f, code, n, n_keys, epochs, rate)
                 tables = [t for t, _ in out]
                 used = [a + b for a, (_, b) in zip(used, out, strict=True)]
             for number, (t, u) in enumerate(zip(tables, used, strict=True)):
