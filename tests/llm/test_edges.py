@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -236,16 +237,96 @@ def test_network_gradients_and_brute_force_score(spark, net):
     # the distribution sums to one
     one = np.repeat(context[:1], lm_score.VOCABULARY, axis=0)
     assert abs(np.exp(net.log_probability(one, np.arange(lm_score.VOCABULARY))).sum() - 1) < 1e-4
-    known = {w: i for i, w in enumerate(net.words)}
+    rank = {w: i for i, w in enumerate(net.words)}
     text = "The cat sat on the zebra"
-    ids = [known.get(w, lm_score.VOCABULARY - lm_score.BUCKETS + min(len(w), lm_score.BUCKETS - 1)) for w in text.lower().split()]
+    bucket = lambda w: lm_score.KNOWN + min(len(w.encode()), lm_score.BUCKETS - 1)
+    ids = [rank[w] if rank.get(w, lm_score.KNOWN) < lm_score.KNOWN else bucket(w) for w in text.lower().split()]
     pad = [lm_score.VOCABULARY] * 2
     padded = pad + ids + pad
     want = sum(net.log_probability(np.array([[padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]]), np.array([ids[i]]))[0] for i in range(len(ids)))
+    want += sum(_inside(net, w) for w in text.lower().split())
     got = lm_score.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).first()
     assert got["n_tokens"] == 6 and abs(got["log_likelihood"] - want) < 1e-3
 
 
+def _spelled(net, word):
+    """log P(spelling), byte by byte."""
+    table, total = net.spelling.table, 0.0
+    data = [0, 0, 0, *word.encode()]
+    for i in range(3, len(data)):
+        before = data[i - 1] | data[i - 2] << 8 | data[i - 3] << 16
+        total += float(table[(before * 0x9E3779B1 % 2**32) >> (32 - (len(table).bit_length() - 1)), data[i]])
+    more = len(data) - 3 - (lm_score.BUCKETS - 1)
+    return total if more < 0 else total + more * np.log(net.spelling.longer) + np.log(1 - net.spelling.longer)
+
+
+def _inside(net, word):
+    """log P(word | its id)."""
+    if word in net.words[: lm_score.KNOWN]:
+        return 0.0
+    if word in net.words:
+        return net.spelling.listed[net.words.index(word)]
+    return net.spelling.unlisted[min(len(word.encode()), lm_score.BUCKETS - 1)] + _spelled(net, word)
+
+
+def many_words(n=1_500):
+    """Texts in which word i occurs n // (i + 1) + 1 times; the last ones are in all lengths up to 150 bytes."""
+    word = lambda i: "".join(chr(97 + (i * 7 + k * i + k) % 26) for k in range(1 + i % 9)) + str(i)
+    words = [word(i) for i in range(n)] + ["é" * k for k in range(1, 75)] + list("bcdfgh+-=§") + ["ab", "q1"]
+    flat = [w for i, w in enumerate(words) for _ in range(n // (i + 1) + 1)]
+    return words, [" ".join(flat[i::40]) for i in range(40)]
+
+
+def test_words_beyond_the_networks_have_exact_probabilities(spark, monkeypatch):
+    words, texts = many_words()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm_score, "LISTED_PER_ROOT", 2)
+    listed, spelling = lm_score.learn_words(docs)
+    counts = {}
+    for w in " ".join(texts).lower().split():
+        counts[w] = counts.get(w, 0) + 1
+    by_count = sorted(counts, key=lambda w: (-counts[w], w.encode()))
+    assert list(listed) == by_count[: len(listed)] and lm_score.KNOWN < len(listed) < len(counts)
+    net = lm_score.Network.start(listed, spelling, 1)
+    # the spelling is a distribution over bytes after every context, and follows the counts of words
+    assert np.allclose(np.exp(spelling.table.astype(float)).sum(axis=1), 1, atol=1e-4)
+    seen = np.zeros(spelling.table.shape)
+    for rank, w in enumerate(by_count):
+        data = [0, 0, 0, *w.encode()]
+        for i in range(3, len(data)):
+            before = data[i - 1] | data[i - 2] << 8 | data[i - 3] << 16
+            seen[(before * 0x9E3779B1 % 2**32) >> (32 - (len(seen).bit_length() - 1)), data[i]] += counts[w] if rank >= lm_score.KNOWN else 1
+    alike = (seen.sum(axis=0) + 1) / (seen.sum() + 256)
+    assert np.allclose(spelling.table, np.log((seen + alike) / (seen.sum(axis=1, keepdims=True) + 1)), atol=1e-4)
+    # all words of one byte: what is listed, what is spelled, and the spelling of known words, which is never used
+    unlisted = np.exp(spelling.unlisted[1])
+    shares = sum(np.exp(spelling.listed[i]) - unlisted * np.exp(_spelled(net, w)) for i, w in enumerate(listed) if i >= lm_score.KNOWN and len(w.encode()) == 1)
+    assert abs(shares + unlisted - 1) < 1e-6
+    # whole texts by hand, in both strips and whole
+    for strip in (7, 1 << 16):
+        monkeypatch.setattr(lm_score, "STRIP", strip)
+        text = pa.array([" ".join(words[::7]), None, "", "é" * 5_000 + " unseen \u4e2d\u6587 zzzzq"], pa.large_string())
+        n, ids, inside = lm_score.token_ids(text, pa.array(listed, pa.large_string()), spelling)
+        flat = [w for t in text.to_pylist() for w in (t or "").lower().split()]
+        assert n.tolist() == [len((t or "").split()) for t in text.to_pylist()] and len(ids) == len(flat)
+        assert np.allclose(inside, [_inside(net, w) for w in flat], atol=1e-3)
+
+
+def test_rare_words_of_one_length_score_apart(spark, net):
+    pair = spark.createDataFrame([(1, "the cat xqzkv"), (2, "the cat zvqkj"), (3, "the cat eaten")], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(pair, net).collect()}
+    assert len({round(v, 6) for v in got.values()}) == 3 and got[3] > max(got[1], got[2])
+
+
+def test_training_lowers_the_loss_of_all_windows(spark):
+    _, texts = many_words()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    fitted = lm_score.train(docs)
+    first = lm_score.Network.start(fitted.words, fitted.spelling, 11)
+    total = lambda n: sum(r["log_likelihood"] for r in lm_score.score(docs, n).collect())
+    assert total(fitted) > total(first)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 32))
