@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqwarden.llm.batches import bounded
-from seqwarden.session import materialize
+from seqwarden.session import materialize, tables_of
 
 SIDE = 2  # tokens seen on either side
 BUCKETS = 64  # ids of the words that the network does not know, by their length in bytes
@@ -291,7 +291,9 @@ def train(docs: DataFrame, text: str = "text", seed: int = 11) -> Network:
     to rounds by a hash of their text, so that each window is learned from once. The weights are summed in a
     shuffle by their number, so only one model, of a fixed size, reaches the driver.
     """
-    net = Network.start(*learn_words(docs, text), seed)
+    with tables_of(docs.sparkSession):
+        learned = learn_words(docs, text)  # read in full here, so that the counts may go
+    net = Network.start(*learned, seed)
     rows = docs.select(F.col(text).cast("string").alias("t")).filter("t IS NOT NULL")
     size = sum(w.size for w in net.weights())
     for turn in range(ROUNDS):
