@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwarden.llm.batches import bounded
@@ -25,7 +25,7 @@ BUCKETS = 64  # ids of the words that the network does not know, by their length
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES  # ids, buckets included: two steps of a softmax over 32
 KNOWN = VOCABULARY - BUCKETS
-MOST_LISTED = 1 << 18  # listed words at most: they are broadcast, about 6 MB
+MOST_LISTED = 1 << 18  # listed words at most, but for chance among words of one count: they are broadcast, about 6 MB
 LISTED_PER_ROOT = 8  # listed words for each root of the number of tokens
 MOST_SLOT_BITS = 13  # of the contexts of the spelling, 1 KB a slot
 DIM = 16
@@ -227,18 +227,34 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counted: DataFrame, limit: int) -> DataFrame:
+    """About the ``limit`` most frequent words, without a sort of all words.
+
+    How many words have each count says at which count the limit falls. Words above it are taken, and of those at it, which may
+    be most of the table, a share by hash. There are at most as many counts as twice the root of the tokens.
+    """
+    of_count = counted.groupBy("n").agg(F.count(F.lit(1)).alias("ties"))
+    upto = F.sum("ties").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = of_count.withColumn("upto", upto).filter(F.col("upto") > limit).orderBy(F.desc("n")).first()
+    if cut is None:
+        return counted
+    share = int((limit - (cut["upto"] - cut["ties"])) / cut["ties"] * (1 << 30))
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share
+    return counted.filter((F.col("n") > cut["n"]) | ((F.col("n") == cut["n"]) & chosen))
+
+
 def learn_words(docs: DataFrame, text: str = "text") -> tuple[tuple[str, ...], Spelling]:
-    """The listed words by falling count, ties by the word itself, and the shares and spelling of those beyond the network's.
+    """The listed words by falling count, words of one count in their order, and the shares and spelling of those beyond the network's.
 
     The words and their counts are written once, a table that grows with the corpus. To the driver come its totals, at
-    most ``MOST_LISTED`` words, and counts of the cells of the spelling, of which there are 2 ** ``MOST_SLOT_BITS`` * 256 at most.
+    about ``MOST_LISTED`` words, and counts of the cells of the spelling, of which there are 2 ** ``MOST_SLOT_BITS`` * 256 at most.
     Both numbers grow with the corpus up to there; words that are not listed are spelled. The spelling is learned from the
     occurrences of words beyond the network's and from one of each that it knows.
     """
     counted = materialize(count_words(docs, text), "words")
     size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     limit = min(MOST_LISTED, KNOWN + LISTED_PER_ROOT * math.isqrt(size.tokens))
-    most = counted.orderBy(F.desc("n"), "word").limit(limit).collect()
+    most = sorted(_most_frequent(counted, limit).collect(), key=lambda r: (-r["n"], r["word"]))
     words = tuple(r["word"] for r in most)
     slots = 1 << min(MOST_SLOT_BITS, max(4, size.words.bit_length() - 7))
     known = docs.sparkSession.sparkContext.broadcast(words[:KNOWN])
