@@ -321,6 +321,14 @@ def test_rare_words_of_one_length_score_apart(spark, net):
     assert len({round(v, 6) for v in got.values()}) == 3 and got[3] > max(got[1], got[2])
 
 
+def test_training_without_a_word(spark, empty):
+    for docs in (empty, spark.createDataFrame([(1, None), (2, ""), (3, " \t\n")], "doc_id long, text string")):
+        net = lm_score.train(docs)
+        assert net.words == ()
+        got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame([(1, "unseen words"), (2, None)], "doc_id long, text string"), net).collect()}
+        assert np.isfinite(got[1]["log_likelihood"]) and got[1]["n_tokens"] == 2 and got[2]["mean_log_likelihood"] is None
+
+
 def test_training_lowers_the_loss_of_all_windows(spark):
     _, texts = many_words()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
