@@ -21,6 +21,7 @@ from seqwarden.session import materialize
 
 ROWS_PER_TASK = 4_000_000
 BROADCAST_ROWS = 100_000
+SMALL_PIECES = 1_000  # pieces of an ordered table that are made as small as the caller asks
 CHUNK = "_chunk"
 
 
@@ -145,15 +146,25 @@ def join_hot(big: DataFrame, small: DataFrame, keys: Sequence[str], hot: DataFra
     return join_on(with_salt(big, keys, hot), partners, [*keys, "_salt"], how).drop("_salt")
 
 
+def ordered_pieces(n_rows: int, rows_per_task: int) -> int:
+    """Number of pieces of an ordered table: half of ``rows_per_task`` rows each, if these are not too many pieces.
+
+    The driver hears of each piece: the sample for its bounds, its task and its files. Beyond ``SMALL_PIECES`` there are only
+    as many as ``ROWS_PER_TASK`` asks for; a larger piece is sorted with spilling and numbered as it streams by.
+    """
+    asked, needed = -(-2 * n_rows // rows_per_task), -(-2 * n_rows // ROWS_PER_TASK)
+    return max(1, min(asked, max(SMALL_PIECES, needed)))
+
+
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], profile: KeyProfile) -> DataFrame:
     """Add ``_chunk``: 0 for ordinary keys, an order-preserving piece for hot ones."""
     hot = profile.hot.select(*keys)
     hot = hot if profile.n_hot > BROADCAST_ROWS else F.broadcast(hot)
-    pieces = max(2, -(-2 * profile.n_rows // profile.rows_per_task))
+    pieces = max(2, ordered_pieces(profile.n_rows, profile.rows_per_task))
     # written once: the range bounds come from a sample, so the piece numbers must not be recomputed
     hot_rows = materialize(
         join_on(df, hot, keys, "left_semi")
-        .repartitionByRange(int(pieces), *keys, *order)
+        .repartitionByRange(pieces, *keys, *order)
         .withColumn(CHUNK, F.spark_partition_id() + 1),
         "chunks",
     )
@@ -203,7 +214,7 @@ def positions_overall(
     n_rows = df.count() if n_rows is None else n_rows
     if n_rows <= rows_per_task:
         return df.withColumn(out, row_index(Window.orderBy(*order)))
-    pieces = int(-(-2 * n_rows // rows_per_task))
+    pieces = ordered_pieces(n_rows, rows_per_task)
     ranged = materialize(
         df.repartitionByRange(pieces, *order)
         .sortWithinPartitions(*order)

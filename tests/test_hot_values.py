@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqwarden.operators import model
 from seqwarden.operators.templates import MiningSpec, apply_templates, mine_templates
+from seqwarden.plans import skew
 from seqwarden.plans.skew import hot_values, join_hot, with_salt
 
 SHARE = 100
@@ -72,3 +73,17 @@ def test_first_order_flags_by_join(spark):
     samples = spark.createDataFrame(rows, "id long, ctx array<long>, key long")
     flags = {r.id: r.flag for r in model.detect_first_order(samples, counts, "key", 2, rows_per_task=10).collect()}
     assert len(flags) == 54 and {i for i, f in flags.items() if f} == {61, 63}
+
+
+def test_pieces_of_an_ordered_table_do_not_grow_with_small_tasks(spark, monkeypatch):
+    """The driver hears of every piece, so a small ``rows_per_task`` must not make one for every few rows of a large table."""
+    assert skew.ordered_pieces(1000, 300) == 7
+    assert skew.ordered_pieces(36_000_000, 300) == skew.ordered_pieces(360_000_000, 300) == skew.SMALL_PIECES
+    assert skew.ordered_pieces(10**11, 300) == skew.ordered_pieces(10**11, skew.ROWS_PER_TASK)
+    monkeypatch.setattr(skew, "SMALL_PIECES", 5)
+    df = spark.createDataFrame([((i * 7) % 1000 // 2, i) for i in range(1000)], "t long, i long")
+    got = skew.positions_overall(df, ["t", "i"], rows_per_task=2).orderBy("pos").collect()
+    assert [(r["t"], r["i"]) for r in got] == sorted((r["t"], r["i"]) for r in got) and [r["pos"] for r in got] == list(range(1000))
+    one = df.withColumn("k", F.lit("a"))
+    got = skew.positions_within(one, ["k"], ["t", "i"], profile=skew.profile_keys(one, ["k"], 2)).orderBy("pos").collect()
+    assert [(r["t"], r["i"]) for r in got] == sorted((r["t"], r["i"]) for r in got) and [r["pos"] for r in got] == list(range(1000))
