@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqwarden.session import materialize
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the links of one partition by a star for each tree they form."""
     parent: dict[int, int] = {}
 
@@ -21,12 +21,12 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for batch in batches:
-        for a, b in zip(batch["hi"].tolist(), batch["lo"].tolist(), strict=True):
+        for a, b in zip(batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
-    yield pd.DataFrame(rows, columns=["hi", "lo"], dtype="int64")
+    tree = [(x, r) for x in list(parent) if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in tree], pa.int64()) for i in (0, 1)], ["hi", "lo"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     ends = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = ends.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo"))
-    e = materialize(e.mapInPandas(_forest, "hi long, lo long"), "links")
+    e = materialize(e.mapInArrow(_forest, "hi long, lo long"), "links")
     before = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

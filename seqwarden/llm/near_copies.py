@@ -1,10 +1,12 @@
-"""Near copies by the similarity of their word shingles: no pair of at least the similarity is missed.
-
-Fingerprints cannot bound this: at a Jaccard similarity of 0.8 about 10 and up to 20 of 64 SimHash bits differ, and as far
-apart are the segment popcounts of unrelated texts. So two texts meet where they share one of their rarest shingles, which
-every pair of that similarity does. Where they meet only bitmaps are compared: each shingle of a set flips
-one bit, so the number of differing bits is at most the number of shingles that only one of the two sets has. What passes that bound
-is decided on the whole texts.
+"""Near copies by SimHash and the similarity of word shingles: no pair of at least the similarity is missed.
+
+Every whole text has a SimHash of its shingles. Fingerprints within two bits are found by the range join over segment popcounts
+of ``simhash.close_pairs``, and the whole texts decide on each pair found; so groups of close copies are one component
+before anything else is compared. Fingerprints cannot bound the rest: at a Jaccard similarity of 0.8 about 10 and up to 20 of 64
+bits differ, and as far apart are the segment popcounts of unrelated texts. So texts that are not linked yet also meet where they share
+one of their rarest shingles, which every pair of that similarity does. Where they meet only bitmaps are compared: each shingle of
+a set flips one bit, so the number of differing bits is at most the number of shingles that only one of the two sets has. What passes
+that bound is decided on the whole texts.
 """
 
 from __future__ import annotations
@@ -19,16 +21,18 @@ from pyspark.sql import functions as F
 
 from seqwarden.llm.batches import bounded
 from seqwarden.llm.components import connected_components
-from seqwarden.llm.simhash import SEED, kept_rows
+from seqwarden.llm.simhash import MAX_BITS, SEED, close_pairs, fingerprint_of, kept_rows
 from seqwarden.session import materialize
 
 WORDS = 5  # of a shingle
 SIMILARITY = 0.8  # least Jaccard similarity
 SLOTS = 1 << 20  # of the table of how common shingles are
+SLOT_ROWS = 1 << 14  # of that table in one batch
 COUNTED = 8  # one in so many sets is counted for it; it only orders shingles
 LEAST_BITS, MOST_BITS = 64, 1 << 20  # of a bitmap; between them at least two for each shingle
 BLOCK = 4096  # rows of a list that one task compares with each other or with another block
-STRIP_BYTES = 32 << 20  # of bitmaps compared at once
+STRIP_BYTES = 4 << 20  # of bitmaps compared at once
+LEAST_PARTS, PART_BYTES = 1024, 16 << 20  # of the (shingle, key) pairs, which are dealt out by shingle
 PARTNERS = 256  # of a set that one task decides on
 CLOSEST = 4  # of the sets that may be similar so many are looked at first, the closest ones
 
@@ -53,25 +57,30 @@ def _slots(found: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, text_hash, key, slot, n): the key of each row's set of shingles and, in rows with a slot, how common shingles are."""
+    """(doc_id, text_hash, key, fp, slot, n): the key, SimHash and size of each row's set of shingles and, in rows with a slot, how common shingles are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, common = ["doc_id", "text_hash", "key", "slot", "n"], np.zeros(SLOTS, np.int64)
+        names, common = ["doc_id", "text_hash", "key", "fp", "slot", "n"], np.zeros(SLOTS, np.int64)
         for batch in batches:
-            keys = []
+            keys, fps, sizes = [], [], []
             for x in batch.column(1):
                 found = shingles(x.as_py(), width)
                 keys.append(_set_key(found))
+                fps.append(fingerprint_of(found))
+                sizes.append(len(found))
                 if keys[-1] % COUNTED == 0:
                     np.add.at(common, _slots(found), 1)
             none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), none, none], names)
+            own = [pa.array(c, pa.int64()) for c in (keys, fps, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), own[0], own[1], none, own[2]], names)
         used = np.nonzero(common)[0]
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used), pa.array(common[used])], names)
+        for at in range(0, len(used), SLOT_ROWS):
+            some = used[at : at + SLOT_ROWS]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some), pa.array(common[some])], names)
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h"))
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, key long, slot long, n long")
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, key long, fp long, slot long, n long")
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -86,18 +95,19 @@ def most_different(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarra
     return (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def _prefixes(docs: DataFrame, text: str, width: int, similarity: float, levels: np.ndarray) -> DataFrame:
-    """Of each set of n shingles the rarest, so many that two sets of that similarity share one of them: (shingle, key, n).
+def _prefixes(docs: DataFrame, text: str, width: int, similarity: float, levels: np.ndarray, parts: int) -> DataFrame:
+    """Of each set of n shingles the rarest, so many that two sets of that similarity share one of them: (part, pairs).
 
-    And a row without a shingle for each set, with its bitmap and the hash of its text. A worker gives each set once.
+    ``pairs`` are the (shingle, key) of one batch whose shingles fall to the part, two longs each. And a row without a
+    part for each set, with its bitmap and the hash of its text. A worker gives each set once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = ["shingle", "key", "n", "bits", "text_hash"]
+    names = ["part", "pairs", "key", "n", "bits", "text_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
         for batch in bounded(batches, 0):
-            parts, keys, sizes, maps, hashes = [], [], [], [], []
+            rarest, keys, sizes, maps, hashes = [], [], [], [], []
             for x, h in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = shingles(x.as_py(), width)
                 key = _set_key(found)
@@ -105,20 +115,70 @@ def _prefixes(docs: DataFrame, text: str, width: int, similarity: float, levels:
                     seen.add(key)
                     take = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
                     # one order for all sets: by level, then by hash, in which ``found`` is sorted
-                    parts.append(found[np.argsort(level[_slots(found)], kind="stable")[:take]])
+                    rarest.append(found[np.argsort(level[_slots(found)], kind="stable")[:take]])
                     keys.append(key)
                     sizes.append(len(found))
                     maps.append(bitmap(found))
                     hashes.append(h)
             if keys:
-                of = np.repeat(np.arange(len(keys)), [len(p) for p in parts])
-                key, size = np.array(keys, np.int64), np.array(sizes, np.int64)
-                none = len(of)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(key[of]), pa.array(size[of]), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64())], names)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(size), pa.array(maps, pa.binary()), pa.array(hashes, pa.int64())], names)
+                shingle, key = np.concatenate(rarest), np.repeat(np.array(keys, np.int64), [len(r) for r in rarest])
+                part = ((shingle.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                dealt, cut = np.stack([shingle, key], axis=1)[order], np.nonzero(np.diff(part[order]))[0] + 1
+                blobs = [x.tobytes() for x in np.split(dealt, cut)]
+                some = part[order[np.concatenate(([0], cut))]]
+                none = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary()), *none], names)
+                own = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(hashes, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), *own], names)
 
     narrow = docs.select(F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h"))
-    return narrow.mapInArrow(run, "shingle long, key long, n long, bits binary, text_hash long")
+    return narrow.mapInArrow(run, "part long, pairs binary, key long, n long, bits binary, text_hash long")
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = x.view(np.uint64) + np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shared_shingles(pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(shingle, key, size, h, g) of the shingles that two sets or more have, each pair once; sizes and two sums of hashes tell lists apart."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))[: len(pairs)]]
+    starts = np.nonzero(np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0]))[: len(pairs)])[0]
+    sizes = np.diff(np.append(starts, len(pairs)))
+    pairs = pairs[np.repeat(sizes > 1, sizes)]
+    sizes = sizes[sizes > 1]
+    shingle, key = np.ascontiguousarray(pairs.T)
+    starts = np.cumsum(sizes) - sizes
+    sums = [np.add.reduceat(_mixed(key, seed), starts).view(np.int64) if len(key) else key for seed in (SEED, SEED << 20)]
+    return shingle, key, *(np.repeat(x, sizes) for x in (sizes, *sums))
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """(list, key, size, h, g) of all shingles in the prefixes of two sets or more. Pairs are moved once, and one part at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, part = [], None
+
+        def solve() -> pa.RecordBatch:
+            pairs = np.frombuffer(b"".join(waiting), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in shared_shingles(pairs)], ["list", "key", "size", "h", "g"])
+
+        for batch in batches:
+            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at != part and waiting:
+                    yield solve()
+                    waiting = []
+                part = at
+                waiting.append(blob)
+        if waiting:
+            yield solve()
+
+    dealt = found.filter("part IS NOT NULL").select("part", "pairs").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "list long, key long, size long, h long, g long")
 
 
 def closest(n: np.ndarray, bits: list[bytes], component: np.ndarray, side: np.ndarray | None, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -159,15 +219,14 @@ def _folded(x: np.ndarray) -> np.ndarray:
     return x[:, :half] ^ x[:, half:]
 
 
-def _candidates(lists: DataFrame, sets: DataFrame, components: DataFrame | None, similarity: float, most: int) -> DataFrame:
+def _candidates(lists: DataFrame, sets: DataFrame, components: DataFrame, similarity: float, most: int) -> DataFrame:
     """(a, b, list): pairs a < b that may be similar, and rows with the number of a list in which some set has more of them.
 
     ``lists`` (list, key). A list of more than ``BLOCK`` sets is cut into blocks, and every two blocks meet in a group of their own.
     """
     sizes = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = lists.join(sizes, "list").join(sets, "key")
-    rows = rows.join(components, "key", "left") if components is not None else rows.withColumn("component", F.lit(None).cast("long"))
-    rows = rows.withColumn("component", F.coalesce("component", "key")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.join(components, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "key", "n", "component", "bits")
     group = ["list", "lo", "hi"]
@@ -241,35 +300,44 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, widt
     return materialize(sent.mapInArrow(run, "a long, b long"), "similar")
 
 
-def similar_components(docs: DataFrame, levels: np.ndarray, text: str, width: int, similarity: float) -> DataFrame:
+def _close_fingerprints(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: keys of sets whose SimHashes are within two bits. Sets of one fingerprint are paired with its smallest key only."""
+    sets = materialize(rows.filter("n > 0").groupBy("key").agg(F.first("fp").alias("fp")), "simhashes")
+    classes = materialize(sets.groupBy("fp").agg(F.min("key").alias("least")), "classes")
+    own = sets.join(classes, "fp").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    near = close_pairs(classes.select("fp"), MAX_BITS)
+    near = near.join(classes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def similar_components(docs: DataFrame, rows: DataFrame, levels: np.ndarray, parts: int, text: str, width: int, similarity: float) -> DataFrame:
     """(key, component) of all sets that are linked to another one; every pair of at least the similarity is linked, directly or not.
 
-    Sets meet in lists, one for each shingle; of lists with the same sets one is kept. Each set is compared with the closest ones of
-    its lists first. Where a list holds more that may be similar, it is looked at again with more of
-    them, but only across components; a group of copies is one component by then.
+    Pairs with close fingerprints come first. Then sets meet in lists, one for each shingle; of lists with the same sets one is kept.
+    Each set is compared with the closest ones of other components in its lists. Where a list holds more that may be similar, it is
+    looked at again with more of them, but only across components; a group of copies is one component by then.
     """
-    found = materialize(_prefixes(docs, text, width, similarity, levels), "prefixes")
+    found = materialize(_prefixes(docs, text, width, similarity, levels, parts), "prefixes")
     sets = materialize(
-        found.filter("shingle IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash")), "sets"
+        found.filter("part IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash")), "sets"
     )
-    dealt = found.filter("shingle IS NOT NULL").select("shingle", "key").distinct()
-    # the counts and sums of two hashes tell lists apart
-    h, g = F.xxhash64("key").cast("decimal(38,0)"), F.xxhash64(F.lit(SEED), "key").cast("decimal(38,0)")
-    members = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.sum(h).alias("h"), F.sum(g).alias("g")).filter("size > 1")
-    kept = materialize(members.groupBy("size", "h", "g").agg(F.min("shingle").alias("shingle")).select("shingle"), "lists")
-    met = materialize(dealt.join(kept, "shingle").select(F.col("shingle").alias("list"), "key"), "met")
-    lists, links, tried, components, most = met, None, None, None, CLOSEST
+    tried = materialize(_close_fingerprints(rows), "pairs")
+    links = _similar(tried, docs, sets, text, width, similarity)
+    components = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "components")
+    shared = materialize(_shared(found), "shared")
+    kept = materialize(shared.groupBy("size", "h", "g").agg(F.min("list").alias("list")).select("list"), "lists")
+    met = materialize(shared.select("list", "key").join(kept, "list"), "met")
+    lists, most = met, CLOSEST
     while True:
         new = materialize(_candidates(lists, sets.drop("text_hash"), components, similarity, most), "candidates")
         pairs = new.filter("a IS NOT NULL").select("a", "b").distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = materialize(new.filter("list IS NOT NULL").select("list").distinct(), "more")
-        similar = _similar(pairs, docs, sets, text, width, similarity)
-        links = similar if links is None else links.unionByName(similar)
+        links = links.unionByName(_similar(pairs, docs, sets, text, width, similarity))
         components = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "components")
         if more.isEmpty():
             return components
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = tried.unionByName(pairs)
         lists, most = met.join(more, "list"), most * 8
 
 
@@ -282,13 +350,15 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     texts take memory in proportion to their shingles, a few of them at once.
     """
     rows_and_slots = materialize(_sets(docs, doc_id, text, width), "found")
-    rows, levels = rows_and_slots.filter("slot IS NULL").drop("slot", "n"), np.zeros(SLOTS, np.uint8)
+    rows, levels = rows_and_slots.filter("slot IS NULL").drop("slot"), np.zeros(SLOTS, np.uint8)
     counted = rows_and_slots.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n"))
     usual = (counted.agg(F.sum("n")).first()[0] or 0) / SLOTS
     # at most a quarter of the slots are so much more common than usual; the others keep level 0
     common = counted.filter(F.col("n") > 4 * usual + 4).toArrow()
     levels[common["slot"].to_numpy()] = np.log2(common["n"].to_numpy().astype(np.float64)).astype(np.uint8)
-    components = similar_components(docs, levels, text, width, similarity)
+    all_pairs = rows.agg(F.sum(F.col("n") * (1 - similarity) + 2)).first()[0] or 0
+    parts = max(LEAST_PARTS, int(all_pairs * 16 / PART_BYTES))
+    components = similar_components(docs, rows, levels, parts, text, width, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     best_of = rows.groupBy("key").agg(first).join(components, "key", "left")
     kept = best_of.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))

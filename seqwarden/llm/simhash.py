@@ -38,6 +38,15 @@ def fingerprint(text: bytes | None, width: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > last, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash, as a signed long, of hashes that each count once; zero if there are none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STRIP):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + STRIP]).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
     """(doc_id, fp, text_hash): the SimHash of every whole text as a signed long; a null text counts as empty."""
 

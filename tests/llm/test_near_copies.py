@@ -78,3 +78,33 @@ def test_a_large_group_of_near_copies_is_one(spark):
         copy[rng.randrange(200)] = f"x{i}"
         rows.append((i, " ".join(copy)))
     assert [r["doc_id"] for r in near_copies.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_close_fingerprints_are_found_and_decided_before_lists(spark, monkeypatch):
+    """SimHash with segment popcounts links the close copies without any list."""
+    rng = random.Random(7)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(600)] for _ in range(3)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(i + 10, " ".join([*w[:-1], "x"])) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_copies._sets(df, "doc_id", "text", near_copies.WORDS).filter("slot IS NULL").drop("slot").collect()
+    of = {r["doc_id"]: r for r in sets}
+    near = {frozenset((i, i + 10)) for i in range(3) if (of[i]["fp"] ^ of[i + 10]["fp"]).bit_count() <= 2}
+    assert near
+    found = near_copies._close_fingerprints(spark.createDataFrame(sets, "doc_id long, text_hash long, key long, fp long, n long")).collect()
+    by_key = {r["key"]: r["doc_id"] for r in sets}
+    assert {frozenset((by_key[r["a"]], by_key[r["b"]])) for r in found} == near
+    monkeypatch.setattr(near_copies, "_shared", lambda found: found.sparkSession.createDataFrame([], "list long, key long, size long, h long, g long"))
+    kept = {r["doc_id"] for r in near_copies.drop_similar(df).collect()}
+    assert kept == {0, 1, 2, 10, 11, 12} - {max(p) for p in near}
+
+
+def test_shared_shingles_are_those_of_two_sets():
+    rng = np.random.default_rng(8)
+    pairs = rng.integers(0, 60, (300, 2))
+    of = {}
+    for s, k in pairs.tolist():
+        of.setdefault(s, set()).add(k)
+    shingle, key, size, h, g = near_copies.shared_shingles(pairs)
+    assert sorted(zip(shingle.tolist(), key.tolist())) == sorted((s, k) for s, ks in of.items() if len(ks) > 1 for k in ks)
+    assert all(n == len(of[s]) for s, n in zip(shingle.tolist(), size.tolist()))
+    assert all(len(x) == 0 for x in near_copies.shared_shingles(np.empty((0, 2), np.int64)))
