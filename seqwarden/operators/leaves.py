@@ -59,6 +59,7 @@ class Clusters:
         self.threshold = threshold
         self.table = np.zeros((0, 0), dtype=np.int64)
         self.n, self.need = 0, 0
+        self.stamps: list[int] = []  # how often each template has changed
         self.index: list[dict[int, set[int]]] = []
         self.pairs: list[tuple[int, int]] = []
         self.by_pair: list[dict[tuple[int, int], set[int]]] = []
@@ -107,6 +108,7 @@ class Clusters:
                 grown[: self.n] = self.templates
             self.table = grown
         self.table[self.n] = message
+        self.stamps.append(0)
         codes = message.tolist()
         for of, code in zip(self.index, codes):
             _put(of, code, self.n)
@@ -126,6 +128,7 @@ class Clusters:
         """Positions at which the template turned into the wildcard."""
         template = self.table[cluster]
         stale = np.flatnonzero((template != message) & (template != WILD))
+        self.stamps[cluster] += bool(len(stale))
         codes, turned = template.tolist(), set(stale.tolist())
         template[stale] = WILD
         for p in turned:
@@ -135,6 +138,25 @@ class Clusters:
                 _move(of, (codes[p], codes[q]), (int(template[p]), int(template[q])), cluster)
         return stale
 
+    def joined(self, cluster: int, message: np.ndarray) -> tuple[int, int, int]:
+        """What ``still_joins`` asks for later: the template's stamp, its equal positions, and the clusters there are."""
+        score = int((self.table[cluster] == message).sum()) if WILD not in message else -1
+        return self.stamps[cluster], score, self.n
+
+    def still_joins(self, cluster: int, message: np.ndarray, then: tuple[int, int, int]) -> bool:
+        """Whether a message that joined the cluster surely does so again and changes nothing, given ``joined`` of that time.
+
+        Its own template must not have changed. Other templates only lose tokens, so of them only those opened since could have
+        more equal positions; they were opened by other messages, so none has all, and where few were opened they are compared.
+        A message that holds the wildcard itself may gain by what others lose.
+        """
+        stamp, score, seen = then
+        if score < 0 or self.stamps[cluster] != stamp:
+            return False
+        if seen == self.n or score >= len(message) - 1:
+            return True
+        return self.n - seen <= DENSE and int((self.table[seen : self.n] == message).sum(axis=1).max()) <= score
+
     def add(self, message: np.ndarray) -> tuple[int, bool]:
         """Cluster of the message, and whether this changed any template."""
         found, _ = self.best(message)
@@ -154,7 +176,7 @@ def fold_sorted(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         route, coder, clusters, version = None, Coder(), Clusters(threshold), 0
         opened: list[object] = []
-        known: dict[str, list] = {}  # message -> [codes, version, cluster, from, rows]
+        known: dict[str, list] = {}  # message -> [codes, version, cluster, from, rows, joined]
         done: list[tuple] = []
 
         def close() -> None:
@@ -167,7 +189,7 @@ def fold_sorted(threshold: float):
                     close()
                     route, coder, clusters, version, opened, known = leaf, Coder(), Clusters(threshold), 0, [], {}
                 seen = known.get(message)
-                if seen is not None and seen[1] == version:
+                if seen is not None and (seen[1] == version or clusters.still_joins(seen[2], seen[0], seen[5])):
                     seen[4] += 1
                     continue
                 codes = coder.encode(message) if seen is None else seen[0]
@@ -175,14 +197,15 @@ def fold_sorted(threshold: float):
                 version += changed
                 if cluster == len(opened):
                     opened.append(pos)
+                joined = clusters.joined(cluster, codes)
                 if seen is None:
-                    known[message] = [codes, version, cluster, pos, 1]
+                    known[message] = [codes, version, cluster, pos, 1, joined]
                 elif seen[2] == cluster:
-                    seen[1] = version
+                    seen[1], seen[5] = version, joined
                     seen[4] += 1
                 else:
                     done.append((route, message, seen[3], pos, opened[seen[2]], seen[4]))
-                    known[message] = [codes, version, cluster, pos, 1]
+                    known[message] = [codes, version, cluster, pos, 1, joined]
             if done:
                 yield pd.DataFrame(done, columns=STRETCH, dtype=object)
                 done = []

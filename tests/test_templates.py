@@ -1,6 +1,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sequential_mining import mine
@@ -183,3 +184,24 @@ def test_frozen_vocabulary_by_message_equals_by_row(spark):
 def test_catalogue_counts_messages(spark):
     out = mine_templates(frame(spark, MESSAGES), "text", ["pos"])
     assert {r.key: r["size"] for r in catalogue(out.keys).collect()} == {0: 3, 1: 1, 2: 1}
+
+
+def test_fold_searches_again_only_where_a_template_changed(monkeypatch):
+    """The fold against a search for every row, on messages with wildcards of their own; steady messages are not searched again."""
+    rng = random.Random(11)
+    for threshold, length, tokens in ((0.6, 4, 6), (0.4, 5, 4), (0.0, 3, 5), (1.0, 3, 3), (0.5, 8, 3)):
+        words = [[f"t{p}{i}" for i in range(tokens)] + ["<*>"] * (threshold < 0.6) for p in range(length)]
+        rows = [("r", " ".join(rng.choice(w) for w in words), i) for i in range(4000)]
+        batch = pd.DataFrame(rows, columns=["_leaf", "_msg", "_pos"])
+        fast = pd.concat(leaves.fold_sorted(threshold)(iter([batch])))
+        with monkeypatch.context() as m:
+            m.setattr(leaves.Clusters, "still_joins", lambda *_: False)
+            slow = pd.concat(leaves.fold_sorted(threshold)(iter([batch])))
+        assert sorted(map(repr, fast.itertuples(index=False))) == sorted(map(repr, slow.itertuples(index=False)))
+    searched = []
+    best = leaves.Clusters.best
+    monkeypatch.setattr(leaves.Clusters, "best", lambda self, x: searched.append(1) or best(self, x))
+    # a new user every 20 rows opens a cluster, and all users so far go on sending their two messages
+    rows = [("r", f"s3 {rng.choice(('Get', 'Put'))} ip{u} arn{u}", i) for i in range(20_000) for u in (rng.randrange(i // 20 + 1),)]
+    list(leaves.fold_sorted(0.6)(iter([pd.DataFrame(rows, columns=["_leaf", "_msg", "_pos"])])))
+    assert len(searched) < 6000
