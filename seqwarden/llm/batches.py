@@ -1,8 +1,9 @@
-"""Arrow batches cut by bytes, so that very long texts do not meet in one step of a task."""
+"""Arrow batches cut by bytes, so that very long texts do not meet in one step of a task, and workers that keep no memory between tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,3 +24,19 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = BYTES_AT
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for ``mapInArrow``; when a task is over, the memory that Arrow has no use for goes back to the system.
+
+    Python workers live on for the tasks of later steps, and Arrow's pool otherwise keeps the most that any task took.
+    """
+
+    @functools.wraps(run)
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return released

@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqwarden.llm.batches import releasing
 from seqwarden.session import materialize
 
 
+@releasing
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the links of one partition by a star for each tree they form."""
     parent: dict[int, int] = {}

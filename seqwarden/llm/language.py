@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqwarden.llm.batches import releasing
+
 GRAM = 4
 HASHES = 3
 SLOT_BITS = 20
@@ -136,6 +138,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** slot_bits masks
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -168,6 +171,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_coverage: float,
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = [c.lower() for c in docs.columns].index(text.lower())
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqwarden.llm.batches import bounded
+from seqwarden.llm.batches import bounded, releasing
 from seqwarden.llm.components import connected_components
 from seqwarden.llm.simhash import MAX_BITS, SEED, close_pairs, fingerprint_of, kept_rows
 from seqwarden.session import materialize
@@ -59,6 +59,7 @@ def _slots(found: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(doc_id, text_hash, key, fp, slot, n): the key, SimHash and size of each row's set of shingles and, in rows with a slot, how common shingles are."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, common = ["doc_id", "text_hash", "key", "fp", "slot", "n"], np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -104,6 +105,7 @@ def _prefixes(docs: DataFrame, text: str, width: int, similarity: float, levels:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["part", "pairs", "key", "n", "bits", "text_hash"]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
         for batch in bounded(batches, 0):
@@ -160,6 +162,7 @@ def shared_shingles(pairs: np.ndarray) -> tuple[np.ndarray, ...]:
 def _shared(found: DataFrame) -> DataFrame:
     """(list, key, size, h, g) of all shingles in the prefixes of two sets or more. Pairs are moved once, and one part at a time is held."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, part = [], None
 
@@ -243,6 +246,7 @@ def _candidates(lists: DataFrame, sets: DataFrame, components: DataFrame, simila
         columns = [pa.concat_arrays([pa.array(c), pa.nulls(extra, pa.int64())]) for c in pairs.T]
         return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array([t["list"][0].as_py()] * extra, pa.int64())])], ["a", "b", "list"])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, key = [], None
         for batch in batches:
@@ -281,6 +285,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, widt
     texts = own.join(wanted, "text_hash").groupBy("key").agg(F.first("t").alias("t"))
     sent = asked.join(texts, "key").repartition("centre", "piece").sortWithinPartitions("centre", "piece", "role")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
         for batch in bounded(batches, 4):

@@ -14,16 +14,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqwarden.llm.batches import bounded, releasing
 from seqwarden.session import materialize
 
 LENGTH = 2048
 END = 0  # the id that closes every document
 OPEN_BINS = 1024
 PIECES_PER_TASK = 100_000
-REMEMBERED_WORDS = 200_000  # of a worker
+REMEMBERED_WORDS = 1 << 16  # of a worker
 MARK = "\x01"
 JOINED = 256
-ROWS_AT_ONCE = 1024
+LINES_AT_ONCE = 8  # what the tokenizer tells of a token takes hundreds of bytes
+TEXT_AT_ONCE = 2 << 20  # bytes of text whose words are encoded together
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,9 +43,10 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.units = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.units = Tokenizer(self.whole.model)  # one vocabulary for both
         split = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        self.units.normalizer, self.units.pre_tokenizer = None, pre_tokenizers.Sequence(split)
+        self.units.pre_tokenizer = pre_tokenizers.Sequence(split)
         self.mark_id = self.units.encode(MARK, add_special_tokens=False).ids
         self.place: dict[str, int] = {"": 0}
         self.seen: dict[str, tuple[int, int]] = {"": (0, 0)}
@@ -55,9 +58,12 @@ class WordIds:
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encodes many plain units in one text, with a mark of one id between them."""
         between = f" {MARK} "
-        lines = [between.join(units[i : i + JOINED]) + between for i in range(0, len(units), JOINED)]
-        encoded = self.units.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded] or [np.empty(0, np.uint32)])
+        found = [np.empty(0, np.uint32)]
+        for at in range(0, len(units), JOINED * LINES_AT_ONCE):
+            some = units[at : at + JOINED * LINES_AT_ONCE]
+            lines = [between.join(some[i : i + JOINED]) + between for i in range(0, len(some), JOINED)]
+            found += [np.array(e.ids, np.uint32) for e in self.units.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found)
         mark = ids == self.mark_id[0]
         return np.diff(np.nonzero(mark)[0], prepend=-1) - 1, ids[~mark]
 
@@ -137,31 +143,37 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return counts, ids
 
 
+def cut(batches: Iterator[pa.RecordBatch], path: str, length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+    """The pieces of batches (doc_id, text), a few megabytes of text at once."""
+    for batch in bounded(batches, 1, TEXT_AT_ONCE):
+        counts, ids = encode(pc.fill_null(batch.column(1).cast(pa.large_string()), ""), path)
+        ids = ids.astype("<u4", copy=False)
+        ends = np.cumsum(counts)
+        n = -(-(counts + 1) // length)
+        doc = np.repeat(np.arange(len(counts)), n)
+        piece = _numbers(n)
+        start = piece * length
+        size = np.minimum(counts[doc] + 1 - start, length)
+        closing = np.array([END], "<u4").tobytes()
+        crc = []
+        for d, s, e in zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True):
+            last, base = int(counts[d]), int(ends[d] - counts[d])
+            c = zlib.crc32(ids[base + s : base + min(e, last)].tobytes())
+            crc.append(zlib.crc32(closing, c) if e > last else c)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
+            ["doc_id", "piece", "start", "length", "ids_crc32"],
+        )
+        del ids
+        pa.default_memory_pool().release_unused()
+
+
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per piece of at most ``length`` ids; only longer documents are cut."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                counts, ids = encode(pc.fill_null(batch.column(1).cast(pa.large_string()), ""), path)
-                ids = ids.astype("<u4", copy=False)
-                ends = np.cumsum(counts)
-                n = -(-(counts + 1) // length)
-                doc = np.repeat(np.arange(len(counts)), n)
-                piece = _numbers(n)
-                start = piece * length
-                size = np.minimum(counts[doc] + 1 - start, length)
-                closing = np.array([END], "<u4").tobytes()
-                crc = []
-                for d, s, e in zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True):
-                    last, base = int(counts[d]), int(ends[d] - counts[d])
-                    c = zlib.crc32(ids[base + s : base + min(e, last)].tobytes())
-                    crc.append(zlib.crc32(closing, c) if e > last else c)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        return cut(batches, path, length)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, PIECE)
 
@@ -212,6 +224,7 @@ def pack(rows: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, per_
     tasks = max(1, -(-rows.count() // per_task))
     names = rows.columns
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqwarden.llm.batches import releasing
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
@@ -288,6 +290,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", n_values: str
     at = rest.index(spelled[text.lower()])
     secret = key.encode()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [(None, []) if (t := x.as_py()) is None else pseudonymise(t, secret) for x in batch.column(at)]
