@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LOCAL_MASTER = re.compile(r"local(\[[^\[\]]*\])?")  # not local-cluster, whose executors are other processes
 _open_scopes: list[list[str]] = []
 
@@ -72,15 +73,39 @@ def remove_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` once and read it back, cutting its lineage.
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside the block leave no shuffle files: Spark removes those of each as soon as it has ended.
 
-    A written table survives lost executors, is read with column pruning, and
-    carries its true size, so later joins are broadcast only if it really is small.
+    Otherwise they stay until the driver happens to collect its garbage. A later query that still wanted them would run their stage again.
     """
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
+def materialize_at(df: DataFrame, label: str = "step") -> tuple[DataFrame, str]:
+    """``materialize``, and where the table is, for one that is removed before the others."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if _open_scopes:
         _open_scopes[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` once and read it back, cutting its lineage.
+
+    A written table survives lost executors, is read with column pruning, and
+    carries its true size, so later joins are broadcast only if it really is small.
+    The shuffle files of its making are removed once it is written.
+    """
+    return materialize_at(df, label)[0]
