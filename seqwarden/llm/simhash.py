@@ -91,6 +91,8 @@ def close_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     differing bits. Two points of the grid at distance 2 or less share a cell when both
     are put into all cells one step away, so an equi-join on the cell finds every pair. Of the
     cells that a pair shares one is kept by the shifts; the bits are compared inside the join.
+
+    Spark takes the cells, 33 rows for each fingerprint, to be as small as the fingerprints, so it is told to sort and never to send them to the driver.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("the grid reaches distance 2: max_bits must be 0, 1 or 2")
@@ -99,7 +101,7 @@ def close_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     b = cells.select("cell", F.col("fp").alias("b"), F.col("shift").alias("sb"))
     one_meeting = F.expr("(sa = 0) OR (sb <> 0 AND (abs(sa) < abs(sb) OR sa = -sb))")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return a.join(b, (a.cell == b.cell) & near & one_meeting).select("a", "b")
+    return a.join(b.hint("merge"), (a.cell == b.cell) & near & one_meeting).select("a", "b")
 
 
 def _components(rows: DataFrame, max_bits: int) -> DataFrame:
