@@ -7,6 +7,8 @@ bits differ, and as far apart are the segment popcounts of unrelated texts. So t
 one of their rarest shingles, which every pair of that similarity does. Where they meet only bitmaps are compared: each shingle of
 a set flips one bit, so the number of differing bits is at most the number of shingles that only one of the two sets has. What passes
 that bound is decided on the whole texts.
+
+Joins of tables that grow with the texts sort both: the files of such a table may be a fraction of what it takes in the driver's memory.
 """
 
 from __future__ import annotations
@@ -228,8 +230,8 @@ def _candidates(lists: DataFrame, sets: DataFrame, components: DataFrame, simila
     ``lists`` (list, key). A list of more than ``BLOCK`` sets is cut into blocks, and every two blocks meet in a group of their own.
     """
     sizes = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = lists.join(sizes, "list").join(sets, "key")
-    rows = rows.join(components, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = lists.join(sizes.hint("merge"), "list").join(sets.hint("merge"), "key")
+    rows = rows.join(components.hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("side"), "key", "n", "component", "bits")
     group = ["list", "lo", "hi"]
@@ -309,9 +311,10 @@ def _close_fingerprints(rows: DataFrame) -> DataFrame:
     """(a, b), a < b: keys of sets whose SimHashes are within two bits. Sets of one fingerprint are paired with its smallest key only."""
     sets = materialize(rows.filter("n > 0").groupBy("key").agg(F.first("fp").alias("fp")), "simhashes")
     classes = materialize(sets.groupBy("fp").agg(F.min("key").alias("least")), "classes")
-    own = sets.join(classes, "fp").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    own = sets.join(classes.hint("merge"), "fp").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
     near = close_pairs(classes.select("fp"), MAX_BITS)
-    near = near.join(classes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    x, y = (classes.select(F.col("fp").alias(p), F.col("least").alias(q)).hint("merge") for p, q in ("ax", "by"))
+    near = near.join(x, "a").join(y, "b")
     return own.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
@@ -331,12 +334,12 @@ def similar_components(docs: DataFrame, rows: DataFrame, levels: np.ndarray, par
     components = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "components")
     shared = materialize(_shared(found), "shared")
     kept = materialize(shared.groupBy("size", "h", "g").agg(F.min("list").alias("list")).select("list"), "lists")
-    met = materialize(shared.select("list", "key").join(kept, "list"), "met")
+    met = materialize(shared.select("list", "key").join(kept.hint("merge"), "list"), "met")
     lists, most = met, CLOSEST
     while True:
         new = materialize(_candidates(lists, sets.drop("text_hash"), components, similarity, most), "candidates")
         pairs = new.filter("a IS NOT NULL").select("a", "b").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = materialize(new.filter("list IS NOT NULL").select("list").distinct(), "more")
         links = links.unionByName(_similar(pairs, docs, sets, text, width, similarity))
         components = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "key"), "components")
@@ -365,6 +368,6 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     parts = max(LEAST_PARTS, int(all_pairs * 16 / PART_BYTES))
     components = similar_components(docs, rows, levels, parts, text, width, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    best_of = rows.groupBy("key").agg(first).join(components, "key", "left")
+    best_of = rows.groupBy("key").agg(first).join(components.hint("merge"), "key", "left")
     kept = best_of.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
     return kept_rows(docs, kept, doc_id, text)

@@ -132,7 +132,7 @@ def near_duplicates(
     doc_id is returned and never is the smallest; a component of such rows only has a null id.
     """
     rows = materialize(with_fingerprints(docs, doc_id, text, width), "fingerprints")
-    return rows.join(_components(rows, max_bits), "fp").select(
+    return rows.join(_components(rows, max_bits).hint("merge"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -154,6 +154,6 @@ def kept_rows(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataF
     """One row of ``docs`` for each distinct id and text hash in ``kept.first``."""
     kept = materialize(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_of")).distinct(), "kept")
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"))
-    same = named.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
+    same = named.join(kept.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
     best = same.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_hash")))
     return best.filter("_n = 1").select("_row.*")

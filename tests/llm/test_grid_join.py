@@ -25,3 +25,9 @@ def test_the_pipelines_fingerprints_neither(spark):
     rows = spark.createDataFrame([(i, i, i * 10**15, 5) for i in range(200)], "doc_id long, key long, fp long, n long")
     near = near_copies._close_fingerprints(materialize(rows))
     assert "SortMergeJoin" in _plan(near)
+
+
+def test_rows_that_are_kept_are_not_broadcast(spark):
+    docs = materialize(spark.createDataFrame([(i, f"text {i % 50}") for i in range(200)], "doc_id long, text string"))
+    for kept, n in ((simhash.drop_near_duplicates(docs), 50), (near_copies.drop_similar(docs), 50)):
+        assert "SortMergeJoin" in _plan(kept) and kept.count() == n
