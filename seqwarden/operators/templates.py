@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +30,11 @@ from seqwarden.fixed_values import DEPTH, MAX_CHILDREN, SIMILARITY, WILDCARD
 from seqwarden.functions.text import mask, same_positions, tokens
 from seqwarden.operators.leaves import Matches, changing_rows, fold_sorted
 from seqwarden.plans.skew import ROWS_PER_TASK, hot_values, join_hot, order_value, positions_overall
-from seqwarden.session import materialize
+from seqwarden.session import materialize, materialize_at, remove_table, shuffles_removed, tables_of
 
 CANDIDATES_PER_ROUND = 10_000
 MESSAGES_PER_SLICE = 50_000
+HELD_CHARACTERS = 4 << 20  # of templates that a task puts together before it hands them on
 UNKNOWN_KEY = -1
 
 
@@ -91,8 +93,12 @@ def route_prefixes(prefixes: DataFrame, spec: MiningSpec) -> DataFrame:
     after the wildcard itself.
     """
     routed = prefixes.select("_prefix", "_first", F.element_at(F.split("_prefix", " "), 1).alias("_leaf"))
+    before = None
     for level in range(1, spec.depth):
-        routed = _route_level(_with_token(routed, level), spec.max_children)
+        routed, at = materialize_at(_route_level(_with_token(routed, level), spec.max_children), "routes")
+        if before:
+            remove_table(routed.sparkSession, before)
+        before = at
     return routed
 
 
@@ -105,21 +111,19 @@ def _route_level(routed: DataFrame, max_children: int) -> DataFrame:
     kept = kept.withColumn("_wild", wild).filter(F.col("_wild").isNull() | (F.col("_p") <= F.col("_wild")))
     kept = kept.select("_leaf", "_tok", F.lit(True).alias("_kept"))
     joined = routed.join(kept, ["_leaf", "_tok"], "left")
-    return materialize(joined.select("_prefix", "_first", _next_node(F.col("_kept"))), "routes")
+    return joined.select("_prefix", "_first", _next_node(F.col("_kept")))
 
 
-def routed_messages(work: DataFrame, spec: MiningSpec) -> DataFrame:
-    """Distinct messages with first position, row count ``_n`` and route ``_leaf``.
+def distinct_messages(work: DataFrame, spec: MiningSpec) -> DataFrame:
+    """Distinct messages with first position ``_first``, row count ``_n`` and what routing looks at."""
+    return work.groupBy("_msg").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn("_prefix", prefix_text(spec.depth))
 
-    ``_m`` and ``_rows`` are the distinct messages and rows of the whole route. Messages
-    are written once; routes and their sizes come from the far smaller prefix table.
-    """
-    count, first = F.count(F.lit(1)), F.min("_pos").alias("_first")
-    messages = work.groupBy("_msg").agg(first, count.alias("_n")).withColumn("_prefix", prefix_text(spec.depth))
-    messages = materialize(messages, "messages")
+
+def _routed(messages: DataFrame, spec: MiningSpec) -> DataFrame:
+    """``messages``, a stored table, with route ``_leaf`` and the distinct messages ``_m`` and rows ``_rows`` of the whole route."""
     prefixes = materialize(
         messages.groupBy("_prefix").agg(
-            F.min("_first").alias("_first"), count.alias("_pm"), F.sum("_n").alias("_pn")
+            F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_pm"), F.sum("_n").alias("_pn")
         ),
         "prefixes",
     )
@@ -128,7 +132,17 @@ def routed_messages(work: DataFrame, spec: MiningSpec) -> DataFrame:
     sized = routes.join(prefixes.select("_prefix", "_pm", "_pn"), "_prefix")
     per_leaf = sized.groupBy("_leaf").agg(*sizes)
     routes = materialize(routes.join(per_leaf, "_leaf"), "routed")
-    return messages.join(routes, "_prefix").drop("_prefix")
+    # a prefix is one row of ``routes``, so a task's share of them is small and the messages need no sorting
+    return messages.join(routes.hint("shuffle_hash"), "_prefix").drop("_prefix")
+
+
+def routed_messages(work: DataFrame, spec: MiningSpec) -> DataFrame:
+    """Distinct messages with first position, row count ``_n`` and route ``_leaf``.
+
+    ``_m`` and ``_rows`` are the distinct messages and rows of the whole route. Messages
+    are written once; routes and their sizes come from the far smaller prefix table.
+    """
+    return _routed(materialize(distinct_messages(work, spec), "messages"), spec)
 
 
 def _fold_routes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -315,41 +329,122 @@ def _solve_large_routes(rows: DataFrame, messages: DataFrame, threshold: float,
     return materialize(counts, "solved")
 
 
-def _assignments(work: DataFrame, spec: MiningSpec, rows_per_task: int, batch: int) -> DataFrame:
-    """Stretches ``(_leaf, _msg, _from, _to, _cluster, _n)`` for all non-empty messages, written once."""
-    messages = routed_messages(work, spec).filter(F.col("_msg") != "")
-    alone = messages.filter(F.col("_m") == 1).select(
-        "_leaf",
-        "_msg",
-        F.col("_first").alias("_from"),
-        F.lit(None).cast(work.schema["_pos"].dataType).alias("_to"),
-        F.col("_first").alias("_cluster"),
-        "_n",
-    )
-    shared, large = F.col("_m") > 1, F.col("_rows") > rows_per_task
-    some = messages.agg(F.count_if(shared & ~large).alias("fold"), F.count_if(shared & large).alias("large")).first()
-    parts = [alone]
-    if some.fold:
-        fold = messages.filter(shared & ~large).select("_msg", "_leaf")
-        parts.append(_fold_routes(work.join(fold, "_msg"), spec.threshold))
-    if some.large:
-        big = messages.filter(shared & large)
-        hot = hot_values(big, ["_msg"], rows_per_task=rows_per_task)
-        rows = join_hot(work, big.select("_msg", "_leaf"), ["_msg"], hot)
-        parts.append(_solve_large_routes(rows, big, spec.threshold, batch))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return materialize(out, "assigned")
-
-
-def _template_tokens(members: DataFrame) -> DataFrame:
-    """A cluster's template: the token all its messages share at a position, else the wildcard."""
-    per_position = members.select("_cluster", F.posexplode(message_tokens()).alias("_i", "_tok"))
-    shared = per_position.groupBy("_cluster", "_i").agg(F.min("_tok").alias("_a"), F.max("_tok").alias("_b"))
-    token = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.lit(WILDCARD))
-    ordered = F.array_sort(F.collect_list(F.struct("_i", token.alias("_tok"))))
-    return shared.groupBy("_cluster").agg(F.transform(ordered, lambda e: e["_tok"]).alias("tokens"))
+def _repeated(work: DataFrame, messages: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(_msg, _pos): the rows of these messages, which have ``_n`` rows each.
+
+    Rows are found by a hash of the text, so that only hashes and positions are moved. Another text with a hash of one of the messages
+    would make more rows than there are; then, and for messages that are hot, the texts themselves are compared.
+    """
+    if hot is None:
+        hashed = F.xxhash64("_msg").alias("_hash")
+        rows, at = materialize_at(work.select(hashed, "_pos").join(messages.select(hashed, "_msg"), "_hash").select("_msg", "_pos"), "again")
+        if rows.count() == (messages.agg(F.sum("_n")).first()[0] or 0):
+            return rows
+        remove_table(work.sparkSession, at)
+    return materialize(join_hot(work, messages.select("_msg"), ["_msg"], hot), "again")
+
+
+def _assignments(work: DataFrame, work_at: str, messages: DataFrame, messages_at: str, hot: DataFrame | None, spec: MiningSpec, rows_per_task: int, batch: int) -> tuple[DataFrame, str]:
+    """Stretches ``(_leaf, _msg, _from, _to, _cluster, _n)`` for all non-empty messages, written once, and where.
+
+    The position of a message with one row is known with the message; only rows of the others are found again. The tables ``work`` and
+    ``messages`` are removed as soon as nothing needs them, and so are those made here.
+    """
+    spark = work.sparkSession
+    filled = messages.filter(F.col("_msg") != "")
+    with tables_of(spark):
+        again = _repeated(work, filled.filter("_n > 1").select("_msg", "_n"), hot)
+        remove_table(spark, work_at)
+        with tables_of(spark):
+            routed, _ = materialize_at(_routed(filled, spec), "messages", outlives=True, compression="zstd")
+        remove_table(spark, messages_at)
+        alone = routed.filter(F.col("_m") == 1).select(
+            "_leaf",
+            "_msg",
+            F.col("_first").alias("_from"),
+            F.lit(None).cast(work.schema["_pos"].dataType).alias("_to"),
+            F.col("_first").alias("_cluster"),
+            "_n",
+        )
+        shared, large = F.col("_m") > 1, F.col("_rows") > rows_per_task
+        some = routed.agg(F.count_if(shared & ~large).alias("fold"), F.count_if(shared & large).alias("large")).first()
+
+        def rows_of(chosen: DataFrame) -> DataFrame:
+            once = chosen.filter("_n = 1").select("_leaf", "_msg", F.col("_first").alias("_pos"))
+            several = join_hot(again, chosen.filter("_n > 1").select("_msg", "_leaf"), ["_msg"], hot)
+            return once.unionByName(several.select("_leaf", "_msg", "_pos"))
+
+        parts = [alone]
+        if some.fold:
+            parts.append(_fold_routes(rows_of(routed.filter(shared & ~large)), spec.threshold))
+        if some.large:
+            big = routed.filter(shared & large)
+            parts.append(_solve_large_routes(rows_of(big), big, spec.threshold, batch))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return materialize_at(out, "assigned", outlives=True)
+
+
+TEMPLATE = "key long, template string, size long, route string"
+
+
+def _shared_tokens(template: str, message: str) -> str:
+    """The tokens that both have at the same positions, else the wildcard."""
+    return template if template == message else " ".join(a if a == b else WILDCARD for a, b in zip(template.split(" "), message.split(" ")))
+
+
+def _template_batch(held: dict[int, list]) -> pa.RecordBatch:
+    columns = [[key, *own] for key, own in held.items()]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([c[i] for c in columns], t) for i, t in enumerate(types)], ["key", "template", "size", "route"])
+
+
+def _common_tokens(ordered: bool):
+    """Batch function that puts the rows (key, template, size, route) of each key together, or of as many as come before others fill the memory.
+
+    Of rows in the order of keys all of a key become one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, characters = {}, 0
+        for batch in batches:
+            for key, template, size, route in zip(*(c.to_pylist() for c in batch.columns)):
+                if (own := held.get(key)) is not None:
+                    own[0] = _shared_tokens(own[0], template)
+                    continue
+                if characters > HELD_CHARACTERS:
+                    yield _template_batch(held)
+                    held, characters = {}, 0
+                held[key] = [template, size, route]
+                characters += len(template) + 100
+        if held:
+            yield _template_batch(held)
+
+    def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a key's rows are handed on together, so none is cut where the memory is full
+        key, own, done, characters = None, None, {}, 0
+        for batch in batches:
+            for at, template, size, route in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is not None and at == key:
+                    own[0] = _shared_tokens(own[0], template)
+                    continue
+                if characters > HELD_CHARACTERS:
+                    yield _template_batch(done)
+                    done, characters = {}, 0
+                key, own = at, [template, size, route]
+                done[key] = own
+                characters += len(template) + 100
+        if done:
+            yield _template_batch(done)
+
+    return by_key if ordered else run
+
+
+def _merged_templates(members: DataFrame) -> DataFrame:
+    """(key, template, size, route), one row for each key: the token all its messages share at a position, else the wildcard."""
+    some = members.mapInArrow(_common_tokens(False), TEMPLATE)
+    return some.repartition("key").sortWithinPartitions("key").mapInArrow(_common_tokens(True), TEMPLATE)
 
 
 def mine_templates(
@@ -371,30 +466,33 @@ def mine_templates(
     """
     work = with_message(df, message, masked).withColumn("_pos", order_value(df, order))
     # masked once: the written pairs are far smaller than the rows, and repeated texts are stored once
-    narrow = materialize(work.select("_msg", "_pos"), "work")
-    unclear = narrow.groupBy("_pos").count().filter("count > 1 OR _pos IS NULL").limit(1).collect()
+    narrow, narrow_at = materialize_at(work.select("_msg", "_pos"), "work", compression="zstd")
+    with shuffles_removed(df.sparkSession):
+        unclear = narrow.groupBy("_pos").count().filter("count > 1 OR _pos IS NULL").limit(1).collect()
     if unclear:
         raise ValueError(f"the order {list(order)} is not total: {unclear[0]['count']} rows at {unclear[0]['_pos']}")
-    assigned = _assignments(narrow, spec, rows_per_task, candidates_per_round)
-    clusters = assigned.groupBy("_cluster", F.col("_leaf").alias("route")).agg(F.sum("_n").alias("size"))
-    empty = narrow.filter(F.col("_msg") == "")
+    empty = materialize(narrow.filter(F.col("_msg") == "").select("_pos"), "empty")
+    messages, messages_at = materialize_at(distinct_messages(narrow, spec), "messages", compression="zstd")
+    hot = hot_values(messages.filter((F.col("_n") > rows_per_task) & (F.col("_msg") != "")), ["_msg"], rows_per_task=rows_per_task)
+    assigned, assigned_at = _assignments(narrow, narrow_at, messages, messages_at, hot, spec, rows_per_task, candidates_per_round)
+    no_route = F.lit(None).cast("string").alias("route")
+    clusters = assigned.groupBy("_cluster").agg(no_route, F.sum("_n").alias("size"), F.count(F.lit(1)).alias("_stretches"))
     if mint_empty:
         blank = empty.select(F.col("_pos").alias("_cluster"), F.lit("0").alias("route"), F.lit(1).cast("long").alias("size"))
         if spec.threshold == 0.0:
             blank = empty.groupBy().agg(
                 F.min("_pos").alias("_cluster"), F.first(F.lit("0")).alias("route"), F.count(F.lit(1)).alias("size")
             ).filter(F.col("size") > 0)
-        clusters = clusters.unionByName(blank)
+        clusters = clusters.unionByName(blank.withColumn("_stretches", F.lit(0).cast("long")))
     clusters = materialize(clusters, "clusters")
     numbered = positions_overall(clusters, ["_cluster"], "key", rows_per_task=rows_per_task)
-    lookup = materialize(
-        assigned.join(numbered.select("_cluster", "key"), "_cluster").select("_msg", "_from", "_to", "key"), "lookup"
-    )
+    named = assigned.join(numbered.select("_cluster", "key", "size", "_stretches").hint("shuffle_hash"), "_cluster")
+    lookup = materialize(named.select("_msg", "_from", "_to", "key", "size", F.col("_leaf").alias("route"), "_stretches"), "lookup")
+    remove_table(df.sparkSession, assigned_at)
     filled = work.filter(F.col("_msg") != "")
     inside = (F.col("_pos") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_pos") < F.col("_to")))
-    hot = hot_values(assigned, ["_msg"], rows_per_task=rows_per_task)
-    lookup = lookup.withColumnRenamed("key", "_key")
-    keyed = join_hot(filled, lookup, ["_msg"], hot).filter(inside).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_key").alias("key"))
+    keys = lookup.select("_msg", "_from", "_to", F.col("key").alias("_key"))
+    keyed = join_hot(filled, keys, ["_msg"], hot).filter(inside).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_key").alias("key"))
     blanks = work.filter(F.col("_msg") == "")
     if not mint_empty:
         blanks = blanks.select(*df.columns, F.lit(UNKNOWN_KEY).cast("long").alias("key"))
@@ -403,15 +501,12 @@ def mine_templates(
         blanks = blanks.withColumn("route", F.lit("0")).join(only, "route").select(*df.columns, "key")
     else:
         blanks = blanks.join(numbered.select(F.col("_cluster").alias("_pos"), "key"), "_pos").select(*df.columns, "key")
-    texts = _template_tokens(assigned.select("_cluster", "_msg").distinct())
-    no_tokens = F.array().cast("array<string>")
-    templates = numbered.join(texts, "_cluster", "left").select(
-        "key",
-        F.array_join(F.coalesce("tokens", no_tokens), " ").alias("template"),
-        F.coalesce("tokens", no_tokens).alias("tokens"),
-        "size",
-        "route",
-    )
+    members = lookup.select("key", F.col("_msg").alias("template"), "size", "route")
+    texts = members.filter(lookup["_stretches"] == 1)  # the template of a cluster of one message is the message
+    texts = texts.unionByName(_merged_templates(members.filter(lookup["_stretches"] > 1)))
+    texts = texts.unionByName(numbered.filter(F.col("route") == "0").select("key", F.lit("").alias("template"), "size", "route"))
+    words = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.split("template", " "))
+    templates = texts.select("key", "template", words.alias("tokens"), "size", "route")
     return Mined(keyed.unionByName(blanks), templates)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqwarden.session import materialize
+from seqwarden.session import materialize, shuffles_removed
 
 ROWS_PER_TASK = 4_000_000
 BROADCAST_ROWS = 100_000
@@ -117,7 +117,8 @@ def hot_values(counts: DataFrame, keys: Sequence[str], n: str = "_n", rows_per_t
     At most ``BROADCAST_ROWS`` values are hot, since each holds at least that share of all rows.
     """
     sizes = counts.groupBy(*keys).agg(F.sum(n).alias("_rows"))
-    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"), F.coalesce(F.max("_rows"), F.lit(0)).alias("most")).first()
+    with shuffles_removed(counts.sparkSession):
+        total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"), F.coalesce(F.max("_rows"), F.lit(0)).alias("most")).first()
     if total.most <= rows_per_task:
         return None
     share = max(rows_per_task, -(-total.all // BROADCAST_ROWS))

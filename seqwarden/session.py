@@ -90,14 +90,18 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP_CONF, before)
 
 
-def materialize_at(df: DataFrame, label: str = "step") -> tuple[DataFrame, str]:
-    """``materialize``, and where the table is, for one that is removed before the others."""
+def materialize_at(df: DataFrame, label: str = "step", outlives: bool = False, **options: str) -> tuple[DataFrame, str]:
+    """``materialize``, and where the table is, for one that is removed before the others, or ``outlives`` the innermost ``tables_of``.
+
+    ``options`` are those of the Parquet writer.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    scopes = _open_scopes[:-1] if outlives else _open_scopes
+    if scopes:
+        scopes[-1].append(path)
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
